@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import mixing, packing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,12 +21,34 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op6_packing": op6_packing,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+#: Base 32 of a SHA-1: of each 5 bits, the two hex digits that hold them.
+_BASE32 = "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha || '0', 1 + (5 * i) // 4, 2))::INT >> (3 - (5 * i) % 4)) & 31), 1)), 'string_agg', '')"
+
+ORACLES: dict[str, str] = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to,
+       url, (CASE WHEN page_id = first THEN n ELSE 0 END)::BIGINT AS stored_bytes
+FROM q""",
+}
