@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, warc
+from . import mixing, packing, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,10 +33,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 #: Base 32 of a SHA-1: of each 5 bits, the two hex digits that hold them.

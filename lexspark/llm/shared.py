@@ -104,6 +104,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["fwd"][:n], _POWERS["inv"][:n]
 
 
+def runs(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end positions of the runs of equal kinds but 0; the last kind must be 0."""
+    edge = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1])
+    return (start := edge[kind[edge] != 0]), np.append(edge, len(kind))[np.searchsorted(edge, start, "right")]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end)."""
+    fwd, inv = _powers(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * fwd[: len(data)])])
+    return mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def text_bounds(texts: list[bytes]) -> np.ndarray:
+    """Where each text begins in the texts joined by one byte, and where the next would."""
+    return np.cumsum([0] + [len(t) + 1 for t in texts])
+
+
 def word_hashes(texts: list[bytes], lower: bool = True, space: tuple[int, ...] = (32, 9, 10, 11, 12, 13), spans: bool = False) -> tuple:
     """64-bit hashes of the words of many texts, and the offset of each text's first word (one more entry at the end).
 
@@ -113,18 +131,11 @@ def word_hashes(texts: list[bytes], lower: bool = True, space: tuple[int, ...] =
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     if lower:
         data = _LOWER[data]
-    table = np.zeros(256, bool)
-    table[list(space)] = True
-    blank = table[data]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if not blank[0]:
-        edge = np.concatenate([np.zeros(1, edge.dtype), edge])
-    start, end = edge[0::2], edge[1::2]
-    fwd, inv = _powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * fwd[: len(data)])])
-    h = mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    first = np.searchsorted(start, bounds)
+    kinds = np.ones(256, np.int8)
+    kinds[list(space)] = 0
+    start, end = runs(kinds[data])
+    h = span_hashes(data, start, end)
+    first = np.searchsorted(start, text_bounds(texts))
     return (h, first, start, end, data) if spans else (h, first)
 
 
