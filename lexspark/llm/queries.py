@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, mixing, neighbours, packing, quality, toxicity, warc
+from . import bitsliced, lines, mixing, nearcopies, neighbours, packing, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"), words=4)
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +59,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op3_near_copies": op3_near_copies,
+    "op4_lines": op4_lines,
     "op5_neighbours": op5_neighbours,
     "op6_packing": op6_packing,
     "op7_bitsliced": op7_bitsliced,
