@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, lines, mixing, nearcopies, neighbours, packing, quality, toxicity, warc
+from . import bitsliced, lines, mixing, nearcopies, neighbours, packing, quality, suffixes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table(spark, sf_dir, "documents"), words=4)
 
@@ -59,6 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_suffixes": op2_suffixes,
     "op3_near_copies": op3_near_copies,
     "op4_lines": op4_lines,
     "op5_neighbours": op5_neighbours,
