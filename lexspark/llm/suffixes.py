@@ -15,7 +15,7 @@ Suffixes need to be sorted against each other only where strings of ``length`` b
    named, the text of names is sorted by recursion, the suffixes at 0 modulo 3 are sorted by one symbol and a rank, and merged in. Then
    neighbours are compared on their first ``length`` bytes. In each group of equal ones all but the first are removed.
 
-Recursion ends when names are distinct or tell 3^5 = 243 symbols apart, which is more than ``length`` of 100 asks for.
+Recursion ends when names are distinct: pieces are short and differ, so few levels go beyond ``length`` symbols.
 An anchor with more different pieces than a bucket should hold is dealt out further: its strings become rows, and the first of
 equal ones is found by an aggregate that combines on the map side.
 """
@@ -40,8 +40,8 @@ RANGES = "doc_id long, first int, end int"
 # ---- suffix array -------------------------------------------------------------------------------------------------
 
 
-def suffix_array(t: np.ndarray, depth: int, covered: int = 1) -> np.ndarray:
-    """Suffix array of ``t`` (integers of at least 1), exact in the first ``depth`` original symbols; each symbol here stands for ``covered`` of them."""
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Suffix array of ``t`` (integers of at least 1)."""
     n = len(t)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
@@ -61,8 +61,8 @@ def suffix_array(t: np.ndarray, depth: int, covered: int = 1) -> np.ndarray:
         new = (t[s[1:]] != t[s[:-1]]) | (t[s[1:] + 1] != t[s[:-1] + 1]) | (t[s[1:] + 2] != t[s[:-1] + 2])
     names = np.empty(len(sample), np.int64)
     names[order] = np.concatenate([[1], 1 + np.cumsum(new)])
-    if not new.all() and 3 * covered < depth:
-        order = suffix_array(names, depth, 3 * covered)
+    if not new.all():
+        order = suffix_array(names)
     rank = np.zeros(n + 3, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     sampled = sample[order]
@@ -110,7 +110,7 @@ def later_strings(pieces: list[bytes], doc_ids: np.ndarray, starts: np.ndarray,
     at = first[owner] + offset
     asked = np.full(len(data), -1)
     asked[at] = np.arange(len(at))
-    order = suffix_array(data.astype(np.int64) + 1, length)
+    order = suffix_array(data.astype(np.int64) + 1)
     order = order[asked[order] >= 0]
     group = equal_groups(data, order, length)
     string = asked[order]
