@@ -71,7 +71,7 @@ class ToxicityModel:
         return probability(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, max_labelled: int = 40_000, z: float = 4.5, max_features: int = 20_000, steps: int = 250) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, max_labelled: int = 20_000, z: float = 4.5, max_features: int = 4_000, steps: int = 200) -> ToxicityModel:
     """Learn from ``labels`` (doc_id, toxic 0 or 1) and the texts of ``docs`` (doc_id, text). Without both labels all scores are their share, or 0.5."""
     small_batches(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, "toxic", max_labelled))
@@ -118,18 +118,24 @@ def fit(docs: DataFrame, labels: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6
     return ToxicityModel(weights, bias, sizes, bits)
 
 
-def logistic(lists: list[np.ndarray], y: np.ndarray, scale: np.ndarray, bias: float, steps: int, rate: float = 0.02, decay: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights of logistic regression on features ``scale`` that a row holds or not, by Adam on all rows."""
+def logistic(lists: list[np.ndarray], y: np.ndarray, scale: np.ndarray, bias: float, steps: int, rate: float = 0.02, decay: float = 0.1, block: int = 1000) -> tuple[np.ndarray, float]:
+    """Weights of logistic regression on features ``scale`` that a row holds or not, by Adam on all rows, ``block`` rows at a time."""
     n, m = len(lists), len(scale)
-    index = np.concatenate(lists).astype(np.int64) if n else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), [len(x) for x in lists])
-    value = scale[index]
+    index = np.concatenate(lists) if n else np.zeros(0, np.uint16)
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     w, b = np.zeros(m), bias
     first, second = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[index], n) + b, -500, 500)))
-        e = (p - y) / n
-        g = np.append(np.bincount(index, value * e[row], m) + decay * w / n, e.sum())
+        g = np.append(decay * w / n, 0.0)
+        scaled = scale * w
+        for i in range(0, n, block):
+            k = min(i + block, n)
+            held = index[ends[i] : ends[k]].astype(np.int64)
+            row = np.repeat(np.arange(k - i), np.diff(ends[i : k + 1]))
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, scaled[held], k - i) + b, -500, 500)))
+            e = (p - y[i:k]) / n
+            g[:-1] += np.bincount(held, e[row], m) * scale
+            g[-1] += e.sum()
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
