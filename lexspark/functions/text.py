@@ -155,7 +155,7 @@ def title_from_path(path: Column) -> Column:
 def document_title(text: Column) -> Column:
     """An act's title in the first 2000 characters; else the first line of over 10 in the first 500; else a constant."""
     act = F.regexp_extract(F.substring(text, 1, 2000), r"(THE\s+[A-Z][A-Z\s,'\-]+ACT,?\s+\d{4})", 1)
-    line = F.try_element_at(F.filter(F.transform(F.split(F.substring(text, 1, 500), "\n"), F.trim), lambda x: F.length(x) > 10), F.lit(1))
+    line = F.try_element_at(F.filter(F.transform(F.split(F.substring(text, 1, 500), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 10), F.lit(1))
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(act, r"\s+", " ")), F.lit("")), line, F.lit("Unknown Document"))
 
 

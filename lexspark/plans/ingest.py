@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import chunk_id, with_storage_metadata
 from ..functions.text import clean_text, filter_blank, remove_toc
 from ..operators import detect, parse, quality, split
+from .stages import stage
 
 FAST_PATH, MARGIN, LOW = 0.82, 0.05, 0.70  # fixed values of the arbitration
 
@@ -26,7 +27,10 @@ class Settings:
 
 def prepare(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with clean text that begins after any table of contents."""
-    return docs.withColumn("text", filter_blank(remove_toc(clean_text(F.col("text")))))
+    # a column for each step: as one expression the text would be cleaned anew for every anchor that is looked for
+    for step in (clean_text, remove_toc, filter_blank):
+        docs = docs.withColumn("text", step(F.col("text")))
+    return docs
 
 
 def detected(docs: DataFrame) -> DataFrame:
@@ -37,10 +41,9 @@ def detected(docs: DataFrame) -> DataFrame:
 
 def best_pattern(docs: DataFrame) -> DataFrame:
     """Chunks by the pattern of all fixed ones that scores best by (overall, capture, order of patterns): the first fallback tier."""
-    scored = None
-    for i, p in enumerate((*detect.SECTION_PATTERNS, detect.RULE_PATTERN)):
-        chunks = parse.parse(docs, p).withColumn("pattern_no", F.lit(i))
-        scored = chunks if scored is None else scored.unionByName(chunks)
+    patterns = (*detect.SECTION_PATTERNS, detect.RULE_PATTERN)
+    tried = docs.select("*", F.posexplode(F.array(*[F.lit(p) for p in patterns])).alias("pattern_no", "_pattern"))
+    scored = stage(parse.parse(tried, F.col("_pattern"), ("doc_id", "pattern_no")), "tried")
     found = quality.metrics(scored, ("doc_id", "pattern_no"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("overall"), F.desc("capture"), "pattern_no")
     best = found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id", "pattern_no", F.col("overall").alias("tier_score"))
@@ -110,13 +113,14 @@ def ingest(docs: DataFrame, settings: Settings = Settings(), model: Callable[[Da
 
     ``model`` turns segments (doc_id, doc_title, doc_type, text) into chunks for the third tier; None: there is no model.
     """
-    typed = detected(prepare(docs))
+    typed = stage(detected(stage(prepare(docs), "prepared")), "detected")
     kinds = typed.select("doc_id", "doc_type", "confidence", "section_pattern")
     parts = detect.segments(typed.select("doc_id", "text")).join(kinds, "doc_id")
     unit = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("segment_index").cast("string"))
     parts = parts.withColumn("source_id", F.col("doc_id")).withColumn("doc_id", unit).withColumnRenamed("title", "doc_title")
-    chunks = parse.parse(parts, F.col("section_pattern"), heading_scope=settings.heading_scope)
-    scored = quality.metrics(chunks)
+    parts = stage(parts, "segments")
+    chunks = stage(parse.parse(parts, F.col("section_pattern"), heading_scope=settings.heading_scope), "parsed")
+    scored = stage(quality.metrics(chunks), "metrics")
     routed = parts.select("doc_id").join(scored, "doc_id", "left").select("doc_id", route(F.col("overall"), F.col("n_chunks"), model is not None).alias("route"))
     direct = chunks.join(routed.where("route <> 'fallback'"), "doc_id").withColumn("fallback_tier", F.lit(None).cast("int")).drop("route")
     failed = parts.join(routed.where("route = 'fallback'").select("doc_id"), "doc_id", "left_semi")

@@ -1,0 +1,20 @@
+"""Tables between the stages of a plan: written to the shared folder and read back, so that plans stay small and survive lost executors."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table under spark.checkpoint.dir; where that is unset (tests), under a new folder, which is then set."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="lexspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-plans/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

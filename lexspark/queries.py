@@ -281,7 +281,7 @@ def json_bodies(spark, sf_dir):
 
 
 @query("p23_p24_ids", r"""
-WITH n AS (SELECT *, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM c)
+, n AS (SELECT *, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM c)
 SELECT chunk_id AS source_key, left(sha256(concat_ws('|', doc_title, coalesce(section_number, ''), chunk_index::VARCHAR, '', '0', left(norm, 120))), 32) AS chunk_id,
        left(sha256(norm), 16) AS text_hash, left(coalesce(section_number, 'N/A'), 500) AS section FROM n""", True)
 def ids(spark, sf_dir):
