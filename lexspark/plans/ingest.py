@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import chunk_id, with_storage_metadata
 from ..functions.text import clean_text, filter_blank, remove_toc
 from ..operators import detect, parse, quality, split
-from .stages import stage
+from ..sources.tables import stage
 
 FAST_PATH, MARGIN, LOW = 0.82, 0.05, 0.70  # fixed values of the arbitration
 

@@ -1,4 +1,4 @@
-"""Tables between the stages of a plan: written to the shared folder and read back, so that plans stay small and survive lost executors."""
+"""Tables between the steps of a plan: written to the shared folder and read back, so that plans stay small and survive lost executors."""
 
 from __future__ import annotations
 
