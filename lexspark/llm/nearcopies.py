@@ -4,7 +4,7 @@ A document's set holds its distinct word shingles, as 64-bit hashes. One pass ma
 HyperMinHash registers: the hash's upper bits choose the register, and of the smallest remainder there the
 number of leading zeros and the next ``mantissa`` bits are kept. Sets with equal digests are one class from then on.
 
-Bands of ``rows`` registers (bands of empty registers say nothing) give candidate pairs of classes. A pair is compared on
+Bands of ``rows`` registers, where empty ones borrow from others, give candidate pairs of classes. A pair is compared on
 registers first: the share of equal ones, corrected for chance collisions, must not lie more than five standard errors under the threshold. What
 remains is confirmed on the full sets, made anew from the texts of those classes only.
 
@@ -60,30 +60,47 @@ class Sketcher:
     def __init__(self, registers: int, mantissa: int, rows: int):
         self.m, self.mantissa, self.rows = registers, mantissa, rows
         self.low = 64 - (registers.bit_length() - 1)  # bits below those that choose the register
-
-    def registers(self, s: np.ndarray) -> np.ndarray:
-        """uint16 registers of a set: 1 + leading zeros above the mantissa bits, 0 for empty ones."""
-        out = np.zeros(self.m, np.uint16)
-        if len(s):
-            at = (s >> np.uint64(self.low)).astype(np.int64)
-            least = np.append(True, at[1:] != at[:-1])
-            rest = s[least] & np.uint64((1 << self.low) - 1)
-            _, exponent = np.frexp(np.maximum(rest, np.uint64(1)).astype(np.float64))
-            exponent = np.where((rest >> np.minimum(exponent, 63).astype(np.uint64)) > 0, exponent + 1, exponent)
-            exponent = np.where(rest < (np.uint64(1) << np.maximum(exponent - 1, 0).astype(np.uint64)), exponent - 1, exponent)
-            zeros = self.low - np.maximum(exponent, 1)
-            shift = np.maximum(exponent, 1) - 1 - self.mantissa
-            bits = np.where(shift >= 0, rest >> np.maximum(shift, 0).astype(np.uint64), rest << np.maximum(-shift, 0).astype(np.uint64))
-            bits &= np.uint64((1 << self.mantissa) - 1)
-            out[at[least]] = ((1 + zeros).astype(np.uint64) << np.uint64(self.mantissa) | bits).astype(np.uint16)
+        self.loans = np.random.default_rng(41).integers(0, registers, (registers, 48))  # from which registers an empty one borrows
+
+    def registers(self, sets: list[np.ndarray]) -> np.ndarray:
+        """uint16 registers [set, register]: 1 + leading zeros above the mantissa bits, 0 for empty ones."""
+        out = np.zeros((len(sets), self.m), np.uint16)
+        h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        if len(h):
+            at = (h >> np.uint64(self.low)).astype(np.int64) + np.repeat(np.arange(len(sets)) * self.m, [len(s) for s in sets])
+            least = np.append(True, at[1:] != at[:-1])  # hashes ascend within a set, so the first of a register is its least
+            rest = h[least] & np.uint64((1 << self.low) - 1)
+            length = np.zeros(len(rest), np.int64)  # bits of the remainder
+            left = rest.copy()
+            for step in (32, 16, 8, 4, 2, 1):
+                big = left >= np.uint64(1 << step)
+                length += step * big
+                left = np.where(big, left >> np.uint64(step), left)
+            shift = length - self.mantissa  # ``length`` counts the bits below the leading one
+            bits = np.where(shift >= 0, rest >> np.maximum(shift, 0).astype(np.uint64), rest << np.maximum(-shift, 0).astype(np.uint64)) & np.uint64((1 << self.mantissa) - 1)
+            zeros = self.low - 1 - length
+            out.reshape(-1)[at[least]] = ((1 + zeros) << self.mantissa) | bits.astype(np.int64)
         return out
 
     def bands(self, registers: np.ndarray) -> np.ndarray:
-        own = registers[: self.m // self.rows * self.rows].reshape(-1, self.rows).astype(np.uint64)
-        total = np.arange(len(own), dtype=np.uint64) + np.uint64(1)
+        """int64 band hashes [set, band]. Empty registers first borrow from others in an order fixed for each (optimal densification), so that every band
+        stands for ``rows`` shingles even of a short document."""
+        full = registers != 0
+        short = np.flatnonzero(full.any(1) & ~full.all(1))
+        own = registers.astype(np.uint64)
+        for i in range(0, len(short), 64):
+            part = short[i : i + 64]
+            there = full[part][:, self.loans]  # [set, register, attempt]
+            first = self.loans[np.arange(self.m)[None, :], there.argmax(2)]
+            # where no attempt meets a full register, the first full one lends
+            first = np.where(there.any(2), first, full[part].argmax(1)[:, None])
+            lent = np.take_along_axis(own[part], first, 1)
+            own[part] = np.where(full[part], own[part], lent)
+        own = own[:, : self.m // self.rows * self.rows].reshape(len(registers), -1, self.rows)
+        total = np.broadcast_to(np.arange(own.shape[1], dtype=np.uint64) + np.uint64(1), own.shape[:2])
         for j in range(self.rows):
-            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + own[:, j])
-        return total[own.any(1)].view(np.int64)
+            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + own[:, :, j])
+        return total.view(np.int64)
 
     def collisions(self, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
         """Chance that registers of unlike minima agree, for sets of n1 and n2 elements: by leading zeros, then by mantissa."""
@@ -91,11 +108,14 @@ class Sketcher:
         share = [np.exp(-(n / self.m) * 2.0 ** -(z + 1.0)) - np.exp(-(n / self.m) * 2.0**-z) for n in (np.maximum(n1, 1.0)[None, :], np.maximum(n2, 1.0)[None, :])]
         return (share[0] * share[1]).sum(0) / 2**self.mantissa
 
-    def may_link(self, r1: np.ndarray, r2: np.ndarray, n1: np.ndarray, n2: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(whether a pair is to be confirmed, its estimated similarity) for rows of registers and set sizes."""
+    def may_link(self, r1: np.ndarray, r2: np.ndarray, n1: np.ndarray, n2: np.ndarray, least: float, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a pair is to be confirmed, its estimated similarity) for rows of registers and set sizes.
+
+        Without ``exact`` the correction for collisions, which only lowers estimates, is left out.
+        """
         valid = ((r1 != 0) | (r2 != 0)).sum(1)
         equal = ((r1 == r2) & (r1 != 0)).sum(1) / np.maximum(valid, 1)
-        chance = self.collisions(n1.astype(float), n2.astype(float))
+        chance = self.collisions(n1.astype(float), n2.astype(float)) if exact else 0.0
         estimate = np.clip((equal - chance) / (1 - chance), 0, 1)
         margin = 5 * np.sqrt(least * (1 - least) / np.maximum(valid, 1)) + 0.01
         sizes = np.minimum(n1, n2) >= least * np.maximum(n1, n2)  # intersection <= the smaller, union >= the larger
@@ -107,11 +127,10 @@ def sketches(docs: DataFrame, words: int, sketcher: Sketcher) -> DataFrame:
         for batch in batches:
             texts, ids = as_bytes(batch["text"]), batch["doc_id"].tolist()
             for a, b in by_bytes(texts):
-                rows = []
-                for doc_id, s in zip(ids[a:b], shingle_sets(texts[a:b], words), strict=True):
-                    r = sketcher.registers(s)
-                    rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), r.tobytes(), sketcher.bands(r)))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "registers", "bands"])
+                sets = shingle_sets(texts[a:b], words)
+                r = sketcher.registers(sets)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                out = pd.DataFrame({"doc_id": ids[a:b], "n_shingles": [len(s) for s in sets], "digest": digests, "registers": [x.tobytes() for x in r], "bands": list(sketcher.bands(r))})
                 yield out.astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(make, SKETCH)
@@ -181,24 +200,33 @@ def open_pairs(members: DataFrame, sketcher: Sketcher, least: float, block: int)
     every = mains.select(names).union(left.select(names)).union(right.select(names))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        one = group[group["is_left"]]
-        two = group[~group["is_left"]]
-        two = one if not len(two) and str(group["right"].iloc[0]) == f"r{group['left'].iloc[0]}" else two
+        """All blocks of a bucket, one after another: per-group work in Spark costs more than a small block itself."""
+        group = group.sort_values(["band", "left", "right", "n_shingles"], kind="stable")
+        r = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(len(group), -1)
+        node, component, n, is_left = (group[c].to_numpy() for c in ("node", "component", "n_shingles", "is_left"))
+        right = group["right"].to_numpy()
+        new = np.flatnonzero((np.diff(group["band"].to_numpy()) != 0) | (np.diff(group["left"].to_numpy()) != 0) | (right[1:] != right[:-1])) + 1
         found = []
-        if len(one) and len(two):
-            r2 = np.frombuffer(b"".join(two["registers"]), np.uint16).reshape(len(two), -1)
-            n2, c2, b2 = two["n_shingles"].to_numpy(), two["component"].to_numpy(), two["node"].to_numpy()
-            for node, component, r, n in zip(one["node"], one["component"], one["registers"], one["n_shingles"], strict=True):
-                at = np.flatnonzero((c2 != component) & (np.minimum(n2, n) >= least * np.maximum(n2, n)))
+        for a, b in zip(np.append(0, new).tolist(), np.append(new, len(group)).tolist(), strict=True):
+            one, two = a + np.flatnonzero(is_left[a:b]), a + np.flatnonzero(~is_left[a:b])
+            if not len(two) and right[a] == f"r{group['left'].iat[a]}":
+                two = one  # a block of the others against itself
+            if not len(one) or not len(two):
+                continue
+            n2, c2 = n[two], component[two]  # ascending by size
+            first, last = np.searchsorted(n2, np.ceil(n[one] * least - 1e-9), "left"), np.searchsorted(n2, n[one] / least + 1e-9, "right")
+            for k, i, j in zip(one.tolist(), first.tolist(), last.tolist(), strict=True):
+                at = two[i:j][c2[i:j] != component[k]]
                 if len(at):
-                    r1 = np.broadcast_to(np.frombuffer(r, np.uint16), (len(at), r2.shape[1]))
-                    keep, _ = sketcher.may_link(r1, r2[at], np.full(len(at), n), n2[at], least)
-                    other = b2[at[keep]]
-                    found.append(np.stack([np.minimum(other, node), np.maximum(other, node)]))
+                    keep, _ = sketcher.may_link(r[k : k + 1], r[at], n[k : k + 1], n[at], least, exact=False)
+                    near = node[at[keep]]
+                    found.append(np.stack([np.minimum(near, node[k]), np.maximum(near, node[k])]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
-    return every.groupBy("band", "left", "right").applyInPandas(compare, "a long, b long").distinct()
+    total = members.count()
+    bucket = F.pmod(F.xxhash64("band", "left", "right"), F.lit(max(1, total // 10_000))).alias("bucket")
+    return every.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, registers: int = 128, mantissa: int = 10, rows: int = 4, block: int = 2000) -> DataFrame:
@@ -231,7 +259,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, registers: i
     found = store(components(edges), "components")
     known = shared.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    members = known.join(mixed, "band").join(classes.select("node", "registers", "n_shingles"), "node")
+    members = store(known.join(mixed, "band"), "open-bands").join(classes.select("node", "registers", "n_shingles"), "node")
     more = store(open_pairs(members, sketcher, least, block), "open-pairs")
     more_edges = store(confirm(more, sets_of(more), percent), "more-links")
     if more_edges.limit(1).count():

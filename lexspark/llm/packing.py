@@ -78,7 +78,7 @@ class WordEncoder:
     all other words go through the tokenizer itself.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -158,7 +158,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def boundaries(at: np.ndarray, sentence: np.ndarray, near: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(at: np.ndarray, sentence: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
     """Boundaries of a document of which ``at`` holds the positions after its words: ascending positions and kinds, the end id's last.
 
     Word ends are boundaries only where the sentence ends beside them lie over ``near`` tokens apart.
@@ -261,9 +261,9 @@ def pack_documents(
         packer = Packer(size, (0.0, sentence_penalty, word_penalty), block, TaskContext.get().partitionId() << 33)
         for batch in batches:
             texts, ids, rows = [t if isinstance(t, str) else "" for t in batch["text"]], batch["doc_id"].tolist(), []
-            for first, last in by_bytes(texts, 1 << 21):
+            for first, last in by_bytes(texts):
                 for doc_id, (own, at, sentence) in zip(ids[first:last], enc.encode(texts[first:last]), strict=True):
-                    rows += packer.add(None if doc_id != doc_id else doc_id, np.append(own, np.uint32(end_id)).astype("<u4").tobytes(), *boundaries(at, sentence))
+                    rows += packer.add(None if doc_id != doc_id else doc_id, np.append(own, np.uint32(end_id)).astype("<u4").tobytes(), *boundaries(at, sentence, max(1, size // 16)))
             yield frame(rows)
         yield frame(packer.cut(True))
 

@@ -57,7 +57,7 @@ def is_local(path: str) -> bool:
     return urlparse(path).scheme in ("", "file")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of an Arrow batch, as documents can be long; a smaller setting of the session stays."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
