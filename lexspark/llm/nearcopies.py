@@ -8,8 +8,8 @@ Bands of ``rows`` registers, where empty ones borrow from others, give candidate
 registers first: the share of equal ones, corrected for chance collisions, must not lie more than five standard errors under the threshold. What
 remains is confirmed on the full sets, made anew from the texts of those classes only.
 
-No band's members are all paired. First every member is held against the smallest one, and each class's most
-similar such partner is confirmed. Links inside what is connected by then cannot change a component. Only bands that still
+No band's members are all paired. First every class is held against one other: of its bands' smallest members the
+one it shares most bands with. Links inside what is connected by then cannot change a component. Only bands that still
 hold several components are compared further: members outside a band's largest component against all of other
 components, in blocks of bounded size that compare registers as arrays and give only pairs above the estimate.
 """
@@ -246,9 +246,9 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, registers: i
     band = classes.select("node", F.explode("bands").alias("band"))
     least_of = band.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     shared = store(band.join(least_of, "band").select("band", "node", "a"), "shared-bands")
-    stars = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    stars = store(estimated(stars, classes, sketcher, least), "stars")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
+    stars = shared.where("node <> a").groupBy("a", F.col("node").alias("b")).count()
+    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+    best = store(estimated(stars, classes, sketcher, least), "stars")
     texts = docs.select(F.col("doc_id").alias("node"), "text")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
