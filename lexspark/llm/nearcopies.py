@@ -249,19 +249,16 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, registers: i
     stars = shared.where("node <> a").groupBy("a", F.col("node").alias("b")).count()
     stars = stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
     best = store(estimated(stars, classes, sketcher, least), "stars")
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return store(full_sets(texts.join(nodes, "node", "left_semi"), words).dropDuplicates(["node"]), "sets")
-
-    edges = store(confirm(best, sets_of(best), percent), "links")
+    # texts cross the network once; the nodes grow with the corpus, so the join is the same at every size
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(shared.select("node").distinct().hint("merge"), "node", "left_semi")
+    sets = store(full_sets(texts.dropDuplicates(["node"]), words), "sets")
+    edges = store(confirm(best, sets, percent), "links")
     found = store(components(edges), "components")
     known = shared.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     members = store(known.join(mixed, "band"), "open-bands").join(classes.select("node", "registers", "n_shingles"), "node")
     more = store(open_pairs(members, sketcher, least, block), "open-pairs")
-    more_edges = store(confirm(more, sets_of(more), percent), "more-links")
+    more_edges = store(confirm(more, sets, percent), "more-links")
     if more_edges.limit(1).count():
         found = store(components(edges.union(more_edges)), "components")
     # a class is named by its smallest id, so the smallest node of a component is the smallest id that links lead to
