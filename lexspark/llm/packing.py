@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,7 @@ def plan_cuts(pos: np.ndarray, kind: np.ndarray, size: int, penalties: tuple[flo
 #: Fixed values of the vocabulary's pre-tokenizer: its pattern, and the mark that ends a word.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_MARK = "</w>"
+_STOPS = np.isin(np.arange(256), list(b".!?"))  # bytes that end a sentence at a word's end
 
 
 class WordEncoder:
@@ -99,37 +101,30 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """``slot``: a word's place by its hash; ``first`` and ``sizes`` index ``flat``; ``ends``: the word ends a sentence."""
+        """``slot``: a word's place by its hash; ``first`` and ``sizes`` index ``flat``, by place."""
         self.slot: dict[int, int] = {}
-        self.flat, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
-        self.sizes, self.ends = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
-        self.used = 0
+        self.flat, self.first, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, hashes: list[int], words: list[str]) -> None:
+        """Add words, all in one piece, as steps for each word cost more than its merges."""
+        ranks, plain, pieces = self.ranks, self.plain if self.ranks else lambda w: False, self.pieces
+        found: list = [None] * len(words)
         rest = []
-        for h, w in zip(hashes, words, strict=True):
-            if self.ranks and self.plain(w):
+        for k, w in enumerate(words):
+            if plain(w):
                 low = w.lower()
-                if low.isalpha():
-                    self.put(h, w, self.ranks(low.encode() + b"\xff"))
-                else:
-                    self.put(h, w, [i for x in self.pieces(low) for i in self.ranks(x.encode() + b"\xff")])
+                found[k] = ranks(low.encode() + b"\xff") if low.isalpha() else [i for x in pieces(low) for i in ranks(x.encode() + b"\xff")]
             else:
-                rest.append((h, w))
+                rest.append(k)
         for i in range(0, len(rest), 10_000):
             part = rest[i : i + 10_000]
-            for (h, w), e in zip(part, self.tokenizer.encode_batch_fast([w for _, w in part], add_special_tokens=False), strict=True):
-                self.put(h, w, e.ids)
-
-    def put(self, h: int, word: str, ids: list[int]) -> None:
-        k, n = len(self.slot), len(ids)
-        if k == len(self.first):
-            self.first, self.sizes, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.sizes, self.ends))
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        self.first[k], self.sizes[k], self.ends[k] = self.used, n, word[-1] in ".!?"
-        self.slot[h], self.used = k, self.used + n
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False), strict=True):
+                found[k] = e.ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.slot.update(zip(hashes, range(len(self.slot), len(self.slot) + len(hashes)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each text: its ids, the positions after its words, and whether a sentence or line ends there."""
@@ -143,7 +138,7 @@ class WordEncoder:
         whole = data.tobytes()
         self.learn([keys[i] for i in new], [whole[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
         place = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[inverse]
-        sizes, ends = self.sizes[place], self.ends[place] | (data[np.minimum(end, len(data) - 1)] == 10)
+        sizes, ends = self.sizes[place], _STOPS[data[end - 1]] | (data[np.minimum(end, len(data) - 1)] == 10)
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.first[place] - total[:-1], sizes) + np.arange(total[-1])]
         return [(ids[total[a] : total[b]], total[a + 1 : b + 1] - total[a], ends[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
