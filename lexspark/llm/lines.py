@@ -9,6 +9,9 @@ documents share is found for certain where it is a run of whole lines with ``win
 Each fingerprint is joined with its first position in the corpus (least document id, then line), and the match is
 extended both ways as long as the lines are equal. The run in the later place is deleted. First positions come from a partial
 aggregate, so a passage that a third of all documents hold costs each of them one row.
+
+A passage need not be whole lines, nor need the first holder of a gram hold all of it. So the words are compared as well, whatever
+the lines: each window of ``window_words`` words that stands earlier in the corpus is deleted (see ``repeated_words``).
 """
 
 from __future__ import annotations
@@ -21,9 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, store
+from .shared import _powers, by_bytes, mix, runs, small_batches, store, word_hashes
 
 FINGERPRINTS = "doc_id long, hashes binary, marks array<struct<fp: long, fp2: long, line: int>>"
+STRETCHES = "doc_id long, at int, n int, gram long, k1 long, k2 long"
+WINDOWS = "doc_id long, at int, k1 long, k2 long"
+CUT = "text string, runs array<struct<first: int, end: int>>, words int"
 
 
 def line_hashes(text: str) -> tuple[list[bytes], np.ndarray]:
@@ -112,31 +118,155 @@ def repeated_runs(docs: DataFrame, gram_words: int = 20, window_words: int = 50)
     return runs.select("doc_id", joined.alias("runs"))
 
 
-def without_runs(text, runs):
-    """The text without the lines in ``runs``; the rest joined by line feeds as before."""
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.exists(runs, lambda r: (s["i"] >= r["first"]) & (s["i"] < r["end"])))
-    return F.array_join(F.transform(kept, lambda s: s["x"]), "\n")
+class WordSpans:
+    """128-bit hashes of runs of words of many texts, as differences of prefix sums."""
+
+    def __init__(self, texts: list[str]):
+        self.words, self.first = word_hashes([t.encode() for t in texts], lower=False)
+        fwd, self.inverse = _powers(len(self.words) + 1)
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * fwd[:-1])]) for h in (self.words, mix(self.words ^ np.uint64(0xA0761D6478BD642F)))]
+
+    def hashes(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[k][end] - self.sums[k][start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def keys(self, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+        return {f"k{k + 1}": self.hashes(k, start, end).view(np.int64) for k in (0, 1)}
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """Minimum of each ``n`` neighbours."""
+    size = 1
+    while 2 * size <= n:
+        x, size = np.minimum(x[:-size], x[size:]), 2 * size
+    return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
+
+
+def word_stretches(texts: list[str], gram_words: int, window_words: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Stretches of neighbouring windows whose least gram is the same: the text of each, and its columns of STRETCHES."""
+    spans = WordSpans(texts)
+    n = len(spans.words) - window_words + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), {c: np.zeros(0, np.int64) for c in ("at", "n", "gram", "k1", "k2")}
+    i = np.arange(len(spans.words) - gram_words + 1)
+    least = sliding_min(spans.hashes(0, i, i + gram_words), window_words - gram_words + 1)
+    own = np.searchsorted(spans.first, np.arange(len(spans.words)), "right") - 1
+    inside = own[:n] == own[window_words - 1 :]
+    begins = inside & np.concatenate([[True], (least[1:] != least[:-1]) | (own[1:n] != own[: n - 1]) | ~inside[:-1]])
+    start = np.flatnonzero(begins)
+    stops = np.flatnonzero(np.concatenate([begins | ~inside, [True]]))
+    end = stops[np.searchsorted(stops, start, "right")]  # after the last window of the stretch
+    return own[start], {"at": start - spans.first[own[start]], "n": end - start, "gram": least[start].view(np.int64), **spans.keys(start, end - 1 + window_words)}
+
+
+def earlier(rows: DataFrame, words) -> DataFrame:
+    """``rows`` (doc_id, at, k1, k2) with ``gone``: whether equal keys stand earlier, without overlap; each spans ``words`` words."""
+    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    apart = (F.col("first.doc_id") < F.col("doc_id")) | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.at") + words <= F.col("at")))
+    return rows.join(first, ["k1", "k2"], "left").withColumn("gone", F.coalesce(apart, F.lit(False)))
+
+
+def repeated_words(docs: DataFrame, gram_words: int = 20, window_words: int = 50) -> DataFrame:
+    """(doc_id, spans array<struct<first, end>>): words [first, end) of all windows of ``window_words`` words that stand earlier in the corpus.
+
+    Equal windows hold the same least gram, so only windows with a least gram that occurs again can repeat. Stretches of windows with the
+    same least gram are compared as a whole first; of those that do not stand earlier, each window is compared by itself. So each
+    repeated window meets its own first holder, and what it deletes is whole. A window that overlaps its first holder stays.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text")
+
+    def stretch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+            for a, b in by_bytes(texts):
+                own, columns = word_stretches(texts[a:b], gram_words, window_words)
+                yield pd.DataFrame({"doc_id": ids[a:b][own], **columns})
+
+    stretches = store(rows.mapInPandas(stretch, STRETCHES), "word-stretches")
+    # a stretch of more windows than a window has grams holds its least gram twice
+    often = stretches.groupBy("gram").agg(F.sum(F.when(F.col("n") > window_words - gram_words + 1, 2).otherwise(1)).alias("_n")).where("_n > 1").select("gram")
+    wide = F.col("n") + (window_words - 1)
+    whole = store(earlier(stretches.join(often, "gram", "left_semi"), wide).select("doc_id", "at", "n", "gone"), "word-stretches-held")
+    asked = whole.where("NOT gone").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("parts"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, texts, parts = batch["doc_id"].to_numpy(), batch["text"].tolist(), batch["parts"].tolist()
+            for a, b in by_bytes(texts):
+                spans = WordSpans(texts[a:b])
+                for doc_id, first, own in zip(ids[a:b], spans.first, parts[a:b], strict=False):
+                    at = np.concatenate([np.arange(p["at"], p["at"] + p["n"]) for p in own])
+                    yield pd.DataFrame({"doc_id": doc_id, "at": at, **spans.keys(first + at, first + at + window_words)})
+
+    windows = store(rows.join(asked, "doc_id").mapInPandas(each, WINDOWS), "word-windows")
+    gone = earlier(windows, F.lit(window_words)).where("gone").select("doc_id", F.col("at").alias("first"), (F.col("at") + window_words).alias("end"))
+    gone = gone.unionByName(whole.where("gone").select("doc_id", F.col("at").alias("first"), (F.col("at") + wide).alias("end")))
+    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+
+
+def cut(text: str, line_runs, spans) -> tuple[str, list[dict], int]:
+    """The text without lines in ``line_runs`` and words in ``spans``, the runs of whole lines that went, and the number of words that went from other lines.
+
+    A line whose every word goes is gone as a whole; in others a word goes with the space after it.
+    """
+    data = text.encode()
+    _, _, start, end, _ = word_hashes([data], lower=False, spans=True)
+    lines = text.split("\n")
+    begin = np.concatenate([[0], np.cumsum([len(x.encode()) + 1 for x in lines])])
+    edges = np.zeros(len(start) + 1, np.int64)
+    for s in [] if spans is None else spans:
+        edges[s["first"]] += 1
+        edges[s["end"]] -= 1
+    lost = np.cumsum(edges)[:-1] > 0
+    of = np.searchsorted(begin, start, "right") - 1
+    held, n_lost = np.bincount(of, minlength=len(lines)), np.bincount(of[lost], minlength=len(lines))
+    gone = (held > 0) & (n_lost == held)
+    for r in [] if line_runs is None else line_runs:
+        gone[r["first"] : r["end"]] = True
+    kept = []
+    for i in np.flatnonzero(~gone).tolist():
+        if not n_lost[i]:
+            kept.append(lines[i].encode())
+            continue
+        own, last = np.flatnonzero(of == i), begin[i + 1] - 1
+        ends = np.append(start[own][1:], last)
+        kept.append(data[begin[i] : start[own[0]]] + b"".join(data[start[k] : e] for k, e in zip(own.tolist(), ends.tolist(), strict=True) if not lost[k]))
+    first, last = runs(np.append(gone, False).astype(np.int8))
+    return b"\n".join(kept).decode(), [{"first": a, "end": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)], int(n_lost[~gone].sum())
+
+
+def without_repeats(text, line_runs, spans):
+    """Column of type CUT, by row; null texts stay null."""
+
+    @F.pandas_udf(CUT)
+    def apply(texts: pd.Series, runs_: pd.Series, spans_: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if t is None else cut(t, r, s) for t, r, s in zip(texts, runs_, spans_, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "runs", "words"]).astype({"words": "Int32"})
+
+    return apply(text, line_runs, spans)
 
 
 def dedup_lines(docs: DataFrame, gram_words: int = 20, window_words: int = 50) -> DataFrame:
-    """``docs`` with ``text`` less its repeated runs, and with ``removed_runs``; an n_chars column is set to the new length.
+    """``docs`` with ``text`` less its repeats, ``removed_runs`` (of whole lines) and ``removed_words`` (from other lines); an n_chars column is set to the new length.
 
-    Null and empty texts and rows without an id stay as they are. Rows that repeat an id repeat its text and lose the same lines. A
-    document whose every line is repeated becomes empty. A column removed_runs is refused. An empty table gives no rows.
+    Null and empty texts and rows without an id stay as they are. Rows that repeat an id repeat its text and lose the same words. A
+    document whose every line is repeated becomes empty. Columns removed_runs and removed_words are refused. An empty table gives no rows.
     """
-    if "removed_runs" in docs.columns:
-        raise ValueError("docs has a column removed_runs")
-    runs = store(repeated_runs(docs, gram_words, window_words), "line-runs").withColumnRenamed("runs", "removed_runs")
-    out = docs.join(runs, "doc_id", "left")
-    out = out.withColumn("text", F.when(F.col("removed_runs").isNotNull(), without_runs(F.col("text"), F.col("removed_runs"))).otherwise(F.col("text")))
+    for c in ("removed_runs", "removed_words"):
+        if c in docs.columns:
+            raise ValueError(f"docs has a column {c}")
+    by_line, by_word = repeated_runs(docs, gram_words, window_words), repeated_words(docs, gram_words, window_words)
+    found = store(by_line.join(by_word, "doc_id", "full").withColumn("_found", F.lit(True)), "line-runs")
+    out = docs.join(found, "doc_id", "left").withColumn("_cut", without_repeats(F.when(F.col("_found"), F.col("text")), F.col("runs"), F.col("spans")))
+    out = out.withColumn("removed_runs", F.col("_cut.runs")).withColumn("removed_words", F.col("_cut.words"))
+    out = out.withColumn("text", F.when(F.col("removed_runs").isNotNull(), F.col("_cut.text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed_runs").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "removed_runs")
+    return out.select(*docs.columns, "removed_runs", "removed_words")
 
 
 def removed_lines(docs: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed, n_runs, kept_sha256 (of what is left, in UTF-8; null text: empty)."""
+    """Per document: doc_id, n_lines, n_removed and n_runs (whole lines), n_words_removed (from other lines), kept_sha256 (of what is left, in UTF-8; null text: empty)."""
     out = dedup_lines(docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines")), **options)
     n = F.aggregate("removed_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["first"])
-    return out.select("doc_id", "n_lines", F.coalesce(n, F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.size("removed_runs"), F.lit(0)).cast("long").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", F.coalesce(n, F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.size("removed_runs"), F.lit(0)).cast("long").alias("n_runs"), F.coalesce("removed_words", F.lit(0)).cast("long").alias("n_words_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -224,6 +224,31 @@ def test_lines_guarantee(spark):
     assert got[0] == docs[0][1] and all(run not in got[d] and got[d].count("\n") == 1 for d in range(1, 5))
 
 
+def naive_word_cut(docs, n=50):
+    """Words left of each text once all windows of ``n`` words that stand earlier are deleted."""
+    first, left = {}, {}
+    for d, t in docs:
+        own, gone = t.split(), set()
+        for i in range(len(own) - n + 1):
+            o, j = first.setdefault(tuple(own[i : i + n]), (d, i))
+            if o < d or j + n <= i:
+                gone |= set(range(i, i + n))
+        left[d] = [w for i, w in enumerate(own) if i not in gone]
+    return left
+
+
+def test_lines_inside_long_lines(spark):
+    """A passage of 51 words or more is found inside longer lines, once and again, wherever it stands."""
+    passage = words(69, 1, 5000)
+    docs = [(d, "head\n" + " ".join(words(90 + 7 * d, 100 + d, 5000) + passage + words(40, 200 + d, 5000)) + "\ntail %d" % d) for d in range(4)]
+    docs += [(9, " ".join(words(30, 7, 5000) + passage[9:60] + words(30, 8, 5000) + passage[:50])), (10, " ".join(["ha"] * 200))]
+    got = {x["doc_id"]: x for x in lines.dedup_lines(documents(spark, docs)).collect()}
+    want = naive_word_cut(docs)
+    assert {d: x["text"].split() for d, x in got.items()} == want
+    assert got[0]["text"] == docs[0][1] and got[1]["removed_words"] == 69 and got[9]["removed_words"] == 101 and len(want[10]) == 50
+    assert all(x["n_chars"] == len(x["text"]) for x in got.values())
+
+
 def test_lines_odd_rows(spark):
     got = lines.dedup_lines(documents(spark, ODD)).collect()
     assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in got])) == sorted(map(repr, ODD))
