@@ -158,8 +158,8 @@ def word_stretches(texts: list[str], gram_words: int, window_words: int) -> tupl
     return own[start], {"at": start - spans.first[own[start]], "n": end - start, "gram": least[start].view(np.int64), **spans.keys(start, end - 1 + window_words)}
 
 
-def earlier(rows: DataFrame, words) -> DataFrame:
-    """``rows`` (doc_id, at, k1, k2) with ``gone``: whether equal keys stand earlier, without overlap; each spans ``words`` words."""
+def earlier(rows: DataFrame, words: int) -> DataFrame:
+    """``rows`` (doc_id, at, k1, k2) with ``gone``: whether equal keys stand earlier, in the same document ``words`` words earlier at least."""
     first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     apart = (F.col("first.doc_id") < F.col("doc_id")) | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.at") + words <= F.col("at")))
     return rows.join(first, ["k1", "k2"], "left").withColumn("gone", F.coalesce(apart, F.lit(False)))
@@ -169,8 +169,8 @@ def repeated_words(docs: DataFrame, gram_words: int = 20, window_words: int = 50
     """(doc_id, spans array<struct<first, end>>): words [first, end) of all windows of ``window_words`` words that stand earlier in the corpus.
 
     Equal windows hold the same least gram, so only windows with a least gram that occurs again can repeat. Stretches of windows with the
-    same least gram are compared as a whole first; of those that do not stand earlier, each window is compared by itself. So each
-    repeated window meets its own first holder, and what it deletes is whole. A window that overlaps its first holder stays.
+    same least gram are compared as a whole first. Where all stretches with a gram are equal, that is all; else each window of those that
+    do not stand earlier is compared by itself. So each repeated window meets its own first holder. One that overlaps its first holder stays.
     """
     small_batches(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text")
@@ -184,9 +184,10 @@ def repeated_words(docs: DataFrame, gram_words: int = 20, window_words: int = 50
 
     stretches = store(rows.mapInPandas(stretch, STRETCHES), "word-stretches")
     # a stretch of more windows than a window has grams holds its least gram twice
-    often = stretches.groupBy("gram").agg(F.sum(F.when(F.col("n") > window_words - gram_words + 1, 2).otherwise(1)).alias("_n")).where("_n > 1").select("gram")
-    wide = F.col("n") + (window_words - 1)
-    whole = store(earlier(stretches.join(often, "gram", "left_semi"), wide).select("doc_id", "at", "n", "gone"), "word-stretches-held")
+    long = F.col("n") > window_words - gram_words + 1
+    often = stretches.groupBy("gram").agg(F.sum(F.when(long, 2).otherwise(1)).alias("_n"), (F.max(long) | (F.min("k1") < F.max("k1"))).alias("mixed"))
+    held = stretches.join(often.where("_n > 1").select("gram", "mixed"), "gram").select("doc_id", "at", "n", "k1", "k2", "mixed")
+    whole = store(earlier(held, window_words).where("gone OR mixed").select("doc_id", "at", "n", "gone"), "word-stretches-held")
     asked = whole.where("NOT gone").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("parts"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,8 +200,8 @@ def repeated_words(docs: DataFrame, gram_words: int = 20, window_words: int = 50
                     yield pd.DataFrame({"doc_id": doc_id, "at": at, **spans.keys(first + at, first + at + window_words)})
 
     windows = store(rows.join(asked, "doc_id").mapInPandas(each, WINDOWS), "word-windows")
-    gone = earlier(windows, F.lit(window_words)).where("gone").select("doc_id", F.col("at").alias("first"), (F.col("at") + window_words).alias("end"))
-    gone = gone.unionByName(whole.where("gone").select("doc_id", F.col("at").alias("first"), (F.col("at") + wide).alias("end")))
+    gone = earlier(windows, window_words).where("gone").select("doc_id", F.col("at").alias("first"), (F.col("at") + window_words).alias("end"))
+    gone = gone.unionByName(whole.where("gone").select("doc_id", F.col("at").alias("first"), (F.col("at") + F.col("n") + (window_words - 1)).alias("end")))
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 
