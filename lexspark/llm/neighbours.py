@@ -5,7 +5,8 @@ hidden layer) that learns from each sample vector in which partitions its neighb
 in its most probable partition. A query goes to its several most probable partitions, whose rows are ranked by their exact
 inner products. How many is measured on held-out sample vectors: the fewest with an estimated recall of ``recall``.
 
-The number of partitions follows the table's size, and each partition is split in blocks of bounded size.
+The number of partitions follows the table's size, the sample grows with it (20 vectors a partition at least), and each partition is split in
+blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -119,8 +120,9 @@ def train(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 20
 
 
 def fit(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.96, degree: int = 15) -> Router:
-    """Learn partitions and routing from the sample ``x``, of which a tenth is held out to measure recall."""
-    if len(x) < 20 * parts or parts == 1:
+    """Learn partitions (at most one for 20 vectors) and routing from the sample ``x``, of which a tenth is held out to measure recall."""
+    parts = min(parts, len(x) // 20)
+    if parts <= 1:
         return Router([np.zeros((x.shape[1] if x.ndim == 2 else 1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1, 1)
     held, own = x[::10], np.delete(x, np.s_[::10], axis=0)
     graph = neighbour_graph(own, min(degree, len(own) - 1))
@@ -132,6 +134,7 @@ def fit(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.96, degree: in
     layers = train(own, shares / shares.sum(1, keepdims=True))
     router = Router(layers, parts, parts)
     home = router.logits(own).argmax(1)
+    k = min(k, len(own))
     near = np.argpartition(-(held @ own.T), k - 1, axis=1)[:, :k]
     order = np.argsort(-router.logits(held), axis=1)
     rank = np.empty_like(order)
@@ -172,12 +175,13 @@ def top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.nda
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, part_rows: int = 3200, max_parts: int = 1024, sample_rows: int = 8192, block_rows: int = 1 << 14, chunk_rows: int = 2048, recall: float = 0.96) -> DataFrame:
     """Of each query the k nearest rows found of ``vectors`` (vec_id, v array<double>): query_id, rank, vec_id, score.
 
-    ``sample_rows`` bounds what the driver fits on; the number of partitions is the table's rows over ``part_rows``, between 16 and ``max_parts``.
+    The driver fits on ``sample_rows`` or on 20 rows a partition, if that is more; the number of partitions is the table's rows over ``part_rows``, between 16 and ``max_parts``.
     """
     n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+    parts = min(max_parts, max(16, n // part_rows))
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample_rows, 20 * parts)).toPandas()
     dims = int(sample["v"].map(len).max()) if len(sample) else 1
-    router = fit(vectors_of(sample["v"], dims), min(max_parts, max(16, n // part_rows)), k, recall)
+    router = fit(vectors_of(sample["v"], dims), parts, k, recall)
 
     def route(probes: int):
         @F.pandas_udf("array<int>")

@@ -307,6 +307,15 @@ def test_neighbours_odd_rows(spark):
     assert neighbours.nearest(vectors(spark, rows[:0])).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "parts", "want"), [(8192, 1024, 409), (9000, 450, 450), (200, 16, 10), (30, 16, 1)])
+def test_neighbours_fit_keeps_partitions(rows, parts, want):
+    """The sample bounds the number of partitions, but never makes it one."""
+    x = np.random.default_rng(2).standard_normal((rows, 8))
+    router = neighbours.fit(x, parts)
+    assert router.parts == want and router.logits(x[:5]).shape == (5, want) and 1 <= router.probes <= want
+    assert len(set(router.logits(x).argmax(1).tolist())) > want // 2
+
+
 # ---- 6: packing ---------------------------------------------------------------------------------------------------
 
 
