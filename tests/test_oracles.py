@@ -45,3 +45,8 @@ def test_same_rows(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLES)))
 def test_runs(spark, name):
     assert core.QUERIES[name](spark, str(DATA)).count() > 0
+
+
+def test_ingest_takes_all_statutes(spark):
+    got = {r[0] for r in core.QUERIES["p19_ingest"](spark, str(DATA)).select("doc_id").distinct().collect()}
+    assert got == {r[0] for r in core.statutes(spark, str(DATA)).select("doc_id").collect()} and any(d % 20 for d in got)
