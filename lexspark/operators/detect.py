@@ -57,6 +57,13 @@ TEMPLATES = {
     },
 }
 TYPES = tuple(TEMPLATES)
+#: Signs in the first 5000 characters that stand in for a low window score; ``whole`` patterns are looked for in all the text and add ``bonus``.
+PROFILES = {
+    "GAZETTE_ACT": {"signs": [r"(?m)^\s*\d{1,3}[A-Z]?\.\s+[A-Z][^\n]{3,}[.—\-]", SECTION_LINE, r"(?m)^\s*\d{1,3}[A-Z]?\.[–—]"], "anti": [r"ORDER\s+[IVXLCDM]+"], "whole": [], "bonus": 0.0},
+    "CODIFIED_ACT": {"signs": [r"(?m)^\s*\*?\[?\d{1,3}[A-Z]?\.(?:\s+[A-Z]|\s*\[)", r"(?m)^\s*\*?\[?\d{1,3}[A-Z]?\.\s"], "anti": [], "whole": [ANNOTATION, "Code of Civil Procedure", "THE FIRST SCHEDULE"], "bonus": 0.6},
+    "SCHEDULE_RULES": {"signs": [r"(?m)^ORDER\s+[IVXLCDM]+[A-Z]?", r"(?m)^\[?ORDER\s+[IVXLCDM]+"], "anti": [], "whole": [], "bonus": 0.0},
+    "BARE_ACT": {"signs": [r"(?m)^\d{1,3}[A-Z]?\.\s+[A-Z][a-z]", r"(?m)^\d{1,3}[A-Z]?\.\s*\("], "anti": [ANNOTATION], "whole": [], "bonus": 0.0},
+}
 TITLE_ANCHOR = r"(?i)(?:THE\s+[A-Z][A-Z\s,'\-]{3,}(?:ACT|CODE|RULES|REGULATIONS),?\s+\d{4}|No\.\s*\d{1,3}\s+of\s+\d{4}|An\s+Act\s+to\b|\bCODE\b|\bACT\b)"
 DENSE_MARKERS = (r"(?m)^\s*\d{1,3}[A-Z]?\.\s", CHAPTER_LINE, PART_LINE, r"(?m)^Rule\s+\d+", ORDER_LINE, r"(?m)^SCHEDULE", r"(?m)^Article\s+\d+", ANNOTATION)
 TAIL_ANCHOR = r"(?imd)(?:SCHEDULE|FORM\s+[A-Z\d]|APPENDIX|ANNEXURE|^Rule\s+\d+|^CHAPTER\s+[IVXLCDM]+|^\s*\d{1,3}[A-Z]?\.\s)"
@@ -147,6 +154,17 @@ def template_score(text: Column, doc_type: str) -> Column:
     return F.when(reduce(lambda a, b: a | b, anti), F.lit(0.0)).otherwise(mean) if anti else mean
 
 
+def profile_score(text: Column, doc_type: str) -> Column:
+    """Share of the type's signs in the first 5000 characters, with its bonus at most 1; 0 without a sign or with an anti-sign."""
+    own, sample = PROFILES[doc_type], F.substring(text, 1, 5000)
+    n = reduce(lambda a, b: a + b, [search(sample, p).cast("int") for p in own["signs"]])
+    score = n / len(own["signs"])
+    if own["whole"]:
+        score = score + F.when(reduce(lambda a, b: a | b, [search(text, p) for p in own["whole"]]), F.lit(own["bonus"])).otherwise(0.0)
+    score = F.when(n > 0, F.least(F.lit(1.0), score)).otherwise(0.0)
+    return F.when(reduce(lambda a, b: a | b, [search(sample, p) for p in own["anti"]]), F.lit(0.0)).otherwise(score) if own["anti"] else score
+
+
 def features(text: Column) -> dict[str, Column]:
     return {
         "has_chapters": text.rlike(r"(?i)CHAPTER\s+[IVXLCDM]+"),
@@ -192,6 +210,8 @@ def detect(docs: DataFrame) -> DataFrame:
     for t in TYPES:
         one, two, three = (template_score(F.col(w), t) for w in ("_w1", "_w2", "_w3"))
         rows = rows.withColumn(f"_s_{t}", F.when(F.length("text") < SMALL_DOCUMENT, one).otherwise(MERGE[0] * one + MERGE[1] * two + MERGE[2] * three))
+        if t in PROFILES:  # a score under 0.10 is raised to half the profile's
+            rows = rows.withColumn(f"_s_{t}", F.when(F.col(f"_s_{t}") < 0.10, F.greatest(F.col(f"_s_{t}"), 0.5 * profile_score(F.col("text"), t))).otherwise(F.col(f"_s_{t}")))
     final = adjusted(F.col("text"), {t: F.col(f"_s_{t}") for t in TYPES})
     best = F.array_max(F.array(*[F.struct(final[t].alias("score"), F.lit(-i).alias("place"), F.lit(t).alias("type")) for i, t in enumerate(TYPES)]))
     rows = rows.withColumn("_best", best)

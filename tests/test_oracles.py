@@ -50,3 +50,10 @@ def test_runs(spark, name):
 def test_ingest_takes_all_statutes(spark):
     got = {r[0] for r in core.QUERIES["p19_ingest"](spark, str(DATA)).select("doc_id").distinct().collect()}
     assert got == {r[0] for r in core.statutes(spark, str(DATA)).select("doc_id").collect()} and any(d % 20 for d in got)
+
+
+def test_detect_raises_low_scores_by_profiles(spark):
+    """Worked out from the reference's rules: window scores under 0.10, raised to half the profile's."""
+    docs = [(1, "x\n1. (1) abc\n2. (1) def\n"), (2, "see the first schedule\n1. (1) abc\n"), (3, "1.(1) abc\n"), (4, "nothing here\n"), (5, "1.—abc\n")]
+    got = {r["doc_id"]: (r["doc_type"], round(r["confidence"], 6)) for r in core.detect.detect(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: ("CODIFIED_ACT", 0.25), 2: ("CODIFIED_ACT", 0.5), 3: ("BARE_ACT", 0.25), 4: ("GENERIC", 0.0), 5: ("GAZETTE_ACT", 0.166667)}
