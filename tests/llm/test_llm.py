@@ -249,6 +249,17 @@ def test_lines_inside_long_lines(spark):
     assert all(x["n_chars"] == len(x["text"]) for x in got.values())
 
 
+def test_lines_beside_a_smaller_first_holder(spark):
+    """What B and C share goes as a whole, though an earlier A holds a part of it."""
+    docs = []
+    for v in range(12):
+        own = [" ".join(words(12, 1000 * v + k, 5000)) for k in range(5)]
+        docs += [(10 * v, "\n".join(own[1:3])), *[(10 * v + d, f"before {v} {d}\n" + "\n".join(own) + f"\nafter{v}{d}") for d in (1, 2)]]
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(documents(spark, docs)).collect()}
+    want = naive_word_cut(docs)
+    assert all(want[10 * v + 2] == ["before", str(v), "2", f"after{v}2"] == got[10 * v + 2].split() for v in range(12))
+
+
 def test_lines_odd_rows(spark):
     got = lines.dedup_lines(documents(spark, ODD)).collect()
     assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in got])) == sorted(map(repr, ODD))
