@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +15,13 @@ _WORK: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of this application: under spark.checkpoint.dir, or under a new folder where that is unset (tests)."""
+    """The shared folder of this application: under spark.checkpoint.dir, or under a new folder where that is unset and all runs in one process (tests)."""
     app = spark.sparkContext.applicationId
     if app not in _WORK:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lexspark-")
             spark.conf.set("spark.checkpoint.dir", base)
         _WORK[app] = f"{base.rstrip('/')}/{app}-{uuid.uuid4().hex[:8]}"
@@ -31,14 +32,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, and no executor's loss undoes it.
 
-    ``paths`` collects the place, for ``drop`` once nothing reads the table any more.
+    The shuffle files of the write go with its end, as nothing reads them again. ``paths`` collects the place, for ``drop`` once nothing
+    reads the table any more.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     if paths is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,8 +63,19 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def is_local(path: str) -> bool:
-    return urlparse(path).scheme in ("", "file")
+class Scratch:
+    """The stored tables between the steps of one call; they go once its result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        return store(df, name, self.paths)
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        out = store(df, name)
+        drop(self.spark, self.paths)
+        return out
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -63,13 +84,6 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def keep_columns(df: DataFrame, *needed: str) -> list[str]:
-    missing = [c for c in needed if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
-    return [c for c in df.columns if c not in needed]
-
-
 def word_count(text) -> "F.Column":
     """Number of words of the contracts' pattern (null: 0), in the JVM: splits of what remains once outer space is trimmed."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
