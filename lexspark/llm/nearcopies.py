@@ -345,7 +345,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, registers: i
         known = shared.join(found, "node", "left").select("band", "place", "node", F.coalesce("component", "node").alias("component"))
         mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
         members = scratch.store(known.join(mixed, "band").join(some_classes, "node"), f"open-bands-{name}")
-        return open_blocks(members, block), max(1, members.count() // 10_000)
+        return open_blocks(members, block), max(1, members.count() // 1000)
 
     open_, buckets = blocks(found, "1")
     nearest = scratch.store(nearest_components(open_, sketcher, least, buckets), "nearest-components")
@@ -354,7 +354,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, registers: i
     open_, buckets = blocks(found, "2")
     rest = scratch.store(undecided(open_, sketcher, least, buckets), "undecided")
     size = rest.agg(F.sum("n_shingles")).first()[0] or 0
-    more = scratch.store(links_in_blocks(rest, sets, sketcher, least, percent, max(1, size // (4 << 20))), "links-in-blocks")
+    more = scratch.store(links_in_blocks(rest, sets, sketcher, least, percent, max(1, size // (1 << 20))), "links-in-blocks")
     if more.limit(1).count():
         found = scratch.store(components(edges.union(more)), "components")
     # a class is named by its smallest id, so the smallest node of a component is the smallest id that links lead to
