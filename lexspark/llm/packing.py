@@ -89,7 +89,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(set(t) & {" ", "\n"} for t in self.special):
+            raise ValueError("added tokens must not hold spaces or line feeds, as texts are encoded by word")
         self.pieces, self.plain = regex.compile(PIECE).findall, re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
@@ -111,7 +113,7 @@ class WordEncoder:
         found: list = [None] * len(words)
         rest = []
         for k, w in enumerate(words):
-            if plain(w):
+            if plain(w) and not any(t in w for t in self.special):
                 low = w.lower()
                 found[k] = ranks(low.encode() + b"\xff") if low.isalpha() else [i for x in pieces(low) for i in ranks(x.encode() + b"\xff")]
             else:
@@ -245,6 +247,8 @@ def pack_documents(
 
     ``tokenizer``: path of a tokenizers file, or a function that gives it on the executor. Null and empty texts are one
     end id. Null ids stay null; repeated rows are packed each; other columns are not read. An empty table gives no rows.
+    Texts may be of any length: they are encoded by words and cut freely. Strings of the tokenizer's special tokens get those tokens' ids, as
+    its defaults have it. Ties between cuts of equal cost go to the first that the queue meets, the same in each run over the same partitions.
     Sequence ids carry the partition's number in their upper half, so no partition waits for another.
     """
     small_batches(docs.sparkSession)

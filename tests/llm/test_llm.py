@@ -355,10 +355,10 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     r = random.Random(2)
-    docs = [(100 + i, ". ".join(" ".join(r.choice(["Law", "é", "don't", "x9", "Straße", "東京", "<|endoftext|>", "a\tb"]) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(0, 60)))) for i in range(40)] + ODD
+    docs = [(100 + i, ". ".join(" ".join(r.choice(["Law", "é", "don't", "x9", "Straße", "東京", "<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|>", "<|endoftext", "a\tb"]) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(0, 60)))) for i in range(40)] + ODD
     got = packing.pack_documents(documents(spark, docs), word_tokenizer, size=64, block=512, sentence_penalty=1.0, word_penalty=4.0).collect()
     tok = Tokenizer.from_file(word_tokenizer())
-    tok.encode_special_tokens = True
+    assert tok.encode("a<|endoftext|>b", add_special_tokens=False).ids[1] == 49407
     ids = {d: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for d, t in docs if d is not None}
     parts, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for p in got:
