@@ -17,6 +17,7 @@ the lines: each window of ``window_words`` words that stands earlier in the corp
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _powers, by_bytes, mix, runs, small_batches, store, word_hashes
+from .shared import Scratch, _powers, by_bytes, mix, runs, small_batches, word_hashes
 
 FINGERPRINTS = "doc_id long, hashes binary, marks array<struct<fp: long, fp2: long, line: int>>"
 STRETCHES = "doc_id long, at int, n int, gram long, k1 long, k2 long"
@@ -45,19 +46,38 @@ def reach(words: np.ndarray, least: int) -> np.ndarray:
     return np.where(end < len(total), end, -1)
 
 
-def fingerprints(hashes: list[bytes], words: np.ndarray, gram_words: int, window_words: int) -> list[tuple[bytes, int]]:
-    """(gram digest, first line) of the selected grams; the first of equal least hashes in a window."""
+def fingerprints(hashes: list[bytes], words: np.ndarray, gram_words: int, window_words: int) -> list[tuple[int, int, int]]:
+    """(two hashes of the gram, first line) of the selected grams; the first of equal least hashes in a window.
+
+    Grams are differences of prefix sums and windows share a monotone queue, so that the cost is linear in the lines, however many a gram holds.
+    """
     ends = reach(words, gram_words)
-    grams = [hashlib.blake2b(b"".join(hashes[i:e]), digest_size=16).digest() if e > 0 else b"" for i, e in enumerate(ends.tolist())]
-    chosen = set()
+    starts = np.flatnonzero(ends > 0)
+    if not len(starts):
+        return []
+    h = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
+    fwd, inverse = _powers(len(h) + 1)
+    keys = []
+    for k in (0, 1):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h[:, k]) * fwd[:-1])])
+        keys.append(mix((total[ends[starts]] - total[starts]) * inverse[starts] + (ends[starts] - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64).tolist())
+    starts, ends = starts.tolist(), ends.tolist()  # grams begin at all lines up to the last that has enough words after it
+    queue, chosen, j = deque(), set(), 0
     for i, e in enumerate(reach(words, window_words).tolist()):
-        if e > 0:
-            inside = [j for j in range(i, e) if 0 < ends[j] <= e]
-            chosen.add(min(inside, key=grams.__getitem__))
-    return [(grams[j], j) for j in sorted(chosen)]
-
-
-def extend(own: np.ndarray, other: np.ndarray, marks: list[tuple[int, int]], same: bool) -> list[tuple[int, int]]:
+        if e < 0:
+            break
+        while j < len(starts) and ends[j] <= e:
+            while queue and (keys[0][queue[-1]], keys[1][queue[-1]]) > (keys[0][j], keys[1][j]):
+                queue.pop()
+            queue.append(j)
+            j += 1
+        while queue[0] < i:
+            queue.popleft()
+        chosen.add(queue[0])
+    return [(keys[0][j], keys[1][j], j) for j in sorted(chosen)]
+
+
+def extend(own: np.ndarray, other: np.ndarray, marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs [first, end) of ``own`` lines equal to ``other`` lines, from each pair of lines in ``marks`` both ways; runs found already are not walked again."""
     runs: list[tuple[int, int]] = []
     done: dict[int, int] = {}  # end of the last run by its shift
@@ -80,7 +100,7 @@ def mark(docs: DataFrame, gram_words: int, window_words: int) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 hashes, words = line_hashes(text)
-                marks = [(*np.frombuffer(g, "<i8").tolist(), i) for g, i in fingerprints(hashes, words, gram_words, window_words)]
+                marks = fingerprints(hashes, words, gram_words, window_words)
                 rows.append((doc_id, b"".join(hashes), [dict(zip(("fp", "fp2", "line"), m, strict=True)) for m in marks]))
             yield pd.DataFrame(rows, columns=["doc_id", "hashes", "marks"])
 
@@ -88,23 +108,23 @@ def mark(docs: DataFrame, gram_words: int, window_words: int) -> DataFrame:
     return rows.mapInPandas(make, FINGERPRINTS)
 
 
-def repeated_runs(docs: DataFrame, gram_words: int = 20, window_words: int = 50) -> DataFrame:
+def repeated_runs(docs: DataFrame, scratch: Scratch, gram_words: int = 20, window_words: int = 50) -> DataFrame:
     """(doc_id, runs array<struct<first, end>>) of the documents that repeat lines: deleted lines, as disjoint runs [first, end)."""
     small_batches(docs.sparkSession)
-    marked = store(mark(docs, gram_words, window_words), "line-marks")
+    marked = scratch.store(mark(docs, gram_words, window_words), "line-marks")
     each = marked.select("doc_id", F.explode("marks").alias("m")).select("doc_id", "m.*")
     first = each.groupBy("fp", "fp2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = each.join(first, ["fp", "fp2"]).where(F.struct("doc_id", "line") > F.col("first"))
     later = later.groupBy("doc_id", F.col("first.doc_id").alias("origin")).agg(F.collect_list(F.struct(F.col("line").alias("i"), F.col("first.line").alias("j"))).alias("marks"))
     own = marked.select("doc_id", F.col("hashes").alias("own"))
     other = marked.select(F.col("doc_id").alias("origin"), F.col("hashes").alias("other"))
-    pairs = store(later, "line-matches").join(own, "doc_id").join(other, "origin")
+    pairs = scratch.store(later, "line-matches").join(own, "doc_id").join(other, "origin")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, origin, marks, a, b in zip(*(batch[c] for c in ("doc_id", "origin", "marks", "own", "other")), strict=True):
-                found = extend(np.frombuffer(a, "S16"), np.frombuffer(b, "S16"), [(m["i"], m["j"]) for m in marks], doc_id == origin)
+                found = extend(np.frombuffer(a, "S16"), np.frombuffer(b, "S16"), [(m["i"], m["j"]) for m in marks])
                 rows.append((doc_id, [{"first": x, "end": y} for x, y in found]))
             yield pd.DataFrame(rows, columns=["doc_id", "runs"])
 
@@ -165,7 +185,7 @@ def earlier(rows: DataFrame, words: int) -> DataFrame:
     return rows.join(first, ["k1", "k2"], "left").withColumn("gone", F.coalesce(apart, F.lit(False)))
 
 
-def repeated_words(docs: DataFrame, gram_words: int = 20, window_words: int = 50) -> DataFrame:
+def repeated_words(docs: DataFrame, scratch: Scratch, gram_words: int = 20, window_words: int = 50) -> DataFrame:
     """(doc_id, spans array<struct<first, end>>): words [first, end) of all windows of ``window_words`` words that stand earlier in the corpus.
 
     Equal windows hold the same least gram, so only windows with a least gram that occurs again can repeat. Stretches of windows with the
@@ -182,12 +202,12 @@ def repeated_words(docs: DataFrame, gram_words: int = 20, window_words: int = 50
                 own, columns = word_stretches(texts[a:b], gram_words, window_words)
                 yield pd.DataFrame({"doc_id": ids[a:b][own], **columns})
 
-    stretches = store(rows.mapInPandas(stretch, STRETCHES), "word-stretches")
+    stretches = scratch.store(rows.mapInPandas(stretch, STRETCHES), "word-stretches")
     # a stretch of more windows than a window has grams holds its least gram twice
     long = F.col("n") > window_words - gram_words + 1
     often = stretches.groupBy("gram").agg(F.sum(F.when(long, 2).otherwise(1)).alias("_n"), (F.max(long) | (F.min("k1") < F.max("k1"))).alias("mixed"))
     held = stretches.join(often.where("_n > 1").select("gram", "mixed"), "gram").select("doc_id", "at", "n", "k1", "k2", "mixed")
-    whole = store(earlier(held, window_words).where("gone OR mixed").select("doc_id", "at", "n", "gone"), "word-stretches-held")
+    whole = scratch.store(earlier(held, window_words).where("gone OR mixed").select("doc_id", "at", "n", "gone"), "word-stretches-held")
     asked = whole.where("NOT gone").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("parts"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +219,7 @@ def repeated_words(docs: DataFrame, gram_words: int = 20, window_words: int = 50
                     at = np.concatenate([np.arange(p["at"], p["at"] + p["n"]) for p in own])
                     yield pd.DataFrame({"doc_id": doc_id, "at": at, **spans.keys(first + at, first + at + window_words)})
 
-    windows = store(rows.join(asked, "doc_id").mapInPandas(each, WINDOWS), "word-windows")
+    windows = scratch.store(rows.join(asked, "doc_id").mapInPandas(each, WINDOWS), "word-windows")
     gone = earlier(windows, window_words).where("gone").select("doc_id", F.col("at").alias("first"), (F.col("at") + window_words).alias("end"))
     gone = gone.unionByName(whole.where("gone").select("doc_id", F.col("at").alias("first"), (F.col("at") + F.col("n") + (window_words - 1)).alias("end")))
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
@@ -224,14 +244,15 @@ def cut(text: str, line_runs, spans) -> tuple[str, list[dict], int]:
     gone = (held > 0) & (n_lost == held)
     for r in [] if line_runs is None else line_runs:
         gone[r["first"] : r["end"]] = True
+    word = np.concatenate([[0], np.cumsum(held)])  # number of each line's first word
     kept = []
     for i in np.flatnonzero(~gone).tolist():
         if not n_lost[i]:
             kept.append(lines[i].encode())
             continue
-        own, last = np.flatnonzero(of == i), begin[i + 1] - 1
-        ends = np.append(start[own][1:], last)
-        kept.append(data[begin[i] : start[own[0]]] + b"".join(data[start[k] : e] for k, e in zip(own.tolist(), ends.tolist(), strict=True) if not lost[k]))
+        a, b = int(word[i]), int(word[i + 1])
+        ends = np.append(start[a + 1 : b], begin[i + 1] - 1)
+        kept.append(data[begin[i] : start[a]] + b"".join(data[x:y] for x, y, go in zip(start[a:b].tolist(), ends.tolist(), lost[a:b].tolist(), strict=True) if not go))
     first, last = runs(np.append(gone, False).astype(np.int8))
     return b"\n".join(kept).decode(), [{"first": a, "end": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)], int(n_lost[~gone].sum())
 
@@ -256,8 +277,9 @@ def dedup_lines(docs: DataFrame, gram_words: int = 20, window_words: int = 50) -
     for c in ("removed_runs", "removed_words"):
         if c in docs.columns:
             raise ValueError(f"docs has a column {c}")
-    by_line, by_word = repeated_runs(docs, gram_words, window_words), repeated_words(docs, gram_words, window_words)
-    found = store(by_line.join(by_word, "doc_id", "full").withColumn("_found", F.lit(True)), "line-runs")
+    scratch = Scratch(docs.sparkSession)
+    by_line, by_word = repeated_runs(docs, scratch, gram_words, window_words), repeated_words(docs, scratch, gram_words, window_words)
+    found = scratch.finish(by_line.join(by_word, "doc_id", "full").withColumn("_found", F.lit(True)), "line-runs")
     out = docs.join(found, "doc_id", "left").withColumn("_cut", without_repeats(F.when(F.col("_found"), F.col("text")), F.col("runs"), F.col("spans")))
     out = out.withColumn("removed_runs", F.col("_cut.runs")).withColumn("removed_words", F.col("_cut.words"))
     out = out.withColumn("text", F.when(F.col("removed_runs").isNotNull(), F.col("_cut.text")).otherwise(F.col("text")))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import bitsliced, components, lines, mixing, nearcopies, neighbours, packing, quality, suffixes, toxicity, warc
 from lexspark.llm.queries import word_tokenizer
-from lexspark.llm.shared import new_path
+from lexspark.llm.shared import Scratch, new_path
 
 SF = "/root/testdata/sf0.001"
 has_data = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables are not here")
@@ -189,31 +190,65 @@ def test_components(spark):
 # ---- 4: lines -----------------------------------------------------------------------------------------------------
 
 
+def naive_fingerprints(text, gram_words=20, window_words=50):
+    """{(lines of the gram, its first line)} that each window selects, by the definition; grams ordered by the operator's hash of them alone."""
+    own = text.split("\n")
+
+    def end(i, least):
+        n = 0
+        for j in range(i, len(own)):
+            n += len(own[j].split())
+            if n >= least:
+                return j + 1
+        return None
+
+    def order(i):
+        gram = "\n".join(own[i : end(i, gram_words)])
+        return lines.fingerprints(*lines.line_hashes(gram), gram_words, gram_words)[0][:2]
+
+    out = set()
+    for i in range(len(own)):
+        e = end(i, window_words)
+        if e is not None:
+            inside = [j for j in range(i, e) if (g := end(j, gram_words)) is not None and g <= e]
+            best = min(inside, key=lambda j: (order(j), j))
+            out.add((tuple(own[best : end(best, gram_words)]), best))
+    return out
+
+
 def test_lines_against_first_occurrences(spark):
+    """Whole lines against brute force on the texts: first holder of each selected gram, extended both ways. No word pass, so lines alone."""
     r = random.Random(6)
-    pool = [" ".join(words(r.randrange(1, 40), i)) for i in range(25)]
+    pool = [" ".join(words(r.randrange(1, 40), i)) for i in range(25)] + [""]
     docs = [(d, "\n".join(r.choice(pool) if r.random() < 0.7 else f"only {d} {k}" for k in range(r.randrange(0, 12)))) for d in range(40)]
-    got = {x["doc_id"]: x for x in lines.dedup_lines(documents(spark, docs)).collect()}
-    first, marks = {}, {}
+    df = documents(spark, docs)
+    got = {x["doc_id"]: {i for run in x["runs"] for i in range(run["first"], run["end"])} for x in lines.repeated_runs(df, Scratch(spark)).collect()}
+    first = {}
     for d, t in docs:
-        h, w = lines.line_hashes(t)
-        marks[d] = h, lines.fingerprints(h, w, 20, 50)
-        for g, i in marks[d][1]:
-            first.setdefault(g, (d, i))
+        for g, i in naive_fingerprints(t):
+            first[g] = min(first.get(g, (d, i)), (d, i))
     for d, t in docs:
-        h, own = marks[d]
-        gone = set()
-        for g, i in own:
+        own, gone = t.split("\n"), set()
+        for g, i in naive_fingerprints(t):
             o, j = first[g]
             if (o, j) < (d, i):
-                other, a, b = marks[o][0], 0, 0
-                while i - a > 0 and j - a > 0 and h[i - a - 1] == other[j - a - 1]:
+                other, a, b = docs[o][1].split("\n"), 0, 0
+                while i - a > 0 and j - a > 0 and own[i - a - 1] == other[j - a - 1]:
                     a += 1
-                while i + b < len(h) and j + b < len(other) and h[i + b] == other[j + b]:
+                while i + b < len(own) and j + b < len(other) and own[i + b] == other[j + b]:
                     b += 1
                 gone |= set(range(i - a, i + b))
-        assert got[d]["text"] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-        assert got[d]["n_chars"] == len(got[d]["text"])
+        assert got.get(d, set()) == gone
+
+
+def test_lines_are_linear():
+    """A million lines, most of them blank or of one word, in seconds."""
+    begun = time.perf_counter()
+    text = "\n" * 300_000 + " ".join(words(60, 1)) + "\n" + "\n".join(words(700_000, 2, 9999))
+    found = lines.fingerprints(*lines.line_hashes(text), 20, 50)
+    cut, runs, n = lines.cut(text, [{"first": 300_001, "end": 400_000}], [{"first": 3, "end": 9}, {"first": 500_000, "end": 500_100}])
+    assert len(found) > 20_000 and n == 6 and len(runs) == 2 and cut.count("\n") == text.count("\n") - 99_999 - 100
+    assert time.perf_counter() - begun < 60
 
 
 def test_lines_guarantee(spark):
@@ -416,10 +451,41 @@ def test_targets_and_mix(spark):
         assert source_size == size[s] and t == pytest.approx(target[s]) and words_taken == copies * n <= 3 * n
         taken[s] += words_taken
         largest[s] = max(largest[s], n)
-    assert all(abs(taken[s] - target[s]) <= largest[s] for s in names) and len(got) == len(rows)
+    assert all(abs(taken[s] - target[s]) <= max(2, 0.02 * target[s]) for s in names if s not in ("tiny", "void")) and len(got) == len(rows)
+    assert taken["tiny"] <= 6 and taken["void"] == 0
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="driver tables are not here")
+def test_mix_meets_targets(spark):
+    """Sources of some fifty documents, one of which may hold a third of all words, miss their targets by 2 % at most."""
+    out = mixing.mix_sources(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    per = out.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] for r in per)
+
+
+def test_settle_last_keeps_expectations():
+    rng = np.random.default_rng(1)
+    size, p = np.array([64.0, 30.0, 20.0, 9.0, 5.0, 3.0, 1.0]), np.array([0.5, 0.4, 0.6, 0.5, 0.3, 0.6, 0.5])
+    drawn = np.array([mixing.settle_last(p, size, rng.random(7)) for _ in range(2000)])
+    assert np.abs(drawn @ size - p @ size).max() <= 5 and np.abs(drawn.mean(0) - p)[:4].max() < 0.15
+
+
+def test_repeat_documents(spark):
+    """Null ids, null and empty texts, repeated rows, columns with the operator's own names, an empty table."""
+    names = "doc_id long, text string, source string, row string, tag int, n int, total int, times string, size int, `a.b` string, _copies int"
+    rows = [(d, t, s, "r", 1, 2, 3, "x", 4, "y", 5) for d, t, s in [(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", "s"), (None, "d e", None), (2, None, "s"), (3, "", None), (4, "f g h i", None), (None, None, None)]]
+    df = spark.createDataFrame(rows, names)
+    out = mixing.repeat_documents(df)
+    assert out.columns == df.columns
+    got = collections.Counter(tuple(r) for r in out.collect())
+    mix = mixing.mix_sources(df).groupBy("doc_id", "source").agg(F.sum("copies")).collect()
+    want = {(r[0], r[1]): r[2] for r in mix}
+    for row in set(rows):
+        assert got[row] == (want[row[0], row[2]] if row[1] else 0)
+    assert mixing.repeat_documents(df.limit(0)).count() == 0
+
+
 def test_pivotal_keeps_expectations():
     rng = np.random.default_rng(0)
     size, p = np.array([5.0, 3.0, 8.0, 2.0, 4.0]), np.array([0.2, 0.5, 0.7, 0.4, 0.9])
