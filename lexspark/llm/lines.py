@@ -46,6 +46,17 @@ def reach(words: np.ndarray, least: int) -> np.ndarray:
     return np.where(end < len(total), end, -1)
 
 
+def gram_keys(hashes: list[bytes], starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Two hashes of each run of lines [start, end), as differences of prefix sums."""
+    h = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
+    fwd, inverse = _powers(len(h) + 1)
+    keys = []
+    for k in (0, 1):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h[:, k]) * fwd[:-1])])
+        keys.append(mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64).tolist())
+    return list(zip(*keys, strict=True))
+
+
 def fingerprints(hashes: list[bytes], words: np.ndarray, gram_words: int, window_words: int) -> list[tuple[int, int, int]]:
     """(two hashes of the gram, first line) of the selected grams; the first of equal least hashes in a window.
 
@@ -55,26 +66,21 @@ def fingerprints(hashes: list[bytes], words: np.ndarray, gram_words: int, window
     starts = np.flatnonzero(ends > 0)
     if not len(starts):
         return []
-    h = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
-    fwd, inverse = _powers(len(h) + 1)
-    keys = []
-    for k in (0, 1):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h[:, k]) * fwd[:-1])])
-        keys.append(mix((total[ends[starts]] - total[starts]) * inverse[starts] + (ends[starts] - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64).tolist())
+    keys = gram_keys(hashes, starts, ends[starts])
     starts, ends = starts.tolist(), ends.tolist()  # grams begin at all lines up to the last that has enough words after it
     queue, chosen, j = deque(), set(), 0
     for i, e in enumerate(reach(words, window_words).tolist()):
         if e < 0:
             break
         while j < len(starts) and ends[j] <= e:
-            while queue and (keys[0][queue[-1]], keys[1][queue[-1]]) > (keys[0][j], keys[1][j]):
+            while queue and keys[queue[-1]] > keys[j]:
                 queue.pop()
             queue.append(j)
             j += 1
         while queue[0] < i:
             queue.popleft()
         chosen.add(queue[0])
-    return [(keys[0][j], keys[1][j], j) for j in sorted(chosen)]
+    return [(*keys[j], j) for j in sorted(chosen)]
 
 
 def extend(own: np.ndarray, other: np.ndarray, marks: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -203,8 +203,8 @@ def naive_fingerprints(text, gram_words=20, window_words=50):
         return None
 
     def order(i):
-        gram = "\n".join(own[i : end(i, gram_words)])
-        return lines.fingerprints(*lines.line_hashes(gram), gram_words, gram_words)[0][:2]
+        gram = lines.line_hashes("\n".join(own[i : end(i, gram_words)]))[0]
+        return lines.gram_keys(gram, np.array([0]), np.array([len(gram)]))[0]
 
     out = set()
     for i in range(len(own)):
