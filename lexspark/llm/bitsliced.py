@@ -4,7 +4,9 @@ Each block of at most ``block_rows`` vectors keeps, for every component and ever
 scores of all rows of a block are added up with bitmap arithmetic only: sums of components are taken from tables of the 16 subset
 sums of four components (themselves bit-sliced), one for each bit of the query's components, and then weighed by
 doubling. The k best rows follow from the slices of the result, the most significant first; rows on the boundary have equal scores and are
-taken by id. Blocks meet query chunks in a cogroup, so every task holds one block and one chunk.
+taken by id. The bitmaps of a block are made once and stored as one row, so are the vectors of a chunk of queries; they meet in a
+cogroup by the numbers of both, so every task holds one block and one chunk, and a row crosses the network once as a row and then as a few bits
+a component for each ``chunk_rows`` queries.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import Scratch, store
 
 RESULT = "query_id long, vec_id long, score long"
 Slices = list[np.ndarray]
@@ -73,23 +75,25 @@ def add(a: Slices, b: Slices, carry: np.ndarray | None = None, width: int | None
 class Block:
     """Bit-sliced index over the rows of ``vectors`` (ids ascending). Components are kept as unsigned numbers, less by ``offset``."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.rows = ids, len(ids)
-        self.width = width_of(vectors)
+    def __init__(self, ids: np.ndarray, slices: np.ndarray):
+        self.ids, self.rows, (self.width, dims, self.words) = ids, len(ids), slices.shape
         self.offset = 1 << (self.width - 1)
-        shifted = vectors + self.offset
-        dims = vectors.shape[1]
-        self.words = -(-self.rows // 64)
-        slices = [bitmaps(((shifted >> b) & 1).T.astype(np.uint8)) for b in range(self.width)]  # [bit][component, word]
         zero = np.zeros(self.words, np.uint64)
         self.tables = []  # of four components each: [slice][mask, word]
         for first in range(0, dims, 4):
             sums: list[Slices] = [[]]
             for j in range(first, min(first + 4, dims)):
-                sums += [add(s, [slices[b][j] for b in range(self.width)]) for s in sums]
+                sums += [add(s, [slices[b, j] for b in range(self.width)]) for s in sums]
             most = max(map(len, sums))
             self.tables.append([np.stack([s[i] if i < len(s) else zero for s in sums]) for i in range(most)])
 
+    @staticmethod
+    def slices(vectors: np.ndarray) -> np.ndarray:
+        """Bitmaps [bit, component, word] of the components plus the offset that makes them unsigned."""
+        width = width_of(vectors)
+        shifted = vectors + (1 << (width - 1))
+        return np.stack([bitmaps(((shifted >> b) & 1).T.astype(np.uint8)) for b in range(width)])
+
     def scores(self, queries: np.ndarray) -> tuple[Slices, np.ndarray]:
         """Slices [query, word] of score + a constant per query, as unsigned numbers, and those constants."""
         n, dims = queries.shape
@@ -152,45 +156,60 @@ def matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 1 << 14, chunk_rows: int = 256, at_once: int = 16) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 1 << 14, chunk_rows: int = 4096, at_once: int = 16) -> DataFrame:
     """Of each query the k rows of ``vectors`` (vec_id, q array<long>) with the largest inner products: query_id, rank, vec_id, score.
 
     Ties go to the smaller id; rows with a query's own id are no candidates of it; missing components count 0. Rows without id take no part.
     """
-    n, m = vectors.count(), queries.count()
-    blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-m // chunk_rows))
-    pairs = min(blocks * chunks, 20_000)
-
-    def dealt(df: DataFrame, parts: int, own: str, other: str, others: int) -> DataFrame:
-        at = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
-        df = df.withColumn(own, at).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-        return df.repartition(pairs, "_block", "_chunk").groupBy("_block", "_chunk")
-
-    def pair(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(rows) and len(asked):
-            rows = rows.sort_values("vec_id", kind="stable")
-            dims = max(rows["q"].map(len).max(), asked["q"].map(len).max())
-            block = Block(rows["vec_id"].to_numpy(np.int64), matrix(rows["q"], dims))
-            ids, qs = asked["vec_id"].to_numpy(np.int64), matrix(asked["q"], dims)
+    scratch = Scratch(vectors.sparkSession)
+    n, dims = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    m = queries.count()
+    blocks = max(1, -(-n // block_rows))
+    # few blocks meet more and smaller chunks, so that all cores have work; results are the same
+    chunks = max(1, -(-m // chunk_rows), min(-(-m // at_once), -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks)))
+    place = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+
+    def index(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vec_id", kind="stable")
+        slices = Block.slices(matrix(rows["q"], dims))
+        return pd.DataFrame({"_block": [rows["_block"].iat[0]], "ids": [rows["vec_id"].to_numpy("<i8").tobytes()], "width": [len(slices)], "slices": [slices.tobytes()]})
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        q = matrix(rows["q"], dims)
+        kind = next(t for t in ("<i2", "<i4", "<i8") if (q.astype(t) == q).all())
+        return pd.DataFrame({"_chunk": [rows["_chunk"].iat[0]], "asked": [rows["vec_id"].to_numpy("<i8").tobytes()], "kind": [kind], "vectors": [q.astype(kind).tobytes()]})
+
+    def pair(block: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        found = {"query_id": [], "vec_id": [], "score": []}
+        if len(block) and len(chunk):
+            b, c = block.iloc[0], chunk.iloc[0]
+            own = Block(np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["slices"], "<u8").reshape(b["width"], dims, -1))
+            ids, qs = np.frombuffer(c["asked"], "<i8"), np.frombuffer(c["vectors"], c["kind"]).reshape(-1, dims).astype(np.int64)
             for i in range(0, len(ids), at_once):
-                for q, place, score in block.top(ids[i : i + at_once], qs[i : i + at_once], k):
-                    found.append(pd.DataFrame({"query_id": q, "vec_id": block.ids[place], "score": score}))
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("query_id", "vec_id", "score")})
-
-    index = dealt(vectors, blocks, "_block", "_chunk", chunks)
-    asked = dealt(queries, chunks, "_chunk", "_block", blocks)
-    best = index.cogroup(asked).applyInPandas(pair, RESULT)
+                for q, at, score in own.top(ids[i : i + at_once], qs[i : i + at_once], k):
+                    found["query_id"].append(np.full(len(at), q))
+                    found["vec_id"].append(own.ids[at])
+                    found["score"].append(score)
+        return pd.DataFrame({c: np.concatenate([np.zeros(0, np.int64), *v]) for c, v in found.items()})
+
+    block = vectors.withColumn("_block", place(blocks)).groupBy("_block").applyInPandas(index, "_block int, ids binary, width int, slices binary")
+    block = scratch.store(block, "bit-slices").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    chunk = queries.withColumn("_chunk", place(chunks)).groupBy("_chunk").applyInPandas(pack, "_chunk int, asked binary, kind string, vectors binary")
+    chunk = scratch.store(chunk, "queries").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tasks = min(blocks * chunks, 20_000)
+    dealt = [df.repartition(tasks, "_block", "_chunk").groupBy("_block", "_chunk") for df in (block, chunk)]
+    best = dealt[0].cogroup(dealt[1]).applyInPandas(pair, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return scratch.finish(ranked.select("query_id", "rank", "vec_id", "score"), "top")
 
 
 def top_by_inner_product(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """Search ``embeddings`` (vec_id, embedding) for its rows whose id is divisible by ``every``; see ``search``.
 
     Vectors that are null or empty or hold null or non-finite components take no part, neither do rows without id. A repeated query row is
-    one query; repeated candidate rows each take a rank. Other columns are not read. An empty table gives no rows.
+    one query; repeated candidate rows each take a rank. Vectors may be of any length; a block holds all components of its rows. Other columns are not read.
+    An empty table gives no rows.
     """
     fine = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = store(fine.select("vec_id", quantise(F.col("embedding"), scale).alias("q")), "quantised")
