@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitsliced import usable
-from .shared import store
+from .shared import Scratch, store
 
 RESULT = "query_id long, vec_id long, score double"
 
@@ -177,6 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, part_rows: int =
 
     The driver fits on ``sample_rows`` or on 20 rows a partition, if that is more; the number of partitions is the table's rows over ``part_rows``, between 16 and ``max_parts``.
     """
+    scratch = Scratch(vectors.sparkSession)
     n = vectors.count()
     parts = min(max_parts, max(16, n // part_rows))
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample_rows, 20 * parts)).toPandas()
@@ -191,9 +192,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, part_rows: int =
 
         return parts
 
-    home = store(vectors.withColumn("_part", F.element_at(route(1)(F.col("v")), 1)), "homes")
+    home = scratch.store(vectors.withColumn("_part", F.element_at(route(1)(F.col("v")), 1)), "homes")
     sizes = home.groupBy("_part").count().select(F.col("_part"), F.ceil(F.col("count") / block_rows).cast("int").alias("_blocks"))
-    asked = store(queries.withColumn("_part", F.explode(route(router.probes)(F.col("v")))), "routes")
+    asked = scratch.store(queries.withColumn("_part", F.explode(route(router.probes)(F.col("v")))), "routes")
     loads = asked.groupBy("_part").count().select(F.col("_part"), F.ceil(F.col("count") / chunk_rows).cast("int").alias("_chunks"))
     grid = F.broadcast(sizes.join(loads, "_part"))  # a row for each partition: at most max_parts
 
@@ -211,14 +212,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, part_rows: int =
 
     best = dealt(home, "_block", "_blocks", "_chunk", "_chunks").cogroup(dealt(asked, "_chunk", "_chunks", "_block", "_blocks")).applyInPandas(pair, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scratch.finish(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
 
 
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, **options) -> DataFrame:
     """Search ``embeddings`` (vec_id, embedding) for its rows whose id is divisible by ``every``; see ``search``.
 
     Vectors that are null, empty or zero or hold null or non-finite components take no part, neither do rows without id. A repeated query row
-    is one query; repeated candidate rows each take a rank; missing components count 0. Other columns are not read. An empty table gives no rows.
+    is one query; repeated candidate rows each take a rank; ties go to the smaller id; missing components count 0; vectors may be of any length. Other columns are not read. An empty table gives no rows.
     """
     v = F.col("embedding")
     fine = embeddings.where(F.col("vec_id").isNotNull() & usable(v) & F.exists(v, lambda x: x != 0))

@@ -178,10 +178,11 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_sampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that the sample leaves out, in the columns that it came with.
 
-    The texts are weighed once more rather than shuffled: what is kept follows from the last key and id alone.
+    The texts are weighed once more rather than shuffled: what is kept follows from the last key and id alone. Columns may have any names.
+    Null and empty texts have weight 0, ties go to the smaller id, and repeated rows are kept or not together but at the last place, where all stay.
     """
     model = fit(docs, labels, **options)
     scored = score_documents(docs, model)
     last = kth_largest(scored, scored.where(F.col("log_weight") >= model.cut).count())
-    weight = model.weigh(F.col("text"))["w"]
-    return docs.withColumn("_w", weight).where(at_or_above(last, model.key(F.col("_w"), F.col("doc_id")), F.col("doc_id"))).drop("_w")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), model.weigh(F.col("text"))["w"].alias("w"))
+    return rows.where(at_or_above(last, model.key(F.col("w"), F.col("row.doc_id")), F.col("row.doc_id"))).select("row.*")

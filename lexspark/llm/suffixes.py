@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import as_bytes
-from .shared import _BASE, _TABLE, by_bytes, mix, small_batches, span_hashes, store, text_bounds
+from .shared import _BASE, _TABLE, Scratch, by_bytes, mix, small_batches, span_hashes, text_bounds
 
 PIECES = "anchor long, piece long, doc_id long, start int, size int, later boolean"
 RANGES = "doc_id long, first int, end int"
@@ -245,25 +245,25 @@ def counted_strings(cut: DataFrame, length: int) -> DataFrame:
     return later.select("doc_id", "first", (F.col("first") + length).cast("int").alias("end"))
 
 
-def removed_ranges(docs: DataFrame, length: int = 100, gram: int = 32, bucket_bytes: int = 2 << 20, hot_pieces: int = 5_000) -> DataFrame:
+def removed_ranges(docs: DataFrame, scratch: Scratch, length: int = 100, gram: int = 32, bucket_bytes: int = 2 << 20, hot_pieces: int = 5_000) -> DataFrame:
     """RANGES (overlapping) that together cover every removed byte."""
     small_batches(docs.sparkSession)
     every = Window.partitionBy("_key")
     # rows marked later need no partner: a key of their own spreads them
     key = F.when(F.col("later"), F.xxhash64("doc_id", "start")).otherwise(F.col("anchor"))
     counted = pieces_of(docs, length, gram).withColumn("_key", key).withColumn("_n", F.count("*").over(every))
-    known = store(counted.where("later OR _n > 1").select("anchor", "piece", "doc_id", "start", "size", "later"), "pieces")
+    known = scratch.store(counted.where("later OR _n > 1").select("anchor", "piece", "doc_id", "start", "size", "later"), "pieces")
     alike = known.where("NOT later")
     first = alike.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.first("size").alias("size"), F.count("*").alias("n"))
-    first = store(first, "first-pieces")
+    first = scratch.store(first, "first-pieces")
     copies = alike.join(first.where("n > 1").select("anchor", "piece", "head"), ["anchor", "piece"]).where(F.struct("doc_id", "start") > F.col("head"))
     folded = known.where("later").select("doc_id", "start", "size").union(copies.select("doc_id", "start", "size"))
     folded = folded.select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("size")).cast("int").alias("end"))
     kinds = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     open_ = first.join(kinds, "anchor").select("anchor", F.col("head.doc_id").alias("doc_id"), F.col("head.start").alias("start"), "size", "kinds")
     cut = cut_out(docs, open_.select("anchor", "doc_id", "start", "size"))
-    often = store(kinds.where(F.col("kinds") > hot_pieces).select("anchor"), "hot-anchors")
-    cut = store(cut, "cut-pieces")
+    often = scratch.store(kinds.where(F.col("kinds") > hot_pieces).select("anchor"), "hot-anchors")
+    cut = scratch.store(cut, "cut-pieces")
     n_bytes = open_.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-n_bytes // bucket_bytes))
     out = folded.union(sorted_buckets(cut.join(often, "anchor", "left_anti"), buckets, length))
@@ -286,9 +286,10 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_text: bool = False
     """Per document of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds kept (binary).
 
     Null and empty texts have no bytes. Rows without an id take no part and lose nothing. Rows that repeat an id repeat its text; they are one
-    document. Ties do not occur, as places differ. Other columns are not read; an empty table gives no rows.
+    document. Ties do not occur, as places differ. Texts may be of any length up to 2**31 bytes. Other columns are not read; an empty table gives no rows.
     """
-    ranges = store(removed_ranges(docs, length, **options), "removed")
+    scratch = Scratch(docs.sparkSession)
+    ranges = scratch.finish(removed_ranges(docs, scratch, length, **options), "removed")
     per = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
     rows = docs.select("doc_id", "text").join(per, "doc_id", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text

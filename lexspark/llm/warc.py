@@ -55,7 +55,7 @@ def classify(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     broadcast and dealt out by row; the others by a shuffle on the digest.
     Null ids: such rows are responses only where no row with an id has that payload. Of rows that share the smallest id all are responses.
     """
-    named = {"payload", "payload_bytes", "sha1", "record_type", "refers_to"} & set(pages.columns)
+    named = {"payload", "payload_bytes", "sha1", "record_type", "refers_to", "_key", "_hot", "_often", "_rest"} & set(pages.columns)
     if named:
         raise ValueError(f"columns that this operator adds are there already: {sorted(named)}")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
@@ -299,7 +299,8 @@ def round_trip(spark: SparkSession, pages: DataFrame, chunk_bytes: int = 1 << 20
     """Write ``pages`` (page_id, url, html) as archives in the shared folder and read the records back.
 
     Null html is an empty payload; null page ids come back null; a null url has no target line; other columns are not
-    archived. An empty table writes no archive and gives no rows.
+    archived. Of equal payloads the smallest id is the response; rows that repeat that id are responses each. Payloads of any length travel in
+    chunks. An empty table writes no archive and gives no rows.
     """
     manifest = write_archives(classify(pages.select("page_id", "url", "html")), new_path(spark, "warc"), chunk_bytes=chunk_bytes)
     return records(read_chunks(manifest, chunk_bytes))
