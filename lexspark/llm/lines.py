@@ -1,6 +1,6 @@
 """Line dedup by winnowing over line hashes.
 
-A document is its lines (split at line feeds), each a 128-bit hash. A gram begins at each line and holds the fewest lines
+A document is its lines (split at line feeds), each a 128-bit hash. Words are runs of anything but ASCII white space. A gram begins at each line and holds the fewest lines
 from there on that have ``gram_words`` words together. A window begins at each line, too, and holds the fewest lines that have
 ``window_words`` words; of the grams inside a window the one with the least hash is selected as a fingerprint. So what two
 documents share is found for certain where it is a run of whole lines with ``window_words`` words, may be found from
@@ -16,8 +16,6 @@ the lines: each window of ``window_words`` words that stands earlier in the corp
 
 from __future__ import annotations
 
-import hashlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,62 +23,59 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, _powers, by_bytes, mix, runs, small_batches, word_hashes
+from .quality import as_bytes
+from .shared import Scratch, _powers, by_bytes, mix, runs, small_batches, span_hashes, text_bounds, word_hashes
 
-FINGERPRINTS = "doc_id long, hashes binary, marks array<struct<fp: long, fp2: long, line: int>>"
-STRETCHES = "doc_id long, at int, n int, gram long, k1 long, k2 long"
+MARKS = "doc_id long, hashes binary, fp array<long>, fp2 array<long>, line array<int>, at array<int>, n array<int>, gram array<long>, k1 array<long>, k2 array<long>"
 WINDOWS = "doc_id long, at int, k1 long, k2 long"
 CUT = "text string, runs array<struct<first: int, end: int>>, words int"
-
-
-def line_hashes(text: str) -> tuple[list[bytes], np.ndarray]:
-    """Digests and numbers of words of the lines."""
-    lines = text.split("\n")
-    return [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines], np.array([len(x.split()) for x in lines], np.int64)
-
-
-def reach(words: np.ndarray, least: int) -> np.ndarray:
-    """For each line the line after the fewest lines from it on that have ``least`` words; -1 where the rest has fewer."""
-    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(words)])
-    end = np.searchsorted(total, total[:-1] + least, "left")
-    return np.where(end < len(total), end, -1)
-
-
-def gram_keys(hashes: list[bytes], starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Two hashes of each run of lines [start, end), as differences of prefix sums."""
-    h = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
-    fwd, inverse = _powers(len(h) + 1)
-    keys = []
-    for k in (0, 1):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h[:, k]) * fwd[:-1])])
-        keys.append(mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64).tolist())
-    return list(zip(*keys, strict=True))
-
-
-def fingerprints(hashes: list[bytes], words: np.ndarray, gram_words: int, window_words: int) -> list[tuple[int, int, int]]:
-    """(two hashes of the gram, first line) of the selected grams; the first of equal least hashes in a window.
-
-    Grams are differences of prefix sums and windows share a monotone queue, so that the cost is linear in the lines, however many a gram holds.
-    """
-    ends = reach(words, gram_words)
-    starts = np.flatnonzero(ends > 0)
-    if not len(starts):
-        return []
-    keys = gram_keys(hashes, starts, ends[starts])
-    starts, ends = starts.tolist(), ends.tolist()  # grams begin at all lines up to the last that has enough words after it
-    queue, chosen, j = deque(), set(), 0
-    for i, e in enumerate(reach(words, window_words).tolist()):
-        if e < 0:
-            break
-        while j < len(starts) and ends[j] <= e:
-            while queue and keys[queue[-1]] > keys[j]:
-                queue.pop()
-            queue.append(j)
-            j += 1
-        while queue[0] < i:
-            queue.popleft()
-        chosen.add(queue[0])
-    return [(*keys[j], j) for j in sorted(chosen)]
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+
+
+class Lines:
+    """The lines of many texts: two hashes and the number of words of each, and where each text's lines begin (one more entry at the end)."""
+
+    def __init__(self, texts: list[bytes], data: np.ndarray, word_starts: np.ndarray):
+        end = np.flatnonzero(data == 10)
+        start = np.concatenate([[0], end[:-1] + 1])
+        h = span_hashes(data, start, end)
+        self.hashes = np.stack([h, span_hashes(data ^ np.uint8(0xA5), start, end)], axis=1)
+        self.words = np.bincount(np.searchsorted(start, word_starts, "right") - 1, minlength=len(start))
+        self.first = np.searchsorted(start, text_bounds(texts))
+
+    def reach(self, least: int) -> np.ndarray:
+        """For each line the line after the fewest lines from it on that have ``least`` words, or the line after the next text's first if its text has fewer."""
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.words)])
+        end = np.searchsorted(total, total[:-1] + least, "left")
+        last = np.repeat(self.first[1:], np.diff(self.first))
+        return np.where(end <= last, end, last + 1), last
+
+    def gram_keys(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two hashes [run, 2] of each run of lines [start, end), as differences of prefix sums."""
+        fwd, inverse = _powers(len(self.hashes) + 1)
+        sums = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(mix(self.hashes) * fwd[:-1, None], axis=0)])
+        return mix((sums[end] - sums[start]) * inverse[start][:, None] + ((end - start).astype(np.uint64) * _LENGTH)[:, None]).view(np.int64)
+
+    def fingerprints(self, gram_words: int, window_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first lines, keys) of the selected grams; the first of equal least keys in a window. Linear in the lines but for a logarithm, however many a gram holds."""
+        ends, last = self.reach(gram_words)
+        stops, _ = self.reach(window_words)
+        windows = np.flatnonzero(stops <= last)
+        if not len(windows):
+            return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        keys = self.gram_keys(np.arange(len(ends)), np.minimum(ends, last))
+        order = np.lexsort((np.arange(len(ends)), keys[:, 1], keys[:, 0]))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        to = np.searchsorted(ends, stops[windows], "right")  # after the last gram that ends inside the window
+        level = np.frexp((to - windows).astype(float))[1] - 1
+        chosen, least, size = np.empty(len(windows), np.int64), rank, 1
+        for k in range(int(level.max()) + 1):
+            own = level == k
+            chosen[own] = order[np.minimum(least[windows[own]], least[to[own] - size])]
+            least, size = np.minimum(least[: max(len(least) - size, 0)], least[size:]), 2 * size
+        chosen = np.unique(chosen)
+        return chosen, keys[chosen]
 
 
 def extend(own: np.ndarray, other: np.ndarray, marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -101,24 +96,30 @@ def extend(own: np.ndarray, other: np.ndarray, marks: list[tuple[int, int]]) ->
 
 
 def mark(docs: DataFrame, gram_words: int, window_words: int) -> DataFrame:
+    """Rows MARKS: the lines' hashes, their fingerprints (fp, fp2, line), and the stretches of word windows (at, n, gram, k1, k2)."""
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                hashes, words = line_hashes(text)
-                marks = fingerprints(hashes, words, gram_words, window_words)
-                rows.append((doc_id, b"".join(hashes), [dict(zip(("fp", "fp2", "line"), m, strict=True)) for m in marks]))
-            yield pd.DataFrame(rows, columns=["doc_id", "hashes", "marks"])
+            texts, ids = as_bytes(batch["text"]), batch["doc_id"].to_numpy()
+            for a, b in by_bytes(texts):
+                spans = WordSpans(texts[a:b])
+                lines = Lines(texts[a:b], spans.data, spans.start)
+                chosen, keys = lines.fingerprints(gram_words, window_words)
+                own, columns = word_stretches(spans, gram_words, window_words)
+                by_text = lambda x, of: np.split(x, np.searchsorted(of, np.arange(1, b - a)))  # noqa: E731, B023
+                of = np.searchsorted(lines.first, chosen, "right") - 1
+                out = {"doc_id": ids[a:b], "hashes": [x.tobytes() for x in np.split(lines.hashes, lines.first[1:-1])]}
+                out |= {"fp": by_text(keys[:, 0], of), "fp2": by_text(keys[:, 1], of), "line": by_text((chosen - lines.first[of]).astype(np.int32), of)}
+                out |= {c: by_text(x.astype(np.int32) if c in ("at", "n") else x, own) for c, x in columns.items()}
+                yield pd.DataFrame(out)
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text")
-    return rows.mapInPandas(make, FINGERPRINTS)
+    return rows.mapInPandas(make, MARKS)
 
 
-def repeated_runs(docs: DataFrame, scratch: Scratch, gram_words: int = 20, window_words: int = 50) -> DataFrame:
+def repeated_runs(marked: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, runs array<struct<first, end>>) of the documents that repeat lines: deleted lines, as disjoint runs [first, end)."""
-    small_batches(docs.sparkSession)
-    marked = scratch.store(mark(docs, gram_words, window_words), "line-marks")
-    each = marked.select("doc_id", F.explode("marks").alias("m")).select("doc_id", "m.*")
+    each = marked.select("doc_id", F.explode(F.arrays_zip("fp", "fp2", "line")).alias("m")).select("doc_id", "m.*")
     first = each.groupBy("fp", "fp2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = each.join(first, ["fp", "fp2"]).where(F.struct("doc_id", "line") > F.col("first"))
     later = later.groupBy("doc_id", F.col("first.doc_id").alias("origin")).agg(F.collect_list(F.struct(F.col("line").alias("i"), F.col("first.line").alias("j"))).alias("marks"))
@@ -147,13 +148,13 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, gram_words: int = 20, windo
 class WordSpans:
     """128-bit hashes of runs of words of many texts, as differences of prefix sums."""
 
-    def __init__(self, texts: list[str]):
-        self.words, self.first = word_hashes([t.encode() for t in texts], lower=False)
+    def __init__(self, texts: list[bytes]):
+        self.words, self.first, self.start, self.end, self.data = word_hashes(texts, lower=False, spans=True)
         fwd, self.inverse = _powers(len(self.words) + 1)
         self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * fwd[:-1])]) for h in (self.words, mix(self.words ^ np.uint64(0xA0761D6478BD642F)))]
 
     def hashes(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[k][end] - self.sums[k][start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mix((self.sums[k][end] - self.sums[k][start]) * self.inverse[start] + (end - start).astype(np.uint64) * _LENGTH)
 
     def keys(self, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
         return {f"k{k + 1}": self.hashes(k, start, end).view(np.int64) for k in (0, 1)}
@@ -167,9 +168,8 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def word_stretches(texts: list[str], gram_words: int, window_words: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Stretches of neighbouring windows whose least gram is the same: the text of each, and its columns of STRETCHES."""
-    spans = WordSpans(texts)
+def word_stretches(spans: WordSpans, gram_words: int, window_words: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Stretches of neighbouring windows whose least gram is the same: the text of each, and its first window, their number, the gram and the whole stretch's keys."""
     n = len(spans.words) - window_words + 1
     if n <= 0:
         return np.zeros(0, np.int64), {c: np.zeros(0, np.int64) for c in ("at", "n", "gram", "k1", "k2")}
@@ -191,24 +191,15 @@ def earlier(rows: DataFrame, words: int) -> DataFrame:
     return rows.join(first, ["k1", "k2"], "left").withColumn("gone", F.coalesce(apart, F.lit(False)))
 
 
-def repeated_words(docs: DataFrame, scratch: Scratch, gram_words: int = 20, window_words: int = 50) -> DataFrame:
+def repeated_words(docs: DataFrame, marked: DataFrame, scratch: Scratch, gram_words: int = 20, window_words: int = 50) -> DataFrame:
     """(doc_id, spans array<struct<first, end>>): words [first, end) of all windows of ``window_words`` words that stand earlier in the corpus.
 
     Equal windows hold the same least gram, so only windows with a least gram that occurs again can repeat. Stretches of windows with the
     same least gram are compared as a whole first. Where all stretches with a gram are equal, that is all; else each window of those that
     do not stand earlier is compared by itself. So each repeated window meets its own first holder. One that overlaps its first holder stays.
     """
-    small_batches(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text")
-
-    def stretch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
-            for a, b in by_bytes(texts):
-                own, columns = word_stretches(texts[a:b], gram_words, window_words)
-                yield pd.DataFrame({"doc_id": ids[a:b][own], **columns})
-
-    stretches = scratch.store(rows.mapInPandas(stretch, STRETCHES), "word-stretches")
+    stretches = marked.select("doc_id", F.explode(F.arrays_zip("at", "n", "gram", "k1", "k2")).alias("s")).select("doc_id", "s.*")
     # a stretch of more windows than a window has grams holds its least gram twice
     long = F.col("n") > window_words - gram_words + 1
     often = stretches.groupBy("gram").agg(F.sum(F.when(long, 2).otherwise(1)).alias("_n"), (F.max(long) | (F.min("k1") < F.max("k1"))).alias("mixed"))
@@ -218,12 +209,14 @@ def repeated_words(docs: DataFrame, scratch: Scratch, gram_words: int = 20, wind
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, texts, parts = batch["doc_id"].to_numpy(), batch["text"].tolist(), batch["parts"].tolist()
+            ids, texts, parts = batch["doc_id"].to_numpy(), as_bytes(batch["text"]), batch["parts"].tolist()
             for a, b in by_bytes(texts):
                 spans = WordSpans(texts[a:b])
-                for doc_id, first, own in zip(ids[a:b], spans.first, parts[a:b], strict=False):
-                    at = np.concatenate([np.arange(p["at"], p["at"] + p["n"]) for p in own])
-                    yield pd.DataFrame({"doc_id": doc_id, "at": at, **spans.keys(first + at, first + at + window_words)})
+                own = np.repeat(np.arange(b - a), [len(p) for p in parts[a:b]])
+                first, n = (np.array([x[c] for p in parts[a:b] for x in p], np.int64) for c in ("at", "n"))
+                own, at = np.repeat(own, n), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                start = spans.first[own] + at
+                yield pd.DataFrame({"doc_id": ids[a:b][own], "at": at, **spans.keys(start, start + window_words)})
 
     windows = scratch.store(rows.join(asked, "doc_id").mapInPandas(each, WINDOWS), "word-windows")
     gone = earlier(windows, window_words).where("gone").select("doc_id", F.col("at").alias("first"), (F.col("at") + window_words).alias("end"))
@@ -231,15 +224,13 @@ def repeated_words(docs: DataFrame, scratch: Scratch, gram_words: int = 20, wind
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 
-def cut(text: str, line_runs, spans) -> tuple[str, list[dict], int]:
+def cut(data: bytes, start: np.ndarray, end: np.ndarray, line_runs, spans) -> tuple[bytes, list[dict], int]:
     """The text without lines in ``line_runs`` and words in ``spans``, the runs of whole lines that went, and the number of words that went from other lines.
 
-    A line whose every word goes is gone as a whole; in others a word goes with the space after it.
+    ``start`` and ``end``: the words' bytes. A line whose every word goes is gone as a whole; in others a word goes with the space after it.
     """
-    data = text.encode()
-    _, _, start, end, _ = word_hashes([data], lower=False, spans=True)
-    lines = text.split("\n")
-    begin = np.concatenate([[0], np.cumsum([len(x.encode()) + 1 for x in lines])])
+    lines = data.split(b"\n")
+    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
     edges = np.zeros(len(start) + 1, np.int64)
     for s in [] if spans is None else spans:
         edges[s["first"]] += 1
@@ -254,13 +245,16 @@ def cut(text: str, line_runs, spans) -> tuple[str, list[dict], int]:
     kept = []
     for i in np.flatnonzero(~gone).tolist():
         if not n_lost[i]:
-            kept.append(lines[i].encode())
+            kept.append(lines[i])
             continue
         a, b = int(word[i]), int(word[i + 1])
-        ends = np.append(start[a + 1 : b], begin[i + 1] - 1)
-        kept.append(data[begin[i] : start[a]] + b"".join(data[x:y] for x, y, go in zip(start[a:b].tolist(), ends.tolist(), lost[a:b].tolist(), strict=True) if not go))
+        # pieces of the line between runs of lost words
+        edge = np.flatnonzero(np.diff(lost[a:b].astype(np.int8), prepend=0, append=0)) + a
+        at = np.append(start[a:b], begin[i + 1] - 1)[edge - a]
+        bounds = [int(begin[i]), *at.tolist(), int(begin[i + 1]) - 1]
+        kept.append(b"".join(data[x:y] for x, y in zip(bounds[::2], bounds[1::2], strict=True)))
     first, last = runs(np.append(gone, False).astype(np.int8))
-    return b"\n".join(kept).decode(), [{"first": a, "end": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)], int(n_lost[~gone].sum())
+    return b"\n".join(kept), [{"first": a, "end": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)], int(n_lost[~gone].sum())
 
 
 def without_repeats(text, line_runs, spans):
@@ -268,7 +262,16 @@ def without_repeats(text, line_runs, spans):
 
     @F.pandas_udf(CUT)
     def apply(texts: pd.Series, runs_: pd.Series, spans_: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None) if t is None else cut(t, r, s) for t, r, s in zip(texts, runs_, spans_, strict=True)]
+        rows: list[tuple] = [(None, None, None)] * len(texts)
+        there = np.flatnonzero(texts.notna().to_numpy()).tolist()
+        raw, line_runs, spans = [texts.iat[i].encode() for i in there], runs_.tolist(), spans_.tolist()
+        for a, b in by_bytes(raw):
+            _, first, start, end, _ = word_hashes(raw[a:b], lower=False, spans=True)
+            bounds = text_bounds(raw[a:b]).tolist()
+            for k, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                i = there[a + k]
+                t, gone, n = cut(raw[a + k], start[x:y] - bounds[k], end[x:y] - bounds[k], line_runs[i], spans[i])
+                rows[i] = (t.decode(), gone, n)
         return pd.DataFrame(rows, columns=["text", "runs", "words"]).astype({"words": "Int32"})
 
     return apply(text, line_runs, spans)
@@ -284,7 +287,9 @@ def dedup_lines(docs: DataFrame, gram_words: int = 20, window_words: int = 50) -
         if c in docs.columns:
             raise ValueError(f"docs has a column {c}")
     scratch = Scratch(docs.sparkSession)
-    by_line, by_word = repeated_runs(docs, scratch, gram_words, window_words), repeated_words(docs, scratch, gram_words, window_words)
+    small_batches(docs.sparkSession)
+    marked = scratch.store(mark(docs, gram_words, window_words), "marks")
+    by_line, by_word = repeated_runs(marked, scratch), repeated_words(docs, marked, scratch, gram_words, window_words)
     found = scratch.finish(by_line.join(by_word, "doc_id", "full").withColumn("_found", F.lit(True)), "line-runs")
     out = docs.join(found, "doc_id", "left").withColumn("_cut", without_repeats(F.when(F.col("_found"), F.col("text")), F.col("runs"), F.col("spans")))
     out = out.withColumn("removed_runs", F.col("_cut.runs")).withColumn("removed_words", F.col("_cut.words"))

@@ -190,6 +190,12 @@ def test_components(spark):
 # ---- 4: lines -----------------------------------------------------------------------------------------------------
 
 
+def lines_of(*texts):
+    raw = [t.encode() for t in texts]
+    spans = lines.WordSpans(raw)
+    return lines.Lines(raw, spans.data, spans.start)
+
+
 def naive_fingerprints(text, gram_words=20, window_words=50):
     """{(lines of the gram, its first line)} that each window selects, by the definition; grams ordered by the operator's hash of them alone."""
     own = text.split("\n")
@@ -203,8 +209,8 @@ def naive_fingerprints(text, gram_words=20, window_words=50):
         return None
 
     def order(i):
-        gram = lines.line_hashes("\n".join(own[i : end(i, gram_words)]))[0]
-        return lines.gram_keys(gram, np.array([0]), np.array([len(gram)]))[0]
+        gram = lines_of("\n".join(own[i : end(i, gram_words)]))
+        return tuple(gram.gram_keys(np.array([0]), np.array([len(gram.words)]))[0].tolist())
 
     out = set()
     for i in range(len(own)):
@@ -222,7 +228,7 @@ def test_lines_against_first_occurrences(spark):
     pool = [" ".join(words(r.randrange(1, 40), i)) for i in range(25)] + [""]
     docs = [(d, "\n".join(r.choice(pool) if r.random() < 0.7 else f"only {d} {k}" for k in range(r.randrange(0, 12)))) for d in range(40)]
     df = documents(spark, docs)
-    got = {x["doc_id"]: {i for run in x["runs"] for i in range(run["first"], run["end"])} for x in lines.repeated_runs(df, Scratch(spark)).collect()}
+    got = {x["doc_id"]: {i for run in x["runs"] for i in range(run["first"], run["end"])} for x in lines.repeated_runs(lines.mark(df, 20, 50), Scratch(spark)).collect()}
     first = {}
     for d, t in docs:
         for g, i in naive_fingerprints(t):
@@ -245,9 +251,10 @@ def test_lines_are_linear():
     """A million lines, most of them blank or of one word, in seconds."""
     begun = time.perf_counter()
     text = "\n" * 300_000 + " ".join(words(60, 1)) + "\n" + "\n".join(words(700_000, 2, 9999))
-    found = lines.fingerprints(*lines.line_hashes(text), 20, 50)
-    cut, runs, n = lines.cut(text, [{"first": 300_001, "end": 400_000}], [{"first": 3, "end": 9}, {"first": 500_000, "end": 500_100}])
-    assert len(found) > 20_000 and n == 6 and len(runs) == 2 and cut.count("\n") == text.count("\n") - 99_999 - 100
+    found, _ = lines_of("one line", text, "", "another").fingerprints(20, 50)
+    spans = lines.WordSpans([text.encode()])
+    cut, runs, n = lines.cut(text.encode(), spans.start, spans.end, [{"first": 300_001, "end": 400_000}], [{"first": 3, "end": 9}, {"first": 500_000, "end": 500_100}])
+    assert len(found) > 20_000 and n == 6 and len(runs) == 2 and cut.count(b"\n") == text.count("\n") - 99_999 - 100
     assert time.perf_counter() - begun < 60
 
 
