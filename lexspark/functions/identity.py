@@ -16,9 +16,9 @@ def text_hash(text: Column, size: int = 16) -> Column:
 
 
 def chunk_id(title: Column, section: Column, chunk_index: Column, sub_chunk: Column, segment: Column, text: Column, path: Column | None = None) -> Column:
-    """32 hex digits of the SHA-256 over the parts joined by bars; missing parts are empty. The text's part is its first 120 characters, normalised."""
+    """32 hex digits of the SHA-256 over the parts joined by bars; missing parts are empty. The text's part is its first 120 characters, normalised after the cut."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (title, section, chunk_index, sub_chunk, segment)]
-    parts.append(F.substring(normalise(text), 1, 120))
+    parts.append(normalise(F.substring(F.coalesce(text, F.lit("")), 1, 120)))
     if path is not None:
         parts.append(F.substring(F.sha2(path, 256), 1, 8))
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)

@@ -7,25 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise
+from ..functions.text import normalise, strip
 
 # fixed values: id pattern, junk ids, noise patterns, weights and bands
 LEGAL_ID = r"(?i)^(\d{1,3}[A-Z]?|Rule\s+\d+[A-Z]?|ORDER\s+[IVXLCDM]+\s+RULE\s+\d+)$"
 JUNK_IDS = ("N/A", "", "None", "Unknown", "0", "na", "n/a")
 NOISE = (r"^\s*\d{1,4}\s*$", r"^[\s_\-=]+$", r"^.{1,25}$")
-WEIGHTS = {"capture": 0.30, "length": 0.20, "continuity": 0.25, "noise": 0.15, "coverage": 0.10}
+WEIGHTS = {"capture": 0.30, "coverage": 0.20, "length": 0.25, "noise": 0.15, "continuity": 0.10}
 BANDS = ((0.85, "excellent"), (0.70, "pass"), (0.60, "near_pass"), (0.45, "weak"))
 PASS, NEAR_PASS, SEVERE = 0.70, 0.66, 0.55
 THRESHOLDS = {"capture": 0.50, "length": 0.50, "noise": 0.50, "continuity": 0.40, "coverage": 0.30}
 
 
 def valid_legal_id(value: Column) -> Column:
-    v = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    v = strip(F.coalesce(value.cast("string"), F.lit("")))
     return ~v.isin(*JUNK_IDS) & v.rlike(LEGAL_ID)
 
 
 def is_noise(text: Column) -> Column:
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
     return t.rlike(NOISE[0]) | t.rlike(NOISE[1]) | t.rlike(NOISE[2])
 
 
@@ -33,55 +33,60 @@ def duplicate_prefix(text: Column, size: int = 80) -> Column:
     return normalise(F.substring(F.coalesce(text, F.lit("")), 1, size))
 
 
-def continuity(chunks: DataFrame, by: Sequence[str] = ("doc_id",), order: str = "chunk_index", path_reset: bool = True) -> DataFrame:
-    """``by`` and continuity: the share of neighbouring numbers in a sequence that don't fall; 0.5 without any neighbours.
+def number_of(section: Column, rule: Column) -> Column:
+    """The leading number of a chunk's section, or of its rule where it has no section at all; null without one."""
+    number = F.regexp_extract(F.coalesce(section, rule, F.lit("")), r"^(\d+)", 1)
+    return F.when(number != "", number.cast("long"))
 
-    A sequence ends where a numbered chunk's chapter or part (both known), or order path, differs from those of the chunk just before it, numbered or not.
-    ``path_reset`` False compares orders instead of whole paths, so that neighbouring rules of one order are compared.
+
+def rises(by: Sequence[str], order: str, path: str = "hierarchy_path") -> Column:
+    """1.0 where a chunk's number is not under that of the numbered chunk before it in the same sequence, 0.0 where it is; null otherwise.
+
+    A sequence ends where a numbered chunk's chapter or part (both known), or order ``path``, differs from those of the chunk just before it, numbered or not.
+    All of it is one window, so the chunks are sorted once.
     """
     own = Window.partitionBy(*by).orderBy(order)
-    number = F.regexp_extract(F.coalesce(F.col("section_number"), F.col("rule"), F.lit("")), r"^(\d+)", 1)
-    rows = chunks.withColumn("_num", F.when(number != "", number.cast("long")))
     reset = F.lit(False)
     for name in ("chapter", "part"):
         now, old = F.coalesce(name, F.lit("")), F.coalesce(F.lag(name).over(own), F.lit(""))
         reset = reset | ((now != "") & (old != "") & (now != old))
-    path = "hierarchy_path" if path_reset else "order"
     now, old = F.coalesce(path, F.lit("")), F.coalesce(F.lag(path).over(own), F.lit(""))
     reset = reset | (now.contains("ORDER") & old.contains("ORDER") & (now != old))
-    rows = rows.withColumn("_reset", reset.cast("int")).where("_num IS NOT NULL")
-    rows = rows.withColumn("_sequence", F.sum("_reset").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.lag("_num").over(Window.partitionBy(*by, "_sequence").orderBy(order))
-    rows = rows.withColumn("_rises", F.when(before.isNotNull(), (F.col("_num") >= before).cast("double")))
-    return rows.groupBy(*by).agg(F.coalesce(F.avg("_rises"), F.lit(0.5)).alias("continuity"))
+    number = number_of(F.col("section_number"), F.col("rule"))
+    before = F.last(number, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    return F.when(number.isNotNull() & before.isNotNull() & ~reset, (number >= before).cast("double"))
 
 
-def duplicate_penalty(chunks: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
-    n, kinds = F.count("*"), F.countDistinct(duplicate_prefix(F.col("text")))
-    return chunks.groupBy(*by).agg(F.when(n < 4, F.lit(0.0)).otherwise(F.least((n - kinds) / n * 0.5, F.lit(0.25))).alias("duplicates"))
+def continuity(chunks: DataFrame, by: Sequence[str] = ("doc_id",), order: str = "chunk_index", path_reset: bool = True) -> DataFrame:
+    """``by`` and continuity: the share of neighbouring numbers in a sequence that don't fall; 0.5 without any neighbours.
+
+    ``path_reset`` False compares orders instead of whole paths, so that neighbouring rules of one order are compared.
+    """
+    rows = chunks.withColumn("_rises", rises(by, order, "hierarchy_path" if path_reset else "order"))
+    return rows.groupBy(*by).agg(F.coalesce(F.avg("_rises"), F.lit(0.5)).alias("continuity"))
 
 
 def metrics(chunks: DataFrame, by: Sequence[str] = ("doc_id",), order: str = "chunk_index") -> DataFrame:
     """``by``, n_chunks, the five metrics, duplicates, overall (0 to 1) and band.
 
-    Chunks have section_number, rule, chapter, part, hierarchy_path, text. Capture counts rules as well as sections.
+    Chunks have section_number, rule, chapter, part, hierarchy_path, text. Capture reads the rule where there is no section number (null). The chunks are
+    read and shuffled once: two windows and one aggregate over the same keys.
     """
-    size = F.length(F.coalesce("text", F.lit("")))
-    n = F.count("*")
-    valid = F.sum((valid_legal_id(F.col("section_number")) | valid_legal_id(F.col("rule"))).cast("int"))
-    capture = F.least(valid / n * F.when(valid < 5, 0.5).otherwise(1.0), F.lit(1.0))
+    size, n = F.length(F.coalesce("text", F.lit(""))), F.count("*")
+    rows = chunks.withColumn("_rises", rises(by, order)).withColumn("_prefix", duplicate_prefix(F.col("text")))
+    rows = rows.withColumn("_new", (F.row_number().over(Window.partitionBy(*by, "_prefix").orderBy(order)) == 1).cast("int"))
+    valid = F.sum(valid_legal_id(F.coalesce("section_number", "rule")).cast("int"))
     fits = F.avg(((size >= 50) & (size <= 3000)).cast("double"))
-    length = F.greatest(fits - F.when(F.max(size) > 15000, 0.70).when(F.max(size) > 8000, 0.40).otherwise(0.0), F.lit(0.0))
     known = ~F.coalesce("chapter", F.lit("Unknown")).contains("Unknown")
-    base = chunks.groupBy(*by).agg(
+    base = rows.groupBy(*by).agg(
         n.alias("n_chunks"),
-        capture.alias("capture"),
-        length.alias("length"),
+        F.least(valid / n * F.when(valid < 5, 0.5).otherwise(1.0), F.lit(1.0)).alias("capture"),
+        F.greatest(fits - F.when(F.max(size) > 15000, 0.70).when(F.max(size) > 8000, 0.40).otherwise(0.0), F.lit(0.0)).alias("length"),
         (1 - F.avg(is_noise(F.col("text")).cast("double"))).alias("noise"),
         F.avg(known.cast("double")).alias("coverage"),
+        F.when(n < 4, F.lit(0.0)).otherwise(F.least((n - F.sum("_new")) / n * 0.5, F.lit(0.25))).alias("duplicates"),
+        F.coalesce(F.avg("_rises"), F.lit(0.5)).alias("continuity"),
     )
-    base = base.join(duplicate_penalty(chunks, by), list(by)).join(continuity(chunks, by, order), list(by), "left")
-    base = base.withColumn("continuity", F.coalesce("continuity", F.lit(0.5)))
     total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0)) - F.col("duplicates")
     base = base.withColumn("overall", F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
     return base.withColumn("band", band(F.col("overall")))

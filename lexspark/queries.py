@@ -281,8 +281,8 @@ def json_bodies(spark, sf_dir):
 
 
 @query("p23_p24_ids", r"""
-, n AS (SELECT *, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM c)
-SELECT chunk_id AS source_key, left(sha256(concat_ws('|', doc_title, coalesce(section_number, ''), chunk_index::VARCHAR, '', '0', left(norm, 120))), 32) AS chunk_id,
+, n AS (SELECT *, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^ | $', '', 'g') AS norm, regexp_replace(regexp_replace(lower(left(text, 120)), '\s+', ' ', 'g'), '^ | $', '', 'g') AS head FROM c)
+SELECT chunk_id AS source_key, left(sha256(concat_ws('|', doc_title, coalesce(section_number, ''), chunk_index::VARCHAR, '', '0', head)), 32) AS chunk_id,
        left(sha256(norm), 16) AS text_hash, left(coalesce(section_number, 'N/A'), 500) AS section FROM n""", True)
 def ids(spark, sf_dir):
     """P22-P24, T9 (ASCII texts)."""
@@ -450,9 +450,8 @@ def ingested(spark, sf_dir):
 _ORDERED = "(PARTITION BY doc_id ORDER BY chunk_index, chunk_id)"
 _METRICS = rf"""
 v AS (SELECT *, length(text) AS n, row_number() OVER {_ORDERED} AS place,
-  (regexp_matches(coalesce(section_number, ''), '(?i)^(\d{{1,3}}[A-Z]?|Rule\s+\d+[A-Z]?|ORDER\s+[IVXLCDM]+\s+RULE\s+\d+)$') AND coalesce(section_number, '') NOT IN ('0', '')) OR
-  (regexp_matches(coalesce(rule, ''), '(?i)^(\d{{1,3}}[A-Z]?)$') AND coalesce(rule, '') NOT IN ('0', '')) AS valid,
-  regexp_matches(trim(text), '^\s*\d{{1,4}}\s*$') OR regexp_matches(trim(text), '^[\s_\-=]+$') OR regexp_matches(trim(text), '^.{{1,25}}$') AS noisy,
+  regexp_matches(coalesce(section_number, rule, 'N/A'), '(?i)^(\d{{1,3}}[A-Z]?|Rule\s+\d+[A-Z]?|ORDER\s+[IVXLCDM]+\s+RULE\s+\d+)$') AND coalesce(section_number, rule, 'N/A') NOT IN ('N/A', '', 'None', 'Unknown', '0', 'na', 'n/a') AS valid,
+  regexp_matches(trim(text, E' \t\n\r'), '^(\d{{1,4}}|[\s_\-=]+|.{{1,25}})$') AS noisy,
   regexp_replace(regexp_replace(lower(left(text, 80)), '\s+', ' ', 'g'), '^ | $', '', 'g') AS prefix,
   try_cast(nullif(regexp_extract(coalesce(section_number, rule, ''), '^(\d+)', 1), '') AS BIGINT) AS num,
   (lag(chapter) OVER {_ORDERED} <> chapter) OR (lag(part) OVER {_ORDERED} <> part) OR
@@ -465,7 +464,7 @@ m AS (SELECT doc_id, count(*) AS n_chunks, least(sum(valid::INT) / count(*) * CA
   1 - avg(noisy::INT) AS noise, avg((NOT contains(chapter, 'Unknown'))::INT) AS coverage,
   CASE WHEN count(*) < 4 THEN 0 ELSE least((count(*) - count(DISTINCT prefix)) / count(*) * 0.5, 0.25) END AS duplicates FROM v GROUP BY doc_id),
 q AS (SELECT m.*, coalesce(continuity, 0.5) AS continuity FROM m LEFT JOIN cont USING (doc_id)),
-o AS (SELECT *, least(greatest(0.30 * capture + 0.20 * length + 0.25 * continuity + 0.15 * noise + 0.10 * coverage - duplicates, 0), 1) AS overall FROM q)"""
+o AS (SELECT *, least(greatest(0.30 * capture + 0.20 * coverage + 0.25 * length + 0.15 * noise + 0.10 * continuity - duplicates, 0), 1) AS overall FROM q)"""
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -676,6 +675,124 @@ def windows(spark, sf_dir):
     return out.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
+# ---- operators on rows of known answers ---------------------------------------------------------------------------
+
+_NUMBERED = """SELECT CAST(l_orderkey % 40 AS STRING) AS doc_id, CAST(l_suppkey % 10 AS INT) AS page_num, l_discount, l_returnflag, l_suppkey, l_partkey, l_quantity,
+ row_number() OVER (PARTITION BY l_orderkey % 40, l_suppkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS block_no FROM lineitem """
+_NOTE = "CASE WHEN block_no % 37 = 0 THEN '(3. Subs. by Act' ELSE '3 lines of text' END"
+
+
+@query("s3_span_footnotes", f"""WITH b AS ({_NUMBERED}), n AS (SELECT *, max((5 + l_discount * 100 <= 9.5 AND regexp_matches({_NOTE}, '^\\W*\\d+\\.'))::INT) OVER (PARTITION BY doc_id, page_num ORDER BY block_no ROWS UNBOUNDED PRECEDING) AS seen FROM b)
+SELECT doc_id, page_num, count(*) AS n_blocks, max(block_no) AS last_block FROM n WHERE seen = 0 GROUP BY ALL""")
+def span_footnotes(spark, sf_dir):
+    """S3: from the first block that begins with a small numbered span, a page's blocks go."""
+    rows = _with_views(spark, sf_dir, _NUMBERED)
+    spans = F.array(F.struct(F.expr(_NOTE).alias("text"), (5 + F.col("l_discount") * 100).cast("double").alias("size")))
+    kept = pages.drop_after_footnote_span(rows.withColumn("spans", spans))
+    return kept.groupBy("doc_id", "page_num").agg(F.count("*").alias("n_blocks"), F.max("block_no").alias("last_block"))
+
+
+@query("s4_crop", """SELECT l_orderkey % 40 AS doc_id, count(*) AS n_lines FROM lineitem WHERE l_suppkey % 100 >= 50 AND 480 + l_partkey % 100 <= 550 AND l_quantity * 16 >= 72 AND l_quantity * 16 + 10 <= 728 GROUP BY ALL""")
+def cropped(spark, sf_dir):
+    """Lines inside a page's margins."""
+    at = {"x0": F.col("l_suppkey") % 100, "x1": 480 + F.col("l_partkey") % 100, "y0": F.col("l_quantity") * 16, "y1": F.col("l_quantity") * 16 + 10, "page_width": F.lit(600), "page_height": F.lit(800)}
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("doc_id"), *[c.cast("double").alias(k) for k, c in at.items()])
+    return pages.crop(rows).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+@query("s6_document_text", "SELECT o_custkey AS doc_id, sha256(string_agg(o_orderpriority || ' of ' || o_orderstatus, chr(10) ORDER BY o_orderkey)) AS sha FROM orders GROUP BY o_custkey")
+def document_texts(spark, sf_dir):
+    """A document's pages joined in order."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_num"), F.concat("o_orderpriority", F.lit(" of "), "o_orderstatus").alias("text"))
+    return pages.document_text(rows).select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+@query("s7_present", "SELECT p_partkey AS doc_id, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49) AS present FROM part")
+def present(spark, sf_dir):
+    """Which of the wanted files are there."""
+    there = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("doc_id"))
+    return files.present_and_missing(there, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id")))
+
+
+@query("t7_headers", "SELECT doc_id, sha256(CASE WHEN title = '' THEN text ELSE regexp_replace(text, title, '', 'gi') END) AS sha FROM (SELECT doc_id, text, regexp_extract(text, '[a-z]{3,6}') AS title FROM documents)")
+def headers(spark, sf_dir):
+    """Every occurrence of a literal title goes, whatever its case."""
+    title = F.regexp_extract("text", "[a-z]{3,6}", 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.remove_headers(F.col("text"), title), 256).alias("sha"))
+
+
+@query("t19_json_array", r"SELECT event_id, json_extract_string(regexp_extract('list ' || '[' || event_id || ', ' || user_id || ']' || ' end', '(?s)(\[.*\])', 1), '$[1]') AS second FROM events")
+def json_arrays(spark, sf_dir):
+    """The array in free text."""
+    body = text.json_array(F.concat(F.lit("list ["), F.col("event_id").cast("string"), F.lit(", "), F.col("user_id").cast("string"), F.lit("] end")))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(body, "$[1]").alias("second"))
+
+
+@query("p9_definitions", """SELECT o_orderkey AS doc_id, clause, term, content FROM (SELECT o_orderkey, '1' AS clause, o_orderpriority AS term, 'means the clerk ' || CAST(o_custkey AS STRING) || ';' AS content FROM orders
+ UNION ALL SELECT o_orderkey, '2', 'state', 'includes ' || o_orderstatus FROM orders WHERE o_orderkey % 2 = 0) WHERE o_orderkey % 3 > 0""")
+def defined_terms(spark, sf_dir):
+    """Defined terms of definition sections; other sections give none."""
+    body = F.expr("""CASE WHEN o_orderkey % 3 = 0 THEN '(1) Nothing here.' ELSE 'In this Act,' || CHR(10) || '(1) "' || o_orderpriority || '" means the clerk ' || CAST(o_custkey AS STRING) || ';'
+      || CASE WHEN o_orderkey % 2 = 0 THEN CHR(10) || '(2) "state" includes ' || o_orderstatus ELSE '' END END""")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), body.alias("text"), F.lit("section").alias("type"))
+    return parse.definitions(rows).select("doc_id", "clause", "term", F.col("text").alias("content"))
+
+
+@query("p10_order_rules", """SELECT o_orderkey AS doc_id, "order", rule, content FROM (SELECT o_orderkey, 'I' AS "order", '1' AS rule, '1. Parties of ' || CAST(o_custkey AS STRING) || '.' AS content FROM orders
+ UNION ALL SELECT o_orderkey, 'I', '2A', '2A. Orders ' || o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'II', '1', '1. Frame of suit' FROM orders) WHERE o_orderkey % 3 > 0""")
+def rules_of_orders(spark, sf_dir):
+    """P10: rules in the orders of a schedule, which ends before its appendix."""
+    body = F.expr("""'1. A section' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CHR(10) || 'THE FIRST SCHEDULE' || CHR(10) || 'ORDER I' || CHR(10) || '1. Parties of ' || CAST(o_custkey AS STRING) || '.' || CHR(10) || '2A. Orders ' || o_orderstatus
+      || CHR(10) || 'ORDER II' || CHR(10) || '1. Frame of suit' || CHR(10) || 'APPENDIX A' || CHR(10) || 'ORDER III' || CHR(10) || '7. Not a rule' END""")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), body.alias("text"))
+    return parse.order_rules(rows).select("doc_id", "order", "rule", F.col("text").alias("content"))
+
+
+@query("f9_newest", "SELECT o_custkey, place::INT AS place, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders) WHERE place <= 3")
+def newest(spark, sf_dir):
+    """the newest rows of each group."""
+    return explore.newest_per_group(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", 3, "o_orderkey").select("o_custkey", "place", "o_orderkey")
+
+
+@query("f10_persisted", "SELECT conv_id, count(*) AS turns FROM conversations WHERE conv_id % 4 > 1 GROUP BY conv_id")
+def persisted_sessions(spark, sf_dir):
+    """messages of guests and tests are not kept."""
+    session = F.concat(F.when(F.col("conv_id") % 4 == 0, "guest_").when(F.col("conv_id") % 4 == 1, "test_").otherwise("user_guest_"), F.col("conv_id").cast("string"))
+    return table(spark, sf_dir, "conversations").where(jobs.persisted(session)).groupBy("conv_id").agg(F.count("*").alias("turns"))
+
+
+@query("a10_job_summary", f""", {_METRICS} SELECT (SELECT count(*) FROM c) AS total_chunks, (SELECT bool_or(chunk_index = 7) FROM c) AS used_fallback, round(avg(round(overall, 9)), 3) AS avg_score, count(*) AS segments FROM o""", True)
+def summary(spark, sf_dir):
+    """A10: totals of a run."""
+    c = chunks(spark, sf_dir).withColumn("fallback_tier", F.when(F.col("chunk_index") == 7, 2))
+    return ingest.job_summary(c, _metrics(spark, sf_dir).withColumn("overall", F.round("overall", 9)))
+
+
+@query("a26_deltas", """WITH a AS (SELECT l_returnflag AS r, avg(l_quantity) AS top1, avg(l_discount) AS mrr FROM lineitem GROUP BY 1), x AS (SELECT 'top1' AS metric, r, top1 AS v FROM a UNION ALL SELECT 'mrr', r, mrr FROM a)
+SELECT metric, round(max(v) FILTER (r = 'A'), 9) AS base, round(max(v) FILTER (r = 'R'), 9) AS other, CASE WHEN max(v) FILTER (r = 'R') > max(v) FILTER (r = 'A') THEN '+' WHEN max(v) FILTER (r = 'R') < max(v) FILTER (r = 'A') THEN '-' ELSE '=' END AS sign FROM x GROUP BY metric""")
+def metric_deltas(spark, sf_dir):
+    """Metric by metric, one retriever against another."""
+    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("retriever")).agg(F.avg("l_quantity").alias("top1"), F.avg("l_discount").alias("mrr"))
+    return evaluate.deltas(a, "A", "R").select("metric", F.round("base", 9).alias("base"), F.round("other", 9).alias("other"), "sign")
+
+
+@query("x7_drift", """WITH r AS (SELECT o_orderpriority AS doc_type, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 100 AS run, o_totalprice / 1000000 AS s FROM orders),
+m AS (SELECT doc_type, run, avg(s) AS mean, count(*) AS n FROM r GROUP BY ALL) SELECT doc_type, run, n, round(mean, 9) AS mean_score, round(mean - lag(mean) OVER (PARTITION BY doc_type ORDER BY run), 9) AS change FROM m""")
+def quality_drift(spark, sf_dir):
+    """Mean score of each hundred chunks and its change."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("doc_type"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 1000000).alias("overall"))
+    return jobs.drift(rows).select("doc_type", "run", "n", F.round("mean_score", 9).alias("mean_score"), F.round("change", 9).alias("change"))
+
+
+@query("w_sessions", """WITH e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS t, event_id FROM events), g AS (SELECT *, (t >= lag(t, 1, -10000000000) OVER w + 1800)::INT AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT user_id, min(t) AS first, max(t) + 1800 AS until, count(*) AS n FROM s GROUP BY user_id, no""")
+def event_sessions(spark, sf_dir):
+    """Session windows: what follows within half an hour belongs together."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", "ts"))
+    return jobs.sessions(e).select("user_id", F.unix_timestamp("session_window.start").alias("first"), F.unix_timestamp("session_window.end").alias("until"), "n")
+
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """BM25 search of benchmark passages, with its accuracy, on the smallest tables."""
     return lexical_accuracy(spark, "/root/testdata/sf0.001")

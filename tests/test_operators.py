@@ -216,3 +216,28 @@ def test_cache_split(spark):
     key = q.where("qid = '1'").select(answer.cache_key(F.col("session"), F.col("question")).alias("key"), F.lit("yes").alias("value"))
     hits, misses = answer.split_by_cache(q, key)
     assert hits.first()["answer"] == "yes" and hits.first()["context"] == [] and [r["qid"] for r in misses.collect()] == ["2"]
+
+
+def test_quality_by_hand(spark):
+    """Five chunks: 4 of 5 numbers valid, halved as fewer than five; one short and noisy text, one without a chapter; 1, 2, 4, 3 falls once."""
+    from lexspark.operators import quality
+
+    long = "{} shall be read as if it were enacted in this Act and nothing else"
+    rows = [(1, "1", None, "CHAPTER I", long.format("This")), (2, "2", None, "CHAPTER I", long.format("That")), (3, "N/A", "3", "CHAPTER I", long.format("It")), (4, None, " 4\n", None, "\n\t short \n"), (5, "3A", None, "CHAPTER I", long.format("All"))]
+    chunks = spark.createDataFrame([(7, i, s, r, c, None, None, t) for i, s, r, c, t in rows], "doc_id long, chunk_index int, section_number string, rule string, chapter string, part string, hierarchy_path string, text string")
+    got = quality.metrics(chunks.withColumn("rule", F.trim(F.col("rule")))).first().asDict()
+    want = {"n_chunks": 5, "capture": 0.4, "length": 0.8, "noise": 0.8, "coverage": 0.8, "duplicates": 0.0, "continuity": 0.5, "overall": 0.65}
+    number = quality.metrics(chunks.withColumn("rule", F.lit("4"))).first()
+    assert {k: (round(v, 9) if isinstance(v, float) else v) for k, v in number.asDict().items() if k in want} == want | {"continuity": round(2 / 3, 9), "overall": round(2 / 3, 9)}
+    assert got["capture"] == 0.4 and got["band"] == "near_pass"
+
+
+def test_chunk_id_cuts_before_it_normalises(spark):
+    import hashlib
+
+    from lexspark.functions import identity
+
+    text = "a " + " " * 100 + "b" * 40
+    parts = [F.lit(x) for x in ("T", "1", 2)]
+    got = spark.range(1).select(identity.chunk_id(*parts, F.lit(None), F.lit("0"), F.lit(text)).alias("x")).first()["x"]
+    assert got == hashlib.sha256(f"T|1|2||0|a {'b' * 18}".encode()).hexdigest()[:32]
