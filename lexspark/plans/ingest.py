@@ -12,6 +12,7 @@ from ..functions.identity import chunk_id, with_storage_metadata
 from ..functions.text import clean_text, filter_blank, remove_toc
 from ..operators import detect, parse, quality, split
 from ..sources.tables import stage
+from . import schema
 
 FAST_PATH, MARGIN, LOW = 0.82, 0.05, 0.70  # fixed values of the arbitration
 
@@ -71,9 +72,10 @@ def arbitrate(regex: DataFrame, schema: DataFrame) -> DataFrame:
 
 
 def route(overall: Column, n_chunks: Column, has_model: bool) -> Column:
-    """What happens to a parse: store, store near the threshold, refine, or fall back."""
+    """What happens to a parse: store, store near the threshold, refine, or fall back. With a model, all that is not near the threshold is refined first."""
     n, o = F.coalesce(n_chunks, F.lit(0)), F.coalesce(overall, F.lit(0.0))
-    return F.when((n > 0) & (o >= quality.PASS), "store").when((n > 0) & (o >= quality.NEAR_PASS), "near_pass").when((n == 0) | (o < quality.SEVERE), "fallback").otherwise("refine" if has_model else "store")
+    rest = F.lit("refine") if has_model else F.when((n == 0) | (o < quality.SEVERE), "fallback").otherwise("store")
+    return F.when((n > 0) & (o >= quality.PASS), "store").when((n > 0) & (o >= quality.NEAR_PASS), "near_pass").otherwise(rest)
 
 
 def cascade(docs: DataFrame, model_chunks: DataFrame | None = None) -> DataFrame:
@@ -108,21 +110,84 @@ def refine(scored: DataFrame, better: DataFrame) -> DataFrame:
     return a.join(b, "doc_id", "left").select("doc_id", F.coalesce(F.col("new") > F.col("old"), F.lit(False)).alias("accepted"))
 
 
-def ingest(docs: DataFrame, settings: Settings = Settings(), model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Stored chunks of ``docs`` (doc_id, text): segments, parse, routing, split, ids.
+def replaced(chunks: DataFrame, scored: DataFrame, rival: DataFrame, rival_scored: DataFrame, won: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks and metrics, those of the rival for the documents in ``won`` (doc_id)."""
 
-    ``model`` turns segments (doc_id, doc_title, doc_type, text) into chunks for the third tier; None: there is no model.
+    def pick(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        return stage(a.join(won, "doc_id", "left_anti").unionByName(b.join(won, "doc_id", "left_semi"), allowMissingColumns=True), name)
+
+    return pick(chunks, rival, "picked"), pick(scored, rival_scored.select(*scored.columns), "picked-metrics")
+
+
+def compete(parts: DataFrame, chunks: DataFrame, scored: DataFrame, complete: Callable[[str], str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, metrics, schemas) after the schema parse of segments whose strategy asks for one.
+
+    HYBRID segments whose regex parse does not win outright get one schema, and both parses are arbitrated; their chunks carry how, and both scores. SCHEMA
+    segments get a schema that is tried on a sample first; without a usable one the regex parse stays. ``scored`` has a row for every segment.
+    """
+    kinds = parts.select("doc_id", "strategy")
+    hybrid = scored.join(kinds.where("strategy = 'HYBRID'"), "doc_id", "left_semi")
+    if complete is None:
+        made = rival = rival_scored = None
+        arbitrated = arbitrate(hybrid, hybrid.limit(0))
+    else:
+        weak = parts.join(hybrid.where(F.col("overall") < FAST_PATH), "doc_id", "left_semi").withColumn("sample", schema.stratified_sample(F.col("text")))
+        one = schema.answers(weak.drop("text"), complete)
+        made = stage(one.unionByName(schema.validated(parts.where("strategy = 'SCHEMA'"), complete)), "schemas")
+        rival, rival_scored = schema.judged(parts, made, "schema")
+        arbitrated = arbitrate(hybrid, rival_scored.join(hybrid, "doc_id", "left_semi"))
+    arbitrated = stage(arbitrated, "arbitrated")
+    if complete is not None:
+        won = arbitrated.where("winner = 'schema'").select("doc_id").union(made.join(kinds.where("strategy = 'SCHEMA'"), "doc_id", "left_semi").select("doc_id"))
+        chunks, scored = replaced(chunks, scored, rival, rival_scored, won)
+    regex_score = F.round("overall", 4)
+    how = F.when(F.col("overall") >= FAST_PATH, "hybrid_regex_fastpath").when(F.col("schema_score").isNull(), "hybrid_regex_only")
+    how = how.when(F.col("low_confidence"), "hybrid_low_confidence").otherwise(F.concat(F.lit("hybrid_"), F.col("winner")))
+    told = arbitrated.join(hybrid.select("doc_id", "overall"), "doc_id").select("doc_id", how.alias("_how"), regex_score.alias("hybrid_regex_score"), F.col("schema_score").alias("hybrid_schema_score"))
+    chunks = chunks.join(told, "doc_id", "left").withColumn("parse_strategy", F.coalesce("_how", "parse_strategy")).drop("_how")
+    return chunks, scored, made
+
+
+def refined(parts: DataFrame, chunks: DataFrame, scored: DataFrame, made: DataFrame, complete: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
+    """Chunks and metrics after one more try for segments that neither pass nor come near.
+
+    Each is parsed in full by its schema (a new one where it has none); a parse that still fails badly gets one patch, made from its failures and
+    both ends of the text. The better of these two is taken where it beats the parse that is there.
+    """
+    ways = scored.select("doc_id", route(F.col("overall"), F.col("n_chunks"), True).alias("route"))
+    open_ = stage(parts.join(ways.where("route = 'refine'"), "doc_id", "left_semi"), "open")
+    fresh = open_.join(made, "doc_id", "left_anti").withColumn("sample", schema.stratified_sample(F.col("text")))
+    first = stage(made.join(open_, "doc_id", "left_semi").unionByName(schema.answers(fresh.drop("text"), complete)), "first-schemas")
+    one, one_scored = schema.judged(open_, first, "first")
+    bad = one_scored.where((F.col("overall") < quality.PASS) & ((F.col("overall") < quality.NEAR_PASS) | quality.is_severe()))
+    asked = open_.withColumn("sample", schema.head_and_tail(F.col("text"))).drop("text").join(bad.select("doc_id", "schema", "report", *schema.METRICS), "doc_id")
+    two, two_scored = schema.judged(open_, stage(schema.answers(asked, complete), "patched-schemas"), "patched")
+    one, one_scored = replaced(one, one_scored, two, two_scored, refine(one_scored, two_scored).where("accepted").select("doc_id"))
+    return replaced(chunks, scored, one, one_scored, refine(scored, one_scored).where("accepted").select("doc_id"))
+
+
+def ingest(docs: DataFrame, settings: Settings = Settings(), model: Callable[[DataFrame], DataFrame] | None = None, complete: Callable[[str], str] | None = None) -> DataFrame:
+    """Stored chunks of ``docs`` (doc_id, text): segments, parse, competition, refinement, fallback, split, ids.
+
+    ``complete`` answers prompts for parse schemas; ``model`` turns segments (doc_id, doc_title, doc_type, text) into chunks for the third tier. None: there
+    is no such model.
     """
     typed = stage(detected(stage(prepare(docs), "prepared")), "detected")
-    kinds = typed.select("doc_id", "doc_type", "confidence", "section_pattern")
+    kinds = typed.drop("text")
     parts = detect.segments(typed.select("doc_id", "text")).join(kinds, "doc_id")
     unit = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("segment_index").cast("string"))
     parts = parts.withColumn("source_id", F.col("doc_id")).withColumn("doc_id", unit).withColumnRenamed("title", "doc_title")
     parts = stage(parts, "segments")
     chunks = stage(parse.parse(parts, F.col("section_pattern"), heading_scope=settings.heading_scope), "parsed")
-    scored = stage(quality.metrics(chunks), "metrics")
-    routed = parts.select("doc_id").join(scored, "doc_id", "left").select("doc_id", route(F.col("overall"), F.col("n_chunks"), model is not None).alias("route"))
+    names = ("n_chunks", *quality.WEIGHTS, "overall")
+    scored = stage(parts.select("doc_id").join(quality.metrics(chunks), "doc_id", "left").select("doc_id", *names).fillna(0, names), "metrics")
+    chunks, scored, made = compete(parts, chunks, scored, complete)
+    near = scored.select("doc_id", (route(F.col("overall"), F.col("n_chunks"), True) == "near_pass").alias("_near"))
+    if complete is not None:
+        chunks, scored = refined(parts, chunks, scored, made, complete)
+    routed = scored.select("doc_id", route(F.col("overall"), F.col("n_chunks"), False).alias("route"))
     direct = chunks.join(routed.where("route <> 'fallback'"), "doc_id").withColumn("fallback_tier", F.lit(None).cast("int")).drop("route")
+    direct = direct.join(near, "doc_id").withColumn("parse_strategy", F.when(F.col("_near"), "accepted_near_threshold").otherwise(F.col("parse_strategy"))).drop("_near")
     failed = parts.join(routed.where("route = 'fallback'").select("doc_id"), "doc_id", "left_semi")
     back = cascade(failed, model(failed) if model else None).join(failed.select("doc_id", "doc_title", "doc_type"), "doc_id")
     every = direct.unionByName(back, allowMissingColumns=True).join(parts.select("doc_id", "source_id", "segment_index"), "doc_id")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import identity, text, vectors
-from .operators import detect, evaluate, explore, pages, parse, quality, retrieve, split
+from .operators import detect, evaluate, explore, pages, parse, quality, retrieve, schema_parse, split
 from .plans import answer, ingest
 from .sources import files, store
 from .streaming import jobs
@@ -415,6 +415,21 @@ def parsed(spark, sf_dir):
     return parse.parse(docs, detect.SECTION_PATTERNS[1]).select("doc_id", "chunk_index", "type", "section_number", "section_title", "chapter", F.length("text").alias("chars"))
 
 
+@query("p7_schema_parse", f"""WITH {_STATUTES}, h AS (SELECT *, CASE WHEN contains(line, 'CHAPTER ') THEN regexp_extract(line, '(CHAPTER [IV]+)', 1) || ' - ' || regexp_extract(line, '\\n(OF [^\\n]*)\\n', 1) END AS head FROM l),
+c AS (SELECT doc_id, 1 + row_number() OVER w AS chunk_index, n::VARCHAR AS section_number, regexp_extract(line, '[0-9]+\\. (Of [^\\n]*)', 1) AS section_title,
+  coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n, k, line ROWS UNBOUNDED PRECEDING), 'Unknown Chapter') AS chapter, regexp_extract(line, '(Whoever[^\\n]*)', 1) AS content
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY n, k, line)
+  UNION ALL SELECT DISTINCT doc_id, 1, 'N/A', '', 'Unknown Chapter', {_TITLE} FROM l)
+SELECT doc_id, chunk_index::INT AS chunk_index, section_number, section_title, chapter, '[Act 1967] [' || chapter || '] Section ' || section_number || ' — ' || section_title || chr(10) || content AS text FROM c""")
+def schema_parsed(spark, sf_dir):
+    """Chunks by a schema of its own for each document."""
+    docs = statutes(spark, sf_dir).withColumn("doc_title", F.lit("Act"))
+    none = F.lit(None).cast("string")
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit(r"^(\d+)\.\s*([^\n]*)"))
+    own = docs.select("doc_id", none.alias("section_pattern"), F.lit(r"(CHAPTER\s+[IVX]+)\s*\n+([^\n]*)").alias("chapter_pattern"), none.alias("part_pattern"), head.alias("title_extract_pattern"), F.lit("1967").alias("year"), none.alias("doc_type"))
+    return schema_parse.parse_by_schema(docs, own).select("doc_id", "chunk_index", "section_number", "section_title", "chapter", "text")
+
+
 @query("w1_running_state", f"""WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_partkey, l_suppkey, {_CHAPTER_OF} AS h FROM lineitem)
 SELECT doc_id, pos, l_partkey AS k, l_suppkey AS k2, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING), 'Unknown Chapter') AS eager,
  coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Unknown Chapter') AS deferred FROM l""")
