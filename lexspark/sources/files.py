@@ -22,19 +22,22 @@ def pdf_files(spark: SparkSession, folder: str, name_has: str = "") -> DataFrame
 
 
 def extract(files: DataFrame, extractor: Callable[[bytes], list[dict]], schema: str = PAGES) -> DataFrame:
-    """Rows that a pluggable extractor gives for each file's bytes; doc_id is added. A file that it fails on gives no rows."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    """Rows that a pluggable extractor gives for each file's bytes, with doc_id and ``error``.
+
+    A file that it fails on by a ValueError has one row with the error and nothing else (for ``store.split_bad_rows``); a file without pages has none.
+    """
+    names = [*[c.split()[0] for c in schema.split(", ")], "error"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
                     rows = extractor(content)
-                except ValueError:
-                    continue
-                yield pd.DataFrame([{"doc_id": doc_id} | r for r in rows], columns=names)
+                except ValueError as e:
+                    rows = [{"error": str(e) or type(e).__name__}]
+                yield pd.DataFrame([[({"doc_id": doc_id} | r).get(c) for c in names] for r in rows], columns=names)
 
-    return files.select("doc_id", "content").mapInPandas(read, schema)
+    return files.select("doc_id", "content").mapInPandas(read, f"{schema}, error string")
 
 
 def present_and_missing(files: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """A versioned Parquet chunk store: idempotent upsert, delete, append and quarantine.
 
-Each change writes a whole new version folder and then names it in a marker file, so that readers see the old version or the new one
-and nobody overwrites what is being read.
+Each change writes a whole new version folder; the newest one that Spark has marked as complete (_SUCCESS) is the table. So readers see the old
+version or the new one, a write that dies on the way is never seen, and nobody overwrites what is being read.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import stage
+
 
 def merge_upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", newest: str | None = None) -> DataFrame:
     """``old`` rows whose key ``new`` lacks, and one row of each key in ``new`` (the newest, if a column for that is given)."""
@@ -30,13 +32,17 @@ class ChunkStore:
         self.spark, self.path, self.key, self.partition_by = spark, path.rstrip("/"), key, partition_by
 
     def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
+    def versions(self) -> list[str]:
+        """Complete versions, oldest first."""
         place, fs = self._fs()
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(place) else None
+        marks = fs.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, "v-*/_SUCCESS"))
+        return sorted(m.getPath().getParent().getName() for m in marks or [])
+
+    def version(self) -> str | None:
+        return (self.versions() or [None])[-1]
 
     def read(self) -> DataFrame:
         version = self.version()
@@ -45,23 +51,25 @@ class ChunkStore:
         return self.spark.read.parquet(f"{self.path}/{version}")
 
     def _commit(self, rows: DataFrame) -> None:
-        version = f"v-{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        before = self.version()
+        # names rise even where clocks do not
+        number = max(int(time.time() * 1000), int(before.split("-")[1]) + 1 if before else 0)
         writer = rows.write.partitionBy(self.partition_by) if self.partition_by else rows.write
-        writer.parquet(f"{self.path}/{version}")
+        writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/v-{number:015d}-{uuid.uuid4().hex[:8]}")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete all complete versions but the newest ``keep``; how many. Readers of older ones must have ended."""
         place, fs = self._fs()
-        jvm = self.spark.sparkContext._jvm
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.path}/.{version}")
-        out = fs.create(draft, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        fs.delete(place, False)
-        fs.rename(draft, place)
+        old = self.versions()[: -max(1, keep)]
+        for name in old:
+            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, name), True)
+        return len(old)
 
     def overwrite(self, rows: DataFrame) -> None:
         self._commit(rows)
 
     def upsert(self, rows: DataFrame) -> int:
-        """Replace or add rows by key; the number of different keys given. The same rows again change nothing."""
+        """Replace or add rows by key; the number of different keys given. The same rows again change nothing. Rows without a key are not stored."""
         new = rows.where(F.col(self.key).isNotNull()).dropDuplicates([self.key])
         n = new.count()
         if n:
@@ -69,10 +77,22 @@ class ChunkStore:
         return n
 
     def append(self, rows: DataFrame, prefix: str, order: str) -> None:
-        """Insert only, with ids ``prefix``_0, _1, ... in the order given, after those that are there."""
+        """Insert only, with ids ``prefix``_0, _1, ... in the order given, after those that are there.
+
+        Rows are sorted across partitions and written once; each one's number is its place in its partition after the sizes of those before it, so
+        that no task sees all rows and only one number a partition goes to the driver.
+        """
         start = self.read().where(F.col(self.key).startswith(f"{prefix}_")).count() if self.version() else 0
-        place = F.row_number().over(Window.orderBy(order)) - 1 + start
-        rows = rows.withColumn(self.key, F.concat(F.lit(f"{prefix}_"), place.cast("string")))
+        placed = stage(rows.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "append")
+        sizes = dict(placed.groupBy("_part").agg(F.count("*")).orderBy("_part").collect())
+        firsts, total = [], start
+        for part, n in sizes.items():
+            firsts.append((part, total))
+            total += n
+        first = F.create_map(*[F.lit(v) for pair in firsts for v in pair])[F.col("_part")] if firsts else F.lit(0)
+        # the lower 33 bits of the running id are the place in the partition
+        place = first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        rows = placed.withColumn(self.key, F.concat(F.lit(f"{prefix}_"), place.cast("string"))).drop("_part", "_at")
         self._commit(self.read().unionByName(rows, allowMissingColumns=True) if self.version() else rows)
 
     def delete(self, condition: Column, title: str = "doc_title") -> tuple[int, list[str]]:
@@ -85,7 +105,7 @@ class ChunkStore:
 
     def drop(self) -> None:
         place, fs = self._fs()
-        fs.delete(place.getParent(), True)
+        fs.delete(place, True)
 
 
 def split_bad_rows(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -222,6 +222,39 @@ def test_store(spark, tmp_path):
     assert set(read_quarantine(spark, f"{tmp_path}/q").columns) == {"reason", "n", "tier"}
 
 
+def test_store_survives_a_broken_commit(spark, tmp_path):
+    s = ChunkStore(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([(str(i), f"t{i}") for i in range(5)], "chunk_id string, text string")
+    s.upsert(rows)
+    (tmp_path / "s" / "v-999999999999999-dead").mkdir()  # a version whose write died
+    assert s.read().count() == 5 and s.upsert(rows.limit(1)) == 1 and s.read().count() == 5 and len(s.versions()) == 2
+    assert s.vacuum(1) == 1 and s.read().count() == 5
+    with pytest.raises(Exception):
+        s.overwrite(rows.select(F.raise_error(F.lit("lost")).alias("chunk_id"), "text"))
+    assert s.read().count() == 5
+
+
+def test_append_numbers_in_order(spark, tmp_path):
+    s = ChunkStore(spark, f"file://{tmp_path}/a")
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("n")).repartition(7)
+    s.append(rows, "x", "n")
+    s.append(rows.limit(0), "x", "n")
+    s.append(rows.where("n < 3"), "x", "n")
+    got = sorted((int(r["chunk_id"][2:]), r["n"]) for r in s.read().collect())
+    assert got == [(i, i) for i in range(1000)] + [(1000, 0), (1001, 1), (1002, 2)]
+
+
+def test_extract_keeps_failed_files(spark):
+    def pages_of(content):
+        if content == b"bad":
+            raise ValueError("no pdf")
+        return [{"page_num": i, "text": t, "height": 1.0} for i, t in enumerate(content.decode().split("|"))]
+
+    found = spark.createDataFrame([("a", b"x|y"), ("b", b"bad")], "doc_id string, content binary")
+    rows = files.extract(found, pages_of).orderBy("doc_id", "page_num").collect()
+    assert [(r["doc_id"], r["page_num"], r["text"], r["error"]) for r in rows] == [("a", 0, "x", None), ("a", 1, "y", None), ("b", None, None, "no pdf")]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     docs = spark.createDataFrame([(str(i), f"text {i}") for i in range(6)], "doc_id string, text string")
     docs.where("doc_id < 3").write.json(f"{tmp_path}/in/a")
