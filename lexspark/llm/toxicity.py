@@ -2,7 +2,7 @@
 
 1. Of the labelled rows, at most ``max_labelled`` are learned from (documented bound), equal texts once.
 2. Spark counts for each hashed n-gram how many toxic and other texts hold it.
-3. N-grams whose shares differ by over ``z`` standard errors are features, each scaled by the log ratio of its shares.
+3. All n-grams whose shares differ by over ``z`` standard errors are features, each scaled by the log ratio of its shares; there are at most 2**``bits``.
 4. Logistic regression on the scaled features of those texts gives the weights.
 """
 
@@ -71,8 +71,11 @@ class ToxicityModel:
         return probability(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, max_labelled: int = 20_000, z: float = 4.5, max_features: int = 4_000, steps: int = 200) -> ToxicityModel:
-    """Learn from ``labels`` (doc_id, toxic 0 or 1) and the texts of ``docs`` (doc_id, text). Without both labels all scores are their share, or 0.5."""
+def fit(docs: DataFrame, labels: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, max_labelled: int = 20_000, z: float = 4.5, steps: int = 200) -> ToxicityModel:
+    """Learn from ``labels`` (doc_id, toxic 0 or 1) and the texts of ``docs`` (doc_id, text). Without both labels all scores are their share, or 0.5.
+
+    What reaches the driver is bounded by ``max_labelled`` texts and their features, as numbers of 4 bytes; the rest stays in tasks.
+    """
     small_batches(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, "toxic", max_labelled))
     texts = docs.select("doc_id", "text").join(sample, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "_label")
@@ -97,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6
     counts = texts.mapInPandas(count, "gram long, c0 long, c1 long").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     p0, p1, p = (F.col("c0") + 0.5) / (n0 + 1), (F.col("c1") + 0.5) / (n1 + 1), (F.col("c0") + F.col("c1") + 1) / (n0 + n1 + 2)
     differs = (p1 - p0) / F.sqrt(p * F.greatest(1 - p, F.lit(1e-9)) * (1 / n0 + 1 / n1))
-    chosen = counts.select("gram", F.log(p1 / p0).alias("scale"), F.abs(differs).alias("z")).where(F.col("z") > z).orderBy(F.desc("z"), "gram").limit(max_features).toPandas()
+    chosen = counts.select("gram", F.log(p1 / p0).alias("scale"), F.abs(differs).alias("z")).where(F.col("z") > z).orderBy("gram").toPandas()
     scale = np.zeros(1 << bits)
     scale[chosen["gram"]] = chosen["scale"]
     place = np.full(1 << bits, -1)
@@ -109,10 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6
             for a, b in by_bytes(own):
                 row, gram = char_ngrams(own[a:b], sizes, bits, scale != 0)
                 ends = np.searchsorted(row, np.arange(1, b - a))
-                yield pd.DataFrame({"label": batch["_label"].to_numpy()[a:b], "held": [x.astype("<u2").tobytes() for x in np.split(place[gram], ends)]})
+                yield pd.DataFrame({"label": batch["_label"].to_numpy()[a:b], "held": [x.astype("<u4").tobytes() for x in np.split(place[gram], ends)]})
 
     rows = texts.mapInPandas(features, "label int, held binary").toPandas()
-    lists = [np.frombuffer(x, "<u2") for x in rows["held"]]
+    lists = [np.frombuffer(x, "<u4") for x in rows["held"]]
     w, bias = logistic(lists, rows["label"].to_numpy(float), chosen["scale"].to_numpy(float), prior, steps)
     weights[chosen["gram"]] = w * chosen["scale"].to_numpy(float)
     return ToxicityModel(weights, bias, sizes, bits)
@@ -121,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6
 def logistic(lists: list[np.ndarray], y: np.ndarray, scale: np.ndarray, bias: float, steps: int, rate: float = 0.02, decay: float = 0.1, block: int = 1000) -> tuple[np.ndarray, float]:
     """Weights of logistic regression on features ``scale`` that a row holds or not, by Adam on all rows, ``block`` rows at a time."""
     n, m = len(lists), len(scale)
-    index = np.concatenate(lists) if n else np.zeros(0, np.uint16)
+    index = np.concatenate(lists) if n else np.zeros(0, np.uint32)
     ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     w, b = np.zeros(m), bias
     first, second = np.zeros(m + 1), np.zeros(m + 1)
