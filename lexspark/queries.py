@@ -408,7 +408,13 @@ def segments(spark, sf_dir):
 _CHAPTER_OF = "CASE WHEN l_returnflag = 'R' THEN 'CHAPTER ' || CASE WHEN l_linenumber % 2 = 0 THEN 'II' ELSE 'IV' END || ' - OF ' || upper(l_linestatus || ' matters') END"
 
 
-@query("p1_p6_parse")
+@query("p1_p6_parse", f"""WITH {_STATUTES}, h AS (SELECT *, CASE WHEN contains(line, 'CHAPTER ') THEN regexp_extract(line, '(CHAPTER [IV]+)', 1) || ' - ' || regexp_extract(line, '\\n(OF [^\\n]*)\\n', 1) END AS head FROM l),
+c AS (SELECT doc_id, 1 + row_number() OVER w AS chunk_index, 'section' AS type, n::VARCHAR AS section_number, regexp_extract(line, '[0-9]+\\. (Of [^\\n]*)\\.\\n', 1) AS section_title,
+  coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n, k, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING), 'Unknown Chapter') AS chapter, regexp_extract(line, '(Whoever[^\\n]*)', 1) AS content
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY n, k, line)
+  UNION ALL SELECT doc_id, 1, 'raw', 'N/A', 'N/A', coalesce(head, 'Unknown Chapter'), {_TITLE} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, k, line) AS place FROM h) WHERE place = 1)
+SELECT doc_id, chunk_index::INT AS chunk_index, type, section_number, section_title, chapter,
+ length('[Act] [' || chapter || ']' || CASE WHEN type = 'section' THEN ' Section ' || section_number || ' — ' || section_title ELSE '' END || chr(10) || content)::INT AS chars FROM c""")
 def parsed(spark, sf_dir):
     """Section chunks with their running chapters."""
     docs = statutes(spark, sf_dir).withColumn("doc_title", F.lit("Act")).withColumn("doc_type", F.lit("BARE_ACT"))

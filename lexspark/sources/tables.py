@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table under spark.checkpoint.dir; where that is unset (tests), under a new folder, which is then set."""
+    """``df`` as a table under spark.checkpoint.dir; where that is unset and all runs in one process (tests), under a new folder, which is then set."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-plans/{name}-{uuid.uuid4().hex[:12]}"

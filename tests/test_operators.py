@@ -148,6 +148,16 @@ def test_fusion_ties_and_weights(spark):
     assert got == {(1, 1): "b", (1, 2): "a", (2, 1): "a", (2, 2): "c"}
 
 
+def test_fusion_by_text(spark):
+    cols = "qid int, rank int, chunk_id string, text string"
+    dense = spark.createDataFrame([(1, 1, "a", "x"), (1, 2, "b", "y"), (1, 3, "c", "x")], cols)
+    lexical = spark.createDataFrame([(1, 1, "d", "x"), (1, 2, "e", "z")], cols)
+    q = spark.createDataFrame([(1, "what is due")], "qid int, question string")
+    rows = retrieve.fuse(dense, lexical, q, key="text").orderBy("rank").collect()
+    assert [(r["chunk_id"], r["dense_rank"], r["bm25_rank"]) for r in rows] == [("d", 1, 1), ("b", 2, None), ("e", None, 2)]
+    assert abs(rows[0]["score"] - 0.5 * (1 / 61 + 1 / 63 + 1 / 61)) < 1e-12
+
+
 def test_answers(spark):
     rows = spark.createDataFrame([(1, "Section 12 says fine", ["2"], ["FINE", "jail"])], "qid int, answer string, expected_sections array<string>, expected_keywords array<string>")
     assert evaluate.judge(rows).first()["passed"] is True  # a plain substring counts as a citation
