@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import normalise
 
@@ -29,6 +30,23 @@ def sanitised(value: Column, most: int = MOST_CHARS) -> Column:
     return F.coalesce(F.substring(value.cast("string"), 1, most), F.lit("N/A"))
 
 
+def sanitise(rows: DataFrame, columns: list[str], most: int = MOST_CHARS) -> DataFrame:
+    """``rows`` with the named metadata columns as stored: arrays, maps and structs as JSON, numbers and truth values as they are, N/A for null text."""
+    out = {}
+    for name in columns:
+        kind = rows.schema[name].dataType
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            out[name] = sanitised(F.to_json(name), most)
+        elif not isinstance(kind, (T.NumericType, T.BooleanType)):
+            out[name] = sanitised(F.col(name), most)
+    return rows.withColumns(out) if out else rows
+
+
+def legacy_chunk_id(act: Column, chapter: Column, section: Column, chunk_index: Column, text: Column) -> Column:
+    """The older id: all 64 hex digits of the SHA-256 over the parts joined by underscores."""
+    return F.sha2(F.concat_ws("_", *[F.coalesce(c.cast("string"), F.lit("")) for c in (act, chapter, section, chunk_index, text)]), 256)
+
+
 def with_storage_metadata(chunks: DataFrame, stored_at: str, model: str = "none", version: str = PIPELINE_VERSION) -> DataFrame:
     """Add stored_at, pipeline_version and embedding_model where they are missing; one time stamp for a whole run."""
     for name, value in (("stored_at", F.lit(stored_at).cast("timestamp")), ("pipeline_version", F.lit(version)), ("embedding_model", F.lit(model))):

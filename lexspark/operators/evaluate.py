@@ -52,6 +52,26 @@ def judge(answers: DataFrame, least_keywords: float = 0.5, need_citation: bool =
     return out.withColumn("passed", good & F.col("cited") if need_citation else good)
 
 
+def suite(cases: DataFrame, ranked: DataFrame, answers: DataFrame, k: int = 20, least_keywords: float = 0.5, need_citation: bool = True) -> DataFrame:
+    """A whole evaluation: per case (qid, expected_sections, expected_keywords, category) of its first ``k`` results (qid, rank, section_number) and its answer
+    (qid, answer): first_hit, n_hits, hits, missing, keyword_score, cited, passed. ``breakdown`` by category gives the totals.
+
+    A case without results has no hit, and one without an answer is judged on an empty one. Missing lists are empty.
+    """
+    lists = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("expected_sections", "expected_keywords")]
+    cases = cases.select("qid", "category", *lists)
+    top = ranked.where(F.col("rank") <= k).select("qid", "rank", "section_number")
+    seen = F.filter(F.array_sort(F.collect_list(F.struct("rank", "section_number"))), lambda r: r["section_number"].isNotNull())
+    rows = cases.join(top.groupBy("qid").agg(seen.alias("seen")), "qid", "left").join(answers.select("qid", "answer"), "qid", "left")
+    rows = rows.withColumn("answer", F.coalesce("answer", F.lit("")))
+    found = F.transform(F.coalesce("seen", F.array()), lambda r: r["section_number"])
+    good = F.filter("seen", lambda r: F.array_contains("expected_sections", r["section_number"]))
+    rows = rows.withColumn("found_sections", found.cast("array<string>")).withColumn("first_hit", F.get(good, F.lit(0))["rank"]).withColumn("n_hits", F.size(F.coalesce(good, F.array())))
+    sets = F.array_sort(F.array_intersect("expected_sections", "found_sections")), F.array_sort(F.array_except("expected_sections", "found_sections"))
+    rows = rows.withColumn("hits", sets[0]).withColumn("missing", sets[1])
+    return judge(rows, least_keywords, need_citation).drop("seen", "found_sections")
+
+
 def coverage(hits: DataFrame, text_col: str = "text") -> DataFrame:
     """Per qid over its relevant results: whether definitions and punishments are mentioned, their number, and their joined length."""
     t = F.lower(F.col(text_col))

@@ -64,10 +64,17 @@ def cascade(rows: DataFrame, law: str = "All", chapter: str = "All") -> DataFram
     return rows.where(F.col("chapter") == chapter) if chapter != "All" else rows
 
 
-def search(rows: DataFrame, text: str) -> DataFrame:
-    """Rows whose text or id holds the words, whatever the case."""
+def search(rows: DataFrame, text: str, section: str | None = None) -> DataFrame:
+    """Rows whose text holds the words, or whose id does, whatever the case; with ``section``, a column, that must equal the words instead of the id."""
     words = F.lit(text.lower())
-    return rows.where(F.contains(F.lower("text"), words) | F.contains(F.lower(F.col("id").cast("string")), words))
+    other = F.contains(F.lower(F.col("id").cast("string")), words) if section is None else F.lower(section) == words
+    return rows.where(F.contains(F.lower("text"), words) | F.coalesce(other, F.lit(False)))
+
+
+def outcome(judged: DataFrame, which: str = "All") -> DataFrame:
+    """Judged rows (passed), "All", "Passed" or "Failed" of them; a null outcome is a failure."""
+    passed = F.coalesce("passed", F.lit(False))
+    return judged if which == "All" else judged.where(passed if which == "Passed" else ~passed)
 
 
 def unit(rows: DataFrame, display: str) -> DataFrame:

@@ -517,6 +517,13 @@ def failures(spark, sf_dir):
     return out.select("doc_id", "total", "n_unnumbered", "n_short", F.size("issues").alias("n_issues"))
 
 
+@query("f13_failed", f", {_METRICS} SELECT doc_id, round(overall, 6) AS overall FROM o WHERE round(overall, 9) < 0.7", True)
+def failed_outcomes(spark, sf_dir):
+    """the failed ones of judged documents."""
+    judged = quality.passes(_metrics(spark, sf_dir).withColumn("overall", F.round("overall", 9)))
+    return explore.outcome(judged, "Failed").select("doc_id", F.round("overall", 6).alias("overall"))
+
+
 @query("p8_arbitration", f""", {_METRICS}, a AS (SELECT *, round(overall, 9) AS r, round(1 - abs(overall - 0.6), 9) AS s FROM o)
 SELECT doc_id, CASE WHEN r >= 0.82 THEN 'regex' WHEN r - s > 0.05 THEN 'regex' WHEN s - r > 0.05 THEN 'schema' ELSE 'regex' END AS winner, (r < 0.82 AND r < 0.7 AND s < 0.7) AS low_confidence FROM a""", True)
 def arbitration(spark, sf_dir):

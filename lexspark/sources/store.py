@@ -50,6 +50,13 @@ class ChunkStore:
             raise FileNotFoundError(f"no chunks under {self.path}")
         return self.spark.read.parquet(f"{self.path}/{version}")
 
+    def find(self, limit: int = 5, **equal) -> DataFrame:
+        """At most ``limit`` rows whose columns equal the values given; the filter reaches the Parquet scan."""
+        rows = self.read()
+        for name, value in equal.items():
+            rows = rows.where(F.col(name) == F.lit(value))
+        return rows.limit(limit)
+
     def _commit(self, rows: DataFrame) -> None:
         before = self.version()
         # names rise even where clocks do not

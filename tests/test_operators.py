@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import identity, text
-from lexspark.operators import detect, evaluate, pages, parse, quality, retrieve, schema_parse, split
+from lexspark.operators import detect, evaluate, explore, pages, parse, quality, retrieve, schema_parse, split
 from lexspark.plans import answer, ingest, schema
 from lexspark.sources import files
 from lexspark.sources.store import ChunkStore, merge_upsert, quarantine, read_quarantine
@@ -158,6 +158,31 @@ def test_fusion_by_text(spark):
     assert abs(rows[0]["score"] - 0.5 * (1 / 61 + 1 / 63 + 1 / 61)) < 1e-12
 
 
+def test_suite_by_hand(spark):
+    cases = spark.createDataFrame([(1, ["5", "6"], ["tax"], "a"), (2, ["9"], [], "a"), (3, None, None, "b")], "qid int, expected_sections array<string>, expected_keywords array<string>, category string")
+    ranked = spark.createDataFrame([(1, 1, "4"), (1, 2, "6"), (1, 3, None), (1, 9, "5"), (2, 1, "8")], "qid int, rank int, section_number string")
+    answers = spark.createDataFrame([(1, "The TAX of section 6"), (2, "none")], "qid int, answer string")
+    out = evaluate.suite(cases, ranked, answers, k=5)
+    got = {r["qid"]: (r["first_hit"], r["n_hits"], r["hits"], r["missing"], r["keyword_score"], r["cited"], r["passed"]) for r in out.collect()}
+    assert got == {1: (2, 1, ["6"], ["5"], 1.0, True, True), 2: (None, 0, [], ["9"], 1.0, False, False), 3: (None, 0, [], [], 1.0, False, False)}
+    assert {(r["category"], r["passed"], r["total"]) for r in evaluate.breakdown(out, "category").collect()} == {("a", 1, 2), ("b", 0, 1), (None, 1, 3)}
+
+
+def test_search_and_outcome(spark):
+    rows = spark.createDataFrame([(1, "Land tax", "7", True), (2, "seven", "7A", None), (3, "none", None, False)], "id int, text string, section string, passed boolean")
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(explore.search(rows, "7a", "section")) == [2] and ids(explore.search(rows, "TAX", "section")) == [1] and ids(explore.search(rows, "3")) == [3]
+    assert ids(explore.outcome(rows)) == [1, 2, 3] and ids(explore.outcome(rows, "Passed")) == [1] and ids(explore.outcome(rows, "Failed")) == [2, 3]
+
+
+def test_metadata(spark):
+    rows = spark.createDataFrame([(["a", "b"], {"k": 1}, None, 3, "x" * 600)], "tags array<string>, extra map<string,int>, year string, n int, title string")
+    got = identity.sanitise(rows, rows.columns).first()
+    assert (got["tags"], got["extra"], got["year"], got["n"], len(got["title"])) == ('["a","b"]', '{"k":1}', "N/A", 3, 500)
+    lit = [F.lit(x) for x in ("A", "I", "5", 2, "t")]
+    assert rows.select(identity.legacy_chunk_id(*lit)).first()[0] == __import__("hashlib").sha256(b"A_I_5_2_t").hexdigest()
+
+
 def test_answers(spark):
     rows = spark.createDataFrame([(1, "Section 12 says fine", ["2"], ["FINE", "jail"])], "qid int, answer string, expected_sections array<string>, expected_keywords array<string>")
     assert evaluate.judge(rows).first()["passed"] is True  # a plain substring counts as a citation
@@ -224,6 +249,7 @@ def test_store(spark, tmp_path):
     assert s.upsert(rows) == 2 and s.upsert(rows) == 2 and s.read().count() == 2
     s.upsert(spark.createDataFrame([("2", "c", "U"), ("3", "d", "V")], rows.schema))
     assert {r["chunk_id"]: r["text"] for r in s.read().collect()} == {"1": "a", "2": "c", "3": "d"}
+    assert [r["chunk_id"] for r in s.find(5, doc_title="V").collect()] == ["3"] and s.find(1).count() == 1
     assert s.delete(F.col("doc_title") == "none") == (0, ["T", "U", "V"])
     assert s.delete(F.col("doc_title") == "T")[0] == 1 and s.read().count() == 2
     assert merge_upsert(rows, rows.limit(0)).count() == 2
