@@ -16,6 +16,7 @@ the lines: each window of ``window_words`` words that stands earlier in the corp
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import as_bytes
-from .shared import Scratch, _powers, by_bytes, mix, runs, small_batches, span_hashes, text_bounds, word_hashes
+from .shared import Scratch, _powers, by_bytes, mix, runs, small_batches, text_bounds, word_hashes
 
 MARKS = "doc_id long, hashes binary, fp array<long>, fp2 array<long>, line array<int>, at array<int>, n array<int>, gram array<long>, k1 array<long>, k2 array<long>"
 WINDOWS = "doc_id long, at int, k1 long, k2 long"
@@ -33,13 +34,14 @@ _LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Lines:
-    """The lines of many texts: two hashes and the number of words of each, and where each text's lines begin (one more entry at the end)."""
+    """The lines of many texts: a digest of 128 bits and the number of words of each, and where each text's lines begin (one more entry at the end)."""
 
     def __init__(self, texts: list[bytes], data: np.ndarray, word_starts: np.ndarray):
         end = np.flatnonzero(data == 10)
         start = np.concatenate([[0], end[:-1] + 1])
-        h = span_hashes(data, start, end)
-        self.hashes = np.stack([h, span_hashes(data ^ np.uint8(0xA5), start, end)], axis=1)
+        whole = data.tobytes()
+        digests = [hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        self.hashes = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
         self.words = np.bincount(np.searchsorted(start, word_starts, "right") - 1, minlength=len(start))
         self.first = np.searchsorted(start, text_bounds(texts))
 
@@ -145,19 +147,43 @@ def repeated_runs(marked: DataFrame, scratch: Scratch) -> DataFrame:
     return runs.select("doc_id", joined.alias("runs"))
 
 
+class PrimeSums:
+    """Polynomials of runs of numbers modulo a prime under 2**31, as differences of prefix sums."""
+
+    _known: dict[tuple[int, int], np.ndarray] = {}
+
+    def __init__(self, numbers: np.ndarray, prime: int, base: int):
+        self.prime, self.inverse = np.uint64(prime), self.powers(pow(base, -1, prime), prime, len(numbers) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers % self.prime * self.powers(base, prime, len(numbers)) % self.prime)])
+
+    @classmethod
+    def powers(cls, base: int, prime: int, n: int) -> np.ndarray:
+        out = cls._known.get((base, prime), np.ones(1, np.uint64))
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+        cls._known[base, prime] = out
+        return out[:n]
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) % self.prime * self.inverse[start] % self.prime
+
+
 class WordSpans:
-    """128-bit hashes of runs of words of many texts, as differences of prefix sums."""
+    """128-bit hashes of runs of words of many texts, as differences of prefix sums: one half modulo 2**64, one modulo two primes."""
 
     def __init__(self, texts: list[bytes]):
         self.words, self.first, self.start, self.end, self.data = word_hashes(texts, lower=False, spans=True)
         fwd, self.inverse = _powers(len(self.words) + 1)
-        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * fwd[:-1])]) for h in (self.words, mix(self.words ^ np.uint64(0xA0761D6478BD642F)))]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * fwd[:-1])])
+        other = mix(self.words ^ np.uint64(0xA0761D6478BD642F))
+        self.primes = PrimeSums(other, 2**31 - 1, 1_103_515_245), PrimeSums(other >> np.uint64(7), 2**31 - 19, 1_812_433_253)
 
-    def hashes(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[k][end] - self.sums[k][start]) * self.inverse[start] + (end - start).astype(np.uint64) * _LENGTH)
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _LENGTH)
 
     def keys(self, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
-        return {f"k{k + 1}": self.hashes(k, start, end).view(np.int64) for k in (0, 1)}
+        k2 = mix((self.primes[0].of(start, end) << np.uint64(32) | self.primes[1].of(start, end)) + (end - start).astype(np.uint64) * _LENGTH)
+        return {"k1": self.hashes(start, end).view(np.int64), "k2": k2.view(np.int64)}
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -174,7 +200,7 @@ def word_stretches(spans: WordSpans, gram_words: int, window_words: int) -> tupl
     if n <= 0:
         return np.zeros(0, np.int64), {c: np.zeros(0, np.int64) for c in ("at", "n", "gram", "k1", "k2")}
     i = np.arange(len(spans.words) - gram_words + 1)
-    least = sliding_min(spans.hashes(0, i, i + gram_words), window_words - gram_words + 1)
+    least = sliding_min(spans.hashes(i, i + gram_words), window_words - gram_words + 1)
     own = np.searchsorted(spans.first, np.arange(len(spans.words)), "right") - 1
     inside = own[:n] == own[window_words - 1 :]
     begins = inside & np.concatenate([[True], (least[1:] != least[:-1]) | (own[1:n] != own[: n - 1]) | ~inside[:-1]])
@@ -290,13 +316,16 @@ def dedup_lines(docs: DataFrame, gram_words: int = 20, window_words: int = 50) -
     small_batches(docs.sparkSession)
     marked = scratch.store(mark(docs, gram_words, window_words), "marks")
     by_line, by_word = repeated_runs(marked, scratch), repeated_words(docs, marked, scratch, gram_words, window_words)
-    found = scratch.finish(by_line.join(by_word, "doc_id", "full").withColumn("_found", F.lit(True)), "line-runs")
-    out = docs.join(found, "doc_id", "left").withColumn("_cut", without_repeats(F.when(F.col("_found"), F.col("text")), F.col("runs"), F.col("spans")))
-    out = out.withColumn("removed_runs", F.col("_cut.runs")).withColumn("removed_words", F.col("_cut.words"))
-    out = out.withColumn("text", F.when(F.col("removed_runs").isNotNull(), F.col("_cut.text")).otherwise(F.col("text")))
+    found = scratch.finish(by_line.join(by_word, "doc_id", "full").select("doc_id", "runs", "spans", F.lit(True).alias("found")), "line-runs")
+    # the row travels as one column, so that its own columns may have any names
+    rows = docs.select(F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(found, "doc_id", "left")
+    rows = rows.select("row", without_repeats(F.when(F.col("found"), F.col("row.text")), F.col("runs"), F.col("spans")).alias("cut"))
+    was_cut = F.col("cut.runs").isNotNull()
+    new = {"text": F.when(was_cut, F.col("cut.text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_runs").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "removed_runs", "removed_words")
+        new["n_chars"] = F.when(was_cut, F.length("cut.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    own = [new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.select(*own, F.col("cut.runs").alias("removed_runs"), F.col("cut.words").alias("removed_words"))
 
 
 def removed_lines(docs: DataFrame, **options) -> DataFrame:

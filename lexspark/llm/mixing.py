@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, word_count
+from .shared import Scratch, with_nulls, with_plain_ids, word_count
 
 WHOLE = 1e-9
 
@@ -125,8 +125,8 @@ def round_copies(docs: DataFrame, seed: int = 7, bucket_rows: int = 10_000, fan_
     """
     scratch = scratch or Scratch(docs.sparkSession)
     names = docs.columns
-    rows = docs.withColumn("_base", F.floor("expected").cast("long")).withColumn("_p", F.col("expected") - F.floor("expected"))
-    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)), "size"))
+    rows = with_plain_ids(docs, *[c for c in names if c != "doc_id"]).withColumn("_base", F.floor("expected").cast("long")).withColumn("_p", F.col("expected") - F.floor("expected"))
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), F.when(F.col("no_id"), -1).otherwise(F.col("doc_id")), "size"))
     buckets = F.ceil(F.col("n_docs") / bucket_rows).cast("long")
     rows = rows.withColumn("_bucket", F.pmod("_key", buckets)).withColumn("_open", F.lit(True))
     schema = rows.schema
@@ -169,7 +169,7 @@ def round_copies(docs: DataFrame, seed: int = 7, bucket_rows: int = 10_000, fan_
     every = open_.groupBy("source").applyInPandas(last, schema)
     for part in done:
         every = every.unionByName(part)
-    return every.select(*names, (F.col("_base") + F.round("_p").cast("long")).alias("copies"))
+    return with_nulls(every).select(*names, (F.col("_base") + F.round("_p").cast("long")).alias("copies"))
 
 
 def copies_of(docs: DataFrame, weights: Sequence[float], share: float, max_epochs: float, seed: int) -> DataFrame:

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .quality import as_bytes
-from .shared import Scratch, by_bytes, mix, small_batches, store, word_hashes
+from .shared import Scratch, by_bytes, mix, small_batches, store, with_nulls, with_plain_ids, word_hashes
 
-SKETCH = "doc_id long, n_shingles long, digest binary, registers binary, bands array<long>"
+SKETCH = "doc_id long, no_id boolean, n_shingles long, digest binary, registers binary, bands array<long>"
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -126,15 +126,15 @@ class Sketcher:
 def sketches(docs: DataFrame, words: int, sketcher: Sketcher) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, ids = as_bytes(batch["text"]), batch["doc_id"].tolist()
+            texts = as_bytes(batch["text"])
             for a, b in by_bytes(texts):
                 sets = shingle_sets(texts[a:b], words)
                 r = sketcher.registers(sets)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                out = pd.DataFrame({"doc_id": ids[a:b], "n_shingles": [len(s) for s in sets], "digest": digests, "registers": [x.tobytes() for x in r], "bands": list(sketcher.bands(r))})
-                yield out.astype({"doc_id": "Int64"})
+                columns = {"n_shingles": [len(s) for s in sets], "digest": digests, "registers": [x.tobytes() for x in r], "bands": list(sketcher.bands(r))}
+                yield batch[["doc_id", "no_id"]].iloc[a:b].assign(**columns)
 
-    return docs.select("doc_id", "text").mapInPandas(make, SKETCH)
+    return with_nulls(with_plain_ids(docs, "text").mapInPandas(make, SKETCH))
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:

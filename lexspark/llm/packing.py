@@ -10,7 +10,8 @@ A window of n tokens is padded to ``size`` unless n is a power of two. The progr
 
 The inner minimum over a sliding window is kept by a monotone queue, so each boundary costs O(1) amortised.
 The stream is worked off in blocks of ``block`` tokens; the last two windows of a block's solution are taken up again by the next
-block, so memory stays bounded for any partition. One open end remains per partition.
+block, so memory stays bounded for any partition. One open end remains per partition. Windows of a power of two under an eighth of ``size`` are
+taken in a partition's last block only, as they would save no padding before it.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .shared import by_bytes, small_batches, word_hashes
+from .shared import by_bytes, small_batches, with_nulls, with_plain_ids, word_hashes
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 DOC, SENTENCE, WORD_END = 0, 1, 2
 
 
@@ -193,10 +194,10 @@ class Packer:
 
     def __init__(self, size: int, penalties: tuple[float, float, float], block: int, first_id: int):
         self.size, self.penalties, self.block, self.sequence = size, penalties, block, first_id
-        self.docs: deque = deque()  # (doc_id, ids, start in document of what is left, tokens in all)
+        self.docs: deque = deque()  # ((doc_id, no_id), ids, start in document of what is left, tokens in all)
         self.pos, self.kind, self.length = [], [], 0
 
-    def add(self, doc_id, ids: bytes, pos: np.ndarray, kind: np.ndarray) -> list[tuple]:
+    def add(self, doc_id: tuple, ids: bytes, pos: np.ndarray, kind: np.ndarray) -> list[tuple]:
         self.docs.append((doc_id, ids, 0, len(ids) >> 2))
         self.pos.append(pos + self.length)
         self.kind.append(kind)
@@ -222,7 +223,7 @@ class Packer:
             while at < end:
                 doc_id, ids, start, tokens = self.docs[0]
                 n = min(end - at, tokens - start)
-                out.append((doc_id, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)]), tokens, self.sequence, offset))
+                out.append((*doc_id, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)]), tokens, self.sequence, offset))
                 if start + n == tokens:
                     self.docs.popleft()
                 else:
@@ -259,17 +260,16 @@ def pack_documents(
         enc = encoder(tokenizer() if callable(tokenizer) else tokenizer)
         packer = Packer(size, (0.0, sentence_penalty, word_penalty), block, TaskContext.get().partitionId() << 33)
         for batch in batches:
-            texts, ids, rows = [t if isinstance(t, str) else "" for t in batch["text"]], batch["doc_id"].tolist(), []
+            texts, ids, rows = [t if isinstance(t, str) else "" for t in batch["text"]], list(zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), strict=True)), []
             for first, last in by_bytes(texts):
                 for doc_id, (own, at, sentence) in zip(ids[first:last], enc.encode(texts[first:last]), strict=True):
-                    rows += packer.add(None if doc_id != doc_id else doc_id, np.append(own, np.uint32(end_id)).astype("<u4").tobytes(), *boundaries(at, sentence, max(1, size // 16)))
+                    rows += packer.add(doc_id, np.append(own, np.uint32(end_id)).astype("<u4").tobytes(), *boundaries(at, sentence, max(1, size // 16)))
             yield frame(rows)
         yield frame(packer.cut(True))
 
-    return docs.select("doc_id", "text").mapInPandas(pack, PIECES)
+    return with_nulls(with_plain_ids(docs, "text").mapInPandas(pack, PIECES))
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in PIECES.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({c: "Int64" if c == "doc_id" else "int64" for c in names})
+    return pd.DataFrame(rows, columns=names).astype({c: "bool" if c == "no_id" else "int64" for c in names})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -90,12 +91,24 @@ def word_count(text) -> "F.Column":
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+def with_plain_ids(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of docs with ``doc_id`` free of nulls and ``no_id``, which tells them: pandas would make floats of ids beside a null one."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), *columns)
+
+
+def with_nulls(rows: DataFrame) -> DataFrame:
+    """Undo ``with_plain_ids``."""
+    return rows.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
 # ---- hashing of words on bytes ------------------------------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
+#: Words of more bytes are hashed by a digest: from some 1000 bytes on, different strings exist whose polynomials agree modulo 2**64 for every base.
+LONG_WORD = 64
 _POWERS: dict[str, np.ndarray] = {"fwd": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
 
 
@@ -139,7 +152,7 @@ def text_bounds(texts: list[bytes]) -> np.ndarray:
 def word_hashes(texts: list[bytes], lower: bool = True, space: tuple[int, ...] = (32, 9, 10, 11, 12, 13), spans: bool = False) -> tuple:
     """64-bit hashes of the words of many texts, and the offset of each text's first word (one more entry at the end).
 
-    A word's hash is the polynomial of its bytes, taken as a difference of prefix sums, then mixed with its length.
+    A word's hash is the polynomial of its bytes, taken as a difference of prefix sums, then mixed with its length; that of a long word a digest.
     ``space``: the bytes between words. ``spans``: return the words' first and end bytes and the joined bytes too.
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -149,6 +162,8 @@ def word_hashes(texts: list[bytes], lower: bool = True, space: tuple[int, ...] =
     kinds[list(space)] = 0
     start, end = runs(kinds[data])
     h = span_hashes(data, start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
     first = np.searchsorted(start, text_bounds(texts))
     return (h, first, start, end, data) if spans else (h, first)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import as_bytes
-from .shared import _BASE, _TABLE, Scratch, by_bytes, mix, small_batches, span_hashes, text_bounds
+from .shared import _BASE, _TABLE, Scratch, by_bytes, mix, small_batches, span_hashes, text_bounds, with_nulls, with_plain_ids
 
 PIECES = "anchor long, piece long, doc_id long, start int, size int, later boolean"
 RANGES = "doc_id long, first int, end int"
@@ -291,22 +291,22 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_text: bool = False
     scratch = Scratch(docs.sparkSession)
     ranges = scratch.finish(removed_ranges(docs, scratch, length, **options), "removed")
     per = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
-    rows = docs.select("doc_id", "text").join(per, "doc_id", "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    rows = with_plain_ids(docs.select("doc_id", "text").join(per, "doc_id", "left"), "text", "ranges")
+    schema = "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, own in zip(batch["doc_id"].tolist(), as_bytes(batch["text"]), batch["ranges"], strict=True):
+            for doc_id, no_id, text, own in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), as_bytes(batch["text"]), batch["ranges"], strict=True):
                 spans = merge_ranges([(r["first"], r["end"]) for r in own]) if own is not None else []
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join([*kept, text[at:]]) if spans else text
-                row = (doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+                row = (doc_id, no_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept) if with_text else row)
             names = [c.split()[0] for c in schema.split(", ")]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(finish, schema)
+    return with_nulls(rows.mapInPandas(finish, schema))

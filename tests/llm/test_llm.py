@@ -32,6 +32,21 @@ def words(n, seed, vocabulary=60):
     return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
 
 
+BIG = 2**60
+
+
+def thue_morse(n):
+    """Two strings of 2**n letters whose polynomial hashes modulo 2**64 agree for every base, from n of about 10 on."""
+    s = "".join("ab"[bin(i).count("1") % 2] for i in range(2**n))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("call", [lambda d: suffixes.dedup_substrings(d), lambda d: nearcopies.near_copies(d), lambda d: packing.pack_documents(d, word_tokenizer), lambda d: mixing.mix_sources(d), lambda d: nearcopies.keep_one(d), lambda d: mixing.repeat_documents(d)], ids=["op2", "op3", "op6", "op8", "keep_one", "repeat_documents"])
+def test_large_ids_beside_a_null_one(spark, call):
+    docs = documents(spark, [(BIG + 1, "one two three four five six"), (None, "no id at all in this row"), (BIG + 3, "seven eight nine ten eleven twelve")]).coalesce(1)
+    assert {r["doc_id"] for r in call(docs).collect()} == {BIG + 1, BIG + 3, None}
+
+
 # ---- 1: WARC ------------------------------------------------------------------------------------------------------
 
 
@@ -302,6 +317,23 @@ def test_lines_beside_a_smaller_first_holder(spark):
     assert all(want[10 * v + 2] == ["before", str(v), "2", f"after{v}2"] == got[10 * v + 2].split() for v in range(12))
 
 
+def test_lines_and_words_that_only_a_polynomial_takes_as_equal(spark):
+    a, b = thue_morse(12)
+    rest = " ".join(words(60, 5))
+    docs = documents(spark, [(1, f"{a} {rest}"), (2, f"{b} " + " ".join(words(60, 6)))])
+    assert lines.removed_lines(docs).where("n_removed > 0 OR n_words_removed > 0").count() == 0
+    alone = nearcopies.near_copies(documents(spark, [(1, a), (2, b)]))
+    assert alone.where("kept").count() == 2
+
+
+def test_lines_with_clashing_columns(spark):
+    same = " ".join(words(60, 7))
+    docs = documents(spark, [(1, same), (2, same + "\nmore of it")]).selectExpr("*", "7 AS runs", "8 AS spans", "9 AS found", "10 AS `row`", "11 AS cut", "12 AS `a.b`")
+    got = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
+    assert got[2]["text"] == "more of it" and got[2]["n_chars"] == 10 and got[1]["text"] == same
+    assert [got[2][c] for c in ("runs", "spans", "found", "row", "cut", "a.b")] == [7, 8, 9, 10, 11, 12]
+
+
 def test_lines_odd_rows(spark):
     got = lines.dedup_lines(documents(spark, ODD)).collect()
     assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in got])) == sorted(map(repr, ODD))
