@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import as_bytes
-from .shared import LONG_WORD, Scratch, by_bytes, mix, runs, small_batches, span_hashes, text_bounds
+from .shared import LONG_WORD, Scratch, by_bytes, distinct_spans, mix, runs, small_batches, span_hashes, span_strings, text_bounds
 
 #: Bytes inside a term: letters and all beyond ASCII.
 _KIND = np.zeros(256, np.int8)
@@ -138,23 +138,15 @@ def group_counts(texts: list[bytes], langs: list[str], sources: list[str], sketc
     at = sketch.passing(terms.hashes, bits)
     groups = {g: k for k, g in enumerate(dict.fromkeys(zip(langs, sources, strict=True)))}
     group = np.array([groups[g] for g in zip(langs, sources, strict=True)], np.int64)
-    # a number for each distinct string of bytes: of one hash there may be several, by a rare chance
-    _, head, number = np.unique(terms.hashes[at], return_index=True, return_inverse=True)
-    head = at[head]
-    others: dict[tuple[int, bytes], int] = {}
-    for i in np.flatnonzero(~span_equal(terms, at, head[number])).tolist():
-        own = (int(number[i]), terms.data[terms.start[at[i]] : terms.end[at[i]]].tobytes())
-        if own not in others:
-            others[own] = len(head)
-            head = np.append(head, at[i])
-        number[i] = others[own]
+    start, end, text = terms.start[at], terms.end[at], terms.text[at]
+    head, number = distinct_spans(terms.data, start, end, terms.hashes[at])
     wide = np.int64(max(len(head), 1))
-    key, n = np.unique(group[terms.text[at]] * wide + number, return_counts=True)
-    once = np.unique(terms.text[at] * wide + number)
+    key, n = np.unique(group[text] * wide + number, return_counts=True)
+    once = np.unique(text * wide + number)
     _, docs = np.unique(group[once // wide] * wide + once % wide, return_counts=True)
     word = head[key % wide] if len(key) else key
     names = [pa.array(x, pa.string()).take(pa.array(key // wide)) for x in zip(*groups, strict=True)]
-    return pa.RecordBatch.from_arrays([*names, strings(terms, word), pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+    return pa.RecordBatch.from_arrays([*names, span_strings(terms.data, start[word], end[word]), pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
 
 
 def strings(terms: Terms, at: np.ndarray) -> pa.Array:
@@ -165,18 +157,6 @@ def strings(terms: Terms, at: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
 
 
-def span_equal(terms: Terms, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the terms ``a`` have the bytes of the terms ``b``, by pairs."""
-    size = terms.end[a] - terms.start[a]
-    equal = size == terms.end[b] - terms.start[b]
-    for k in range(int(size.max()) if len(size) else 0):
-        live = np.flatnonzero(equal & (size > k))
-        if not len(live):
-            break
-        equal[live] = terms.data[terms.start[a[live]] + k] == terms.data[terms.start[b[live]] + k]
-    return equal
-
-
 def share(count, n, v):
     """1 + floor(10**9 * (count + 5) / (N + 5 V)) in whole numbers; null where V is 0."""
     top = F.lit(SCALE).cast("decimal(20,0)") * (count + SMOOTH).cast("decimal(18,0)")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, divergence, lines, mixing, nearcopies, neighbours, packing, quality, suffixes, toxicity, warc, whitening
+from . import bitsliced, divergence, lattice, lines, mixing, nearcopies, neighbours, packing, quality, suffixes, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,16 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_texts(table(spark, sf_dir, "documents"), piece_vocabulary)
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_suffixes": op2_suffixes,
@@ -84,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
     "op11_whitening": op11_whitening,
     "op12_divergence": op12_divergence,
+    "op13_lattice": op13_lattice,
 }
 
 #: Base 32 of a SHA-1: of each 5 bits, the two hex digits that hold them.

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,3 +179,42 @@ def by_bytes(texts: list, most: int = 1 << 20):
         size += len(t) + 1
     if first < len(texts):
         yield first, len(texts)
+
+
+def span_equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the spans ``a`` hold the same bytes as the spans ``b``, by pairs."""
+    size = end[a] - start[a]
+    equal = size == end[b] - start[b]
+    live = np.flatnonzero(equal)
+    k = 0
+    while len(live):
+        live = live[size[live] > k]
+        same = data[start[a[live]] + k] == data[start[b[live]] + k]
+        equal[live[~same]] = False
+        live, k = live[same], k + 1
+        if len(live) <= 64:  # a few long ones: compared as they are
+            for i in live.tolist():
+                equal[i] = np.array_equal(data[start[a[i]] : end[a[i]]], data[start[b[i]] : end[b[i]]])
+            break
+    return equal
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each distinct string, the number of each span's string). Hashes only sort: strings of one hash are told apart by their bytes."""
+    _, head, number = np.unique(hashes, return_index=True, return_inverse=True)
+    others: dict[tuple[int, bytes], int] = {}
+    for i in np.flatnonzero(~span_equal(data, start, end, np.arange(len(hashes)), head[number])).tolist():
+        own = (int(number[i]), data[start[i] : end[i]].tobytes())
+        if own not in others:
+            others[own] = len(head)
+            head = np.append(head, i)
+        number[i] = others[own]
+    return head, number
+
+
+def span_strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans as an Arrow array of strings, copied in one piece."""
+    size = end - start
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    flat = data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
