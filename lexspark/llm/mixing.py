@@ -204,7 +204,8 @@ def repeat_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), shar
     mix = mix.groupBy(F.col("doc_id").alias("mix_id"), F.col("tag").alias("mix_tag")).agg(F.sum("copies").alias("total"), F.count("*").alias("n")).where("total > 0")
     tag = F.when(F.col("row.doc_id").isNull(), F.xxhash64("row.text", "row.source")).otherwise(0)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("tag", tag)
-    rows = rows.join(mix, F.col("row.doc_id").eqNullSafe(F.col("mix_id")) & (F.col("tag") == F.col("mix_tag"))).select("row", "tag", "total", "n")
+    # the mix has a row for each document, so it is never broadcast, however few there are
+    rows = rows.join(mix.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("mix_id")) & (F.col("tag") == F.col("mix_tag"))).select("row", "tag", "total", "n")
     place = F.row_number().over(Window.partitionBy("row.doc_id", "tag").orderBy("row.source"))
     once = rows.where("n = 1").withColumn("times", F.col("total"))
     again = rows.where("n > 1").withColumn("times", F.floor(F.col("total") / F.col("n")) + (place <= F.col("total") % F.col("n")).cast("long"))
