@@ -12,6 +12,7 @@ from ..operators import pages
 from ..schema import PAGES
 from ..sources import files
 from ..sources.store import ChunkStore
+from ..sources.tables import stage
 
 ERRORS = "doc_id string, path string, error string"
 
@@ -23,24 +24,22 @@ def file_stream(spark: SparkSession, folder: str, glob: str = "*.[pP][dD][fF]",
     return found.select("path", "content", "length", file_stem(F.col("path")).alias("doc_id"))
 
 
-def documents_of(found: DataFrame, extractor: Callable[[bytes], list[dict]], schema: str = PAGES) -> tuple[DataFrame, DataFrame]:
+def documents_of(found: DataFrame, extractor: Callable[[bytes], list[dict]], schema: str = PAGES, to_pages: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with doc_id and text, rows ERRORS) of files (doc_id, path, content).
 
-    The extractor gives rows of lines; those of a page and document are joined in order. A file that it can't read, or
-    that has no text, has a row with the reason and no document; the others of its batch are not held up.
+    The extractor gives rows of ``schema``; ``to_pages`` makes pages (doc_id, page_num, text) of them where they are not pages already. A file that it can't
+    read, or that has no text, has a row with the reason and no document; the others of its batch are not held up.
     """
-    read = files.extract(found, extractor, schema)
+    read = stage(files.extract(found, extractor, schema), "extracted")
     broken = read.where("error IS NOT NULL").select("doc_id", "error")
-    lines = read.where("error IS NULL")
-    per_page = lines.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("line_no", F.array_join(F.transform("spans", lambda s: s["text"]), "").alias("text")))).alias("l"))
-    docs = pages.document_text(per_page.select("doc_id", "page_num", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text")))
-    docs = docs.where(F.trim("text") != "")
+    rows = read.where("error IS NULL").drop("error")
+    docs = pages.document_text(to_pages(rows) if to_pages else rows).where(F.trim("text") != "")
     paths = found.select("doc_id", "path")
     empty = paths.join(docs, "doc_id", "left_anti").join(broken, "doc_id", "left_anti").withColumn("error", F.lit("no text"))
     return docs, broken.join(paths, "doc_id").select("doc_id", "path", "error").unionByName(empty.select("doc_id", "path", "error"))
 
 
-def ingest_files(spark: SparkSession, folder: str, extractor: Callable[[bytes], list[dict]], plan: Callable[[DataFrame], DataFrame], store: ChunkStore, errors: str, checkpoint: str, name: str | None = None, at_once: int = 100, schema: str = PAGES):
+def ingest_files(spark: SparkSession, folder: str, extractor: Callable[[bytes], list[dict]], plan: Callable[[DataFrame], DataFrame], store: ChunkStore, errors: str, checkpoint: str, name: str | None = None, at_once: int = 100, **extraction):
     """Stream the files of ``folder`` through ``plan`` (documents to chunks) into ``store``; rows ERRORS are written under ``errors``, a folder for each batch.
 
     A batch that is tried again gives the same chunks, whose ids are deterministic, and overwrites its own folder of errors. Files that
@@ -48,13 +47,9 @@ def ingest_files(spark: SparkSession, folder: str, extractor: Callable[[bytes],
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            docs, bad = documents_of(batch, extractor, schema)
-            store.upsert(plan(docs))
-            bad.write.mode("overwrite").json(f"{errors}/batch={number}")
-        finally:
-            batch.unpersist()
+        docs, bad = documents_of(batch, extractor, **extraction)
+        store.upsert(plan(docs))
+        bad.write.mode("overwrite").json(f"{errors}/batch={number}")
 
     writer = file_stream(spark, folder, at_once=at_once).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return (writer.queryName(name) if name else writer).start()

@@ -2,11 +2,13 @@
 
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from lexspark.operators.asof import carried
-from lexspark.streaming import cache
+from lexspark.sources import store
+from lexspark.streaming import cache, intake, jobs, progress
 
 CALLS = "key string, ts timestamp, seq long, op string, value string, ttl_s double"
 T0 = dt.datetime(2024, 1, 1)
@@ -75,3 +77,74 @@ def test_carried_across_segments(spark):
             want.append((k, i, last[-1] if last else None))
         got = carried(df, "k", ("i",), F.col("v"), F.floor(F.col("i") / 7), "c", strictly).select("k", "i", "c").collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def reader():
+    def page_rows(content: bytes) -> list[dict]:
+        if content.startswith(b"bad"):
+            raise ValueError("not a document")
+        return [{"page_num": i, "text": t} for i, t in enumerate(content.decode().split("\f"))]
+
+    return page_rows  # not a name of this module, which workers can't import
+
+
+def arrive(folder, names):
+    folder.mkdir(exist_ok=True)
+    for n in names:
+        (folder / f"{n}.pdf").write_bytes({"bad1": b"bad", "blank": b"  "}.get(n, f"page one of {n}\fpage two".encode()))
+
+
+def plan(docs):
+    return docs.select(F.concat("doc_id", F.lit("#0")).alias("chunk_id"), "doc_id", "text")
+
+
+def test_files_in_two_batches_equal_one_batch(spark, tmp_path):
+    """Files that arrive later are added, known ones are not read again, a bad one leaves its row of error, and the log tells the states of both runs."""
+    log = progress.JobLog(spark, str(tmp_path / "log"))
+    spark.streams.addListener(log)
+    try:
+        s, folder = store.ChunkStore(spark, str(tmp_path / "store")), tmp_path / "in"
+        go = lambda job: intake.ingest_files(spark, str(folder), reader(), plan, s, str(tmp_path / "errors"), str(tmp_path / "ck"), job, at_once=2).awaitTermination()
+        arrive(folder, ["a", "b", "bad1"])
+        go("first")
+        arrive(folder, ["c", "blank"])
+        go("second")
+        two = {(r["doc_id"], r["text"]) for r in s.read().collect()}
+        whole, bad = intake.documents_of(spark.read.format("binaryFile").load(str(folder)).select("path", "content", F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("doc_id")), reader())
+        assert two == {(r["doc_id"], r["text"]) for r in plan(whole).collect()} == {(d, f"page one of {d}\npage two") for d in "abc"}
+        errors = spark.read.json(str(tmp_path / "errors"))
+        assert {(r["doc_id"], r["error"]) for r in errors.collect()} == {("bad1", "not a document"), ("blank", "no text")} == {(r["doc_id"], r["error"]) for r in bad.collect()}
+
+        broken = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 5).load().select((F.lit(1) / (F.col("value") - F.col("value"))).alias("x"))
+        failed = broken.writeStream.format("noop").queryName("broken").option("checkpointLocation", str(tmp_path / "ck2")).trigger(processingTime="1 second").start()
+        try:
+            failed.awaitTermination(60)
+        except Exception as e:
+            assert "DIVIDE_BY_ZERO" in str(e)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(50):
+            states = {r["job_id"]: r["status"] for r in jobs.job_states(log.read()).collect()}
+            if states.get("broken") == "failed":
+                break
+            time.sleep(0.2)
+        assert states == {"first": "done", "second": "done", "broken": "failed"}
+        steps = [r["status"] for r in log.read().where("job_id = 'first'").orderBy("seq").collect()]
+        assert steps[0] == "queued" and steps[-1] == "done" and set(steps[1:-1]) == {"running"}
+        assert log.read().where("job_id = 'broken' AND level = 'error' AND message LIKE '%DIVIDE_BY_ZERO%'").count() == 1
+    finally:
+        spark.streams.removeListener(log)
+
+
+def test_replayed_batches_add_nothing(spark, tmp_path):
+    """The same chunks again, in the same batch and in later ones, pass once; keys behind the watermark leave the state."""
+    schema = "chunk_id string, stored_at timestamp, text string"
+    for i in range(4):
+        rows = [(f"c{j}", T0 + dt.timedelta(hours=3 * i, minutes=j), "t") for j in range(10 * i, 10 * i + 10)]
+        spark.createDataFrame(rows + rows[:3], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{2 * i}"))
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{2 * i + 1}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    stream = intake.new_chunks(source, "1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    got = [r["chunk_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(f"c{j}" for j in range(40))
+    assert stream.lastProgress["stateOperators"][0]["numRowsTotal"] <= 20
