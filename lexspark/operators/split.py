@@ -29,11 +29,19 @@ def pack_pieces(pieces: list[str], glue: str, size: int, overlap: int) -> list[s
     return [x for x in out if x]
 
 
-def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = PLAIN_SEPARATORS) -> list[str]:
-    """Split at the first separator that occurs; pieces of ``size`` or more go on with the later separators, smaller ones are packed."""
+def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = PLAIN_SEPARATORS, keep: bool = False) -> list[str]:
+    """Split at the first separator that occurs; pieces of ``size`` or more go on with the later separators, smaller ones are packed.
+
+    ``keep``: each piece begins with the separator before it, and nothing stands between packed pieces; else separators are dropped and put between them.
+    """
     at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
     glue, later = separators[at], separators[at + 1 :]
-    pieces = [p for p in (text.split(glue) if glue else list(text)) if p]
+    pieces = text.split(glue) if glue else list(text)
+    if keep and glue:
+        pieces = [pieces[0], *[glue + p for p in pieces[1:]]]
+    pieces = [p for p in pieces if p]
+    if keep:
+        glue = ""
     out: list[str] = []
     small: list[str] = []
     for p in [*pieces, None]:
@@ -44,14 +52,14 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
             out += pack_pieces(small, glue, size, overlap)
             small = []
         if p is not None:
-            out += split_text(p, size, overlap, later) if later else [p]
+            out += split_text(p, size, overlap, later, keep) if later else [p]
     return out
 
 
-def splitter(separators: tuple[str, ...], overlap: int):
+def splitter(separators: tuple[str, ...], overlap: int, keep: bool = False):
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else split_text(t, int(n), overlap, separators) for t, n in zip(texts, sizes, strict=True)])
+        return pd.Series([None if t is None else split_text(t, int(n), overlap, separators, keep) for t, n in zip(texts, sizes, strict=True)])
 
     return split
 
@@ -109,7 +117,12 @@ def generic_size(text: Column) -> Column:
 
 
 def generic_chunks(docs: DataFrame, overlap: int = 100, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(by, chunk_index, text): plain windows of each document; never none for a document with text."""
-    pieces = splitter(PLAIN_SEPARATORS, overlap)(F.coalesce("text", F.lit("")), generic_size(F.coalesce("text", F.lit(""))))
-    whole = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.substring(F.coalesce("text", F.lit("")), 1, 600)))
-    return docs.select(*by, F.posexplode(whole).alias("_i", "text")).withColumn("chunk_index", F.col("_i") + 1).drop("_i")
+    """(by, chunk_index, text): plain windows of each document (doc_title, text), each after a line with its title; never none.
+
+    Windows keep the separators that they begin with, inside. A document without anything but white space has one window of its first characters.
+    """
+    text = F.coalesce("text", F.lit(""))
+    pieces = splitter(PLAIN_SEPARATORS, overlap, keep=True)(text, generic_size(text))
+    whole = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.substr(text, F.lit(1), generic_size(text))))
+    title = F.concat(F.lit("["), F.coalesce("doc_title", F.lit("")), F.lit("]\n"))
+    return docs.select(*by, title.alias("_title"), F.posexplode(whole).alias("_i", "_text")).select(*by, (F.col("_i") + 1).alias("chunk_index"), F.concat("_title", "_text").alias("text"))

@@ -41,13 +41,14 @@ def detected(docs: DataFrame) -> DataFrame:
 
 
 def best_pattern(docs: DataFrame) -> DataFrame:
-    """Chunks by the pattern of all fixed ones that scores best by (overall, capture, order of patterns): the first fallback tier."""
+    """Chunks by the pattern of all fixed ones that scores best by (overall, number of chunks with a section number, order of patterns): the first fallback tier."""
     patterns = (*detect.SECTION_PATTERNS, detect.RULE_PATTERN)
     tried = docs.select("*", F.posexplode(F.array(*[F.lit(p) for p in patterns])).alias("pattern_no", "_pattern"))
     scored = stage(parse.parse(tried, F.col("_pattern"), ("doc_id", "pattern_no")), "tried")
     found = quality.metrics(scored, ("doc_id", "pattern_no"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("overall"), F.desc("capture"), "pattern_no")
-    best = found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id", "pattern_no", F.col("overall").alias("tier_score"))
+    named = scored.groupBy("doc_id", "pattern_no").agg(F.count(F.when(~F.coalesce("section_number", F.lit("")).isin("N/A", ""), 1)).alias("named"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("overall"), F.desc("named"), "pattern_no")
+    best = found.join(named, ["doc_id", "pattern_no"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id", "pattern_no", F.col("overall").alias("tier_score"))
     return scored.join(best, ["doc_id", "pattern_no"])
 
 
@@ -81,8 +82,9 @@ def route(overall: Column, n_chunks: Column, has_model: bool) -> Column:
 def cascade(docs: DataFrame, model_chunks: DataFrame | None = None) -> DataFrame:
     """Fallback chunks of documents (doc_id, doc_title, doc_type, text): best pattern from 0.70 on, else a model's chunks, else plain windows; never none.
 
-    ``model_chunks`` (doc_id, chunk_index, section_number, section_title, text) come from a pluggable model; those of under three chunks, or
-    with fewer distinct sections than half their number, are not used. Plain windows of what lies behind the model's sample are added.
+    ``model_chunks`` (doc_id, chunk_index, section_number, section_title, text) come from a pluggable model (see ``extract``); those of under three chunks, or
+    with fewer distinct sections than half their number, are not used. The plain windows behind the share that the model's sample has of all windows' characters
+    are added, at least one being left out.
     """
     one = best_pattern(docs).where(F.col("tier_score") >= quality.PASS).withColumn("fallback_tier", F.lit(1))
     names = ["doc_id", "chunk_index", "section_number", "section_title", "chapter", "text", "fallback_tier"]
@@ -96,10 +98,9 @@ def cascade(docs: DataFrame, model_chunks: DataFrame | None = None) -> DataFrame
     good = model_chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("section_number").alias("kinds")).where((F.col("n") >= 3) & (F.col("kinds") * 2 >= F.col("n")))
     three = model_chunks.join(rest.select("doc_id"), "doc_id", "left_semi").join(good.select("doc_id"), "doc_id", "left_semi")
     three = three.select("doc_id", "chunk_index", "section_number", "section_title", blank("chapter"), "text", F.lit(3).alias("fallback_tier"))
-    total = rest.select("doc_id", F.length("text").alias("chars"))
-    n = F.count("*").over(Window.partitionBy("doc_id"))
+    total = two.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n2"))
     skip = F.greatest(F.lit(1), F.floor(F.col("n2") * F.least(F.lit(12000.0) / F.col("chars"), F.lit(0.85))))
-    behind = two.withColumn("n2", n).join(total, "doc_id").join(three.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("chunk_index") > skip).select(*names)
+    behind = two.join(total, "doc_id").join(three.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("chunk_index") > skip).select(*names)
     alone = two.join(three.select("doc_id").distinct(), "doc_id", "left_anti")
     return out.unionByName(three).unionByName(behind).unionByName(alone)
 

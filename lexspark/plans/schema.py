@@ -59,7 +59,7 @@ def valid_regex(pattern: str) -> bool:
 
 
 def read_schema(reply: str, partial: bool = False) -> dict | None:
-    """The JSON object in a reply, if it has the required fields (not asked of a patch) and its patterns compile."""
+    """The JSON object in a reply, if it has the required fields and its patterns compile; of a patch (``partial``) fields with patterns that don't are dropped, and an empty one is none."""
     fenced = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", reply, re.S) or re.search(r"(\{.*\})", reply, re.S)
     try:
         found = json.loads(fenced.group(1)) if fenced else None
@@ -67,7 +67,10 @@ def read_schema(reply: str, partial: bool = False) -> dict | None:
         return None
     if not isinstance(found, dict) or (not partial and any(not found.get(k) for k in REQUIRED)):
         return None
-    return found if all(valid_regex(found[k]) for k in PATTERNS if found.get(k)) else None
+    bad = [k for k in PATTERNS if found.get(k) and not valid_regex(found[k])]
+    if partial:
+        return {k: v for k, v in found.items() if k not in bad} or None
+    return None if bad else found
 
 
 def apply_patch(schema: dict, patch: dict) -> dict:

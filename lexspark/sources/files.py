@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_stem, law_code, law_year, title_from_path
 from ..schema import PAGES
+from . import nested
 
 
 def pdf_files(spark: SparkSession, folder: str, name_has: str = "") -> DataFrame:
@@ -56,21 +56,8 @@ def url_file_name(url: Column) -> Column:
 
 
 def flat_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Test cases (query, expected_sections) of JSON files whose lists may be nested to any depth; one file is one task's work."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def cases(x) -> Iterator[dict]:
-            if isinstance(x, list):
-                for y in x:
-                    yield from cases(y)
-            elif isinstance(x, dict):
-                yield x
-
-        for batch in batches:
-            for content in batch["content"]:
-                yield pd.DataFrame([(c.get("query"), c.get("expected_sections")) for c in cases(json.loads(content))], columns=["query", "expected_sections"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "query string, expected_sections array<string>")
+    """Test cases (query, expected_sections) of JSON files whose lists may be nested to any depth."""
+    return nested.test_cases(spark, path).select("query", "expected_sections")
 
 
 def write_report(rows: DataFrame, path: str) -> None:

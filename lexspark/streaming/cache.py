@@ -23,7 +23,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 def answers(calls: DataFrame, segment: str = "1 day") -> DataFrame:
     """ANSWERS to all gets of a table of ``calls``. A hot key is worked off by ``segment`` of time, not in one task."""
-    rows = calls.dropDuplicates(["key", "ts", "seq"])
+    rows = calls.withColumn("ts", F.col("ts").cast("timestamp")).dropDuplicates(["key", "ts", "seq"])
     is_set = F.col("op") == "set"
     held = F.when(is_set, F.struct(F.col("ts").alias("set_at"), "value", "ttl_s"))
     out = carried(rows, "key", ("ts", "seq"), held, F.window("ts", segment)["start"], "held").where("op = 'get'")

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from lexspark import queries as core
+from lexspark import queries_plans  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables are not here")
