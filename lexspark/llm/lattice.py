@@ -8,8 +8,8 @@ The vocabulary's scores weigh the segmentations first: they are ranks (0, -1, -2
 pieces' probabilities are then fitted to the words of the training texts by expectation and maximisation: the expected uses of
 each piece follow from forward and backward recursions over each distinct word, times its count. Pieces are never added or changed.
 
-Texts become rows (row, words, counts) once; words and counts of the whole corpus come from an aggregate. The ``hot_words`` most frequent words (a bounded
-table) are joined by broadcast, so none of their many rows is shuffled; all other words are joined by shuffle.
+Texts become rows (row, words, counts) once; words and counts of the whole corpus come from an aggregate. The values of the ``hot_words`` most frequent words
+(a bounded table) are sent to all tasks and summed there, so none of their many uses becomes a row; all other words are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -19,82 +19,105 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, by_bytes, distinct_spans, small_batches, span_hashes, span_strings, word_hashes
+from .shared import _TABLE, Scratch, _powers, by_bytes, distinct_spans, small_batches, span_strings, word_hashes
 
 LN10 = float(np.log(10.0))
 
 
 class Lattice:
-    """Pieces by their bytes, and the recursions over words."""
+    """Pieces by their bytes, and the arcs they make in words.
+
+    Bytes are looked up by polynomials of their windows, length after length, only from where some piece begins alike; so long windows are few.
+    """
+
+    BITS = 20
 
     def __init__(self, pieces: list[bytes]):
         self.pieces = pieces
-        self.by_size: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         size = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join(pieces), np.uint8)
         start = np.cumsum(size) - size
-        hashes = span_hashes(data, start, start + size)
-        for n in np.unique(size).tolist():
-            own = np.flatnonzero(size == n)
+        total, inverse = self.sums(data)
+        self.by_size: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in range(1, int(size.max()) + 1):
+            longer, own = np.flatnonzero(size >= n), np.flatnonzero(size == n)
+            hashes = (total[start + n * (size >= n)] - total[start]) * inverse[start]
+            begins, ends = np.zeros(1 << self.BITS, bool), np.zeros(1 << self.BITS, bool)
+            begins[hashes[longer] >> np.uint64(64 - self.BITS)] = True
+            ends[hashes[own] >> np.uint64(64 - self.BITS)] = True
             own = own[np.argsort(hashes[own])]
-            maybe = np.zeros(1 << 16, bool)
-            maybe[hashes[own] & np.uint64(0xFFFF)] = True
-            self.by_size.append((n, hashes[own], own, maybe))
+            self.by_size.append((begins, ends, hashes[own], own))
+
+    @staticmethod
+    def sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fwd, inverse = _powers(len(data) + 1)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * fwd[:-1])]), inverse
 
     def arcs(self, words: list[bytes]) -> "Arcs":
         size = np.array([len(w) + 1 for w in words], np.int64)
         data = np.frombuffer(b"".join(b" " + w for w in words), np.uint8)
-        word = np.repeat(np.arange(len(words)), size)
-        found = []
-        for n, keys, own, maybe in self.by_size:
-            if n > len(data):
+        total, inverse = self.sums(data)
+        at, found = np.arange(len(data)), []
+        for n, (begins, ends, keys, own) in enumerate(self.by_size, 1):
+            if n > 1:  # no piece has a space but at its start, so no window reaches into the next word
+                at = at[: np.searchsorted(at, len(data) - n, "right")]
+            h = (total[at + n] - total[at]) * inverse[at]
+            top = h >> np.uint64(64 - self.BITS)
+            maybe = np.flatnonzero(ends[top])
+            k = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+            hit = keys[k] == h[maybe] if len(keys) else np.zeros(len(maybe), bool)
+            found.append((n, at[maybe[hit]], own[k[hit]]))
+            at = at[begins[top]]
+            if not len(at):
                 break
-            at = np.arange(len(data) - n + 1)
-            h = span_hashes(data, at, at + n)
-            at = np.flatnonzero(maybe[h & np.uint64(0xFFFF)])
-            k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            hit = keys[k] == h[at]
-            found.append((at[hit], own[k[hit]], np.full(int(hit.sum()), n)))
-        at, piece, n = (np.concatenate(c) for c in zip(*found, strict=True))
-        return Arcs(size, word[at], at + word[at], at + n + word[at], piece)
+        return Arcs(size, found)
 
 
 class Arcs:
-    """Arcs of many words' lattices; the nodes of all words are numbered one after another, one more than a word has bytes."""
+    """Arcs of many words' lattices; the nodes of all words are numbered one after another, one more than a word has bytes.
 
-    def __init__(self, size: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray):
+    ``found``: for each length, where arcs begin in the words' bytes (each with its space) and their pieces. Arcs of one length that begin equally far from their
+    words' starts share no node, so each such group is one step of the recursions.
+    """
+
+    def __init__(self, size: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray]]):
+        word = np.repeat(np.arange(len(size)), size)
         self.base = np.cumsum(size + 1) - (size + 1)
         self.last, self.nodes = self.base + size, int((size + 1).sum())
-        self.word, self.start, self.end, self.piece = word, start, end, piece
-
-    def steps(self, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Arcs by how far ``node`` lies from its word's start, and in each step by node: (arcs, where each node's begin, nodes)."""
-        far = node - self.base[self.word]
-        order = np.lexsort((node, far))
-        edge = np.searchsorted(far[order], np.arange(int(far.max(initial=0)) + 2))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if b > a:
-                own = node[order[a:b]]
-                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                yield order[a:b], first, own[first]
+        narrow = np.uint16 if not len(size) or size.max() < 1 << 16 else np.int64  # numpy sorts 16 bits in linear time
+        parts, groups, first = [], [], 0
+        for n, at, piece in found:
+            own = word[at]
+            far = (at - (self.base - np.arange(len(size)))[own]).astype(narrow)
+            order = np.argsort(far, kind="stable")
+            far, start = far[order], (at + own)[order]
+            edge = np.append(np.flatnonzero(np.append(True, far[1:] != far[:-1])), len(far)) if len(far) else np.zeros(1, np.int64)
+            groups += [(int(far[a]), first + a, first + b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            parts.append((own[order], start, start + n, piece[order]))
+            first += len(far)
+        self.word, self.start, self.end, self.piece = (np.concatenate(c) for c in zip(*parts, strict=True))
+        self.groups = [(a, b) for _, a, b in sorted(groups)]
 
     def forward(self, log_p: np.ndarray) -> np.ndarray:
         """Log of the probability of all ways from a word's start to each node."""
-        out = np.full(self.nodes, -np.inf)
+        out, weight = np.full(self.nodes, -np.inf), log_p[self.piece]
         out[self.base] = 0.0
-        for arcs, first, nodes in self.steps(self.end):
-            out[nodes] = np.logaddexp.reduceat(out[self.start[arcs]] + log_p[self.piece[arcs]], first)
+        for a, b in self.groups:
+            end = self.end[a:b]
+            out[end] = np.logaddexp(out[end], out[self.start[a:b]] + weight[a:b])
         return out
 
     def backward(self, log_p: np.ndarray) -> np.ndarray:
         """Log of the probability of all ways from each node to its word's end."""
-        out = np.full(self.nodes, -np.inf)
+        out, weight = np.full(self.nodes, -np.inf), log_p[self.piece]
         out[self.last] = 0.0
-        for arcs, first, nodes in reversed(list(self.steps(self.start))):
-            out[nodes] = np.logaddexp.reduceat(out[self.end[arcs]] + log_p[self.piece[arcs]], first)
+        for a, b in reversed(self.groups):
+            start = self.start[a:b]
+            out[start] = np.logaddexp(out[start], out[self.end[a:b]] + weight[a:b])
         return out
 
     def marginals(self, log_p: np.ndarray) -> np.ndarray:
@@ -228,6 +251,29 @@ def word_scores(words: DataFrame, model: Model, path: Callable[[], str], n: int,
     return out.withColumn("base", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))))
 
 
+SUMS = ("known", "base", "score", "plain")
+
+
+def sum_often(texts: DataFrame, hot: pa.Table) -> DataFrame:
+    """``texts`` (see ``doc_words``) with SUMS over the words in ``hot`` (word, SUMS), and words and counts of the others only."""
+    sent = texts.sparkSession.sparkContext.broadcast((hot.column("word").combine_chunks(), np.array([np.asarray(hot.column(c)) for c in SUMS], float).reshape(len(SUMS), -1)))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, values = sent.value
+        for batch in batches:
+            words, counts = batch.column(4).flatten(), np.asarray(batch.column(5).flatten())
+            size = np.asarray(pc.list_value_length(batch.column(4))).astype(np.int64)
+            at = pc.index_in(words, value_set=names)
+            there = np.asarray(pc.is_valid(at))
+            row, k = np.repeat(np.arange(batch.num_rows), size), np.asarray(pc.fill_null(at, 0))
+            sums = [np.bincount(row[there], counts[there] * v[k[there]], batch.num_rows).astype(float) for v in values]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[~there], minlength=batch.num_rows))]).astype(np.int32)
+            rest = [pa.ListArray.from_arrays(offsets, words.filter(pa.array(~there))), pa.ListArray.from_arrays(offsets, pa.array(counts[~there]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, sums), *rest], names=[*batch.schema.names[:4], *SUMS, "words", "counts"])
+
+    return texts.mapInArrow(apply, "row long, doc_id long, held_out boolean, n_words long, known double, base double, score double, plain double, words array<string>, counts array<long>")
+
+
 def held_out(doc_id):
     """Whether crc32 of the id as text leaves 2 modulo 7; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
@@ -255,23 +301,23 @@ def score_texts(docs: DataFrame, path: str | Callable[[], str], rounds: int = 5,
     model = fit(words, ends, where, rounds, strength)
     scored = scratch.store(word_scores(words, model, where, n, v), "word-scores")
     hot = scratch.store(scored.orderBy(F.desc("uses"), "word").limit(hot_words), "hot-words")
-    sums_of = ("known", "base", "score", "plain")
-    values = lambda df: df.select("word", (F.col("c") > 0).cast("long").alias("known"), *sums_of[1:])
-    sums = lambda df: df.groupBy("row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in sums_of])
-    often = sums(each.select("row", "word", "n").join(F.broadcast(values(hot)), "word"))
-    rare = each.select("row", "word", "n").join(F.broadcast(hot.select("word")), "word", "left_anti")
-    rare = sums(rare.hint("merge").join(values(scored).join(F.broadcast(hot.select("word")), "word", "left_anti"), "word"))
-    per = often.unionByName(rare).groupBy("row").agg(*[F.sum(c).alias(c) for c in sums_of])
-    out = texts.select("row", "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens")).join(per, "row", "left")
+    values = scored.select("word", (F.col("c") > 0).cast("double").alias("known"), *SUMS[1:])
+    hot = scratch.store(scored.orderBy(F.desc("uses"), "word").limit(hot_words).select("word"), "hot-words")
+    often = scratch.store(sum_often(texts, values.join(F.broadcast(hot), "word", "left_semi").toArrow()), "often")
+    rare = often.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    rare = rare.hint("merge").join(values.join(F.broadcast(hot), "word", "left_anti"), "word")
+    rare = rare.groupBy("row").agg(*[F.sum(F.col("n") * F.col(c)).alias(f"rare_{c}") for c in SUMS])
+    total = lambda c: F.coalesce(F.col(c), F.lit(0.0)) + F.coalesce(F.col(f"rare_{c}"), F.lit(0.0))
+    out = often.join(rare, "row", "left").select("doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), *[total(c).alias(c) for c in SUMS])
     of_end = float(np.log10((ends + 1) / (n + v + 1)))
     out = out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.coalesce("known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
+        (F.col("known") + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.coalesce("base", F.lit(0.0)) + F.lit(of_end)).alias("base_score"),
-        (F.coalesce("score", F.lit(0.0)) + F.lit(model.log_end / LN10)).alias("score"),
-        (F.coalesce("plain", F.lit(0.0)) + F.lit(of_end)).alias("vocabulary_score"),
+        (F.col("base") + F.lit(of_end)).alias("base_score"),
+        (F.col("score") + F.lit(model.log_end / LN10)).alias("score"),
+        (F.col("plain") + F.lit(of_end)).alias("vocabulary_score"),
     )
     return scratch.finish(out, "likelihoods")
