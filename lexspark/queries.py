@@ -95,7 +95,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieve.build_index(table(spark, sf_dir, "documents"), "doc_id")
+    index = retrieve.stored_index(table(spark, sf_dir, "documents"), "doc_id")
     return retrieve.bm25_top(index, _questions(spark, sf_dir), 20)
 
 
@@ -120,7 +120,7 @@ def lexical_accuracy(spark, sf_dir):
 
 
 _DENSE = """
-q AS (SELECT vec_id AS qid, embedding AS v, label FROM embeddings WHERE vec_id % 25 = 0),
+q AS (SELECT vec_id AS qid, embedding AS v, label FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT qid, vec_id AS chunk_id, list_sum(list_transform(list_zip(embedding, v), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS score, q.label AS ql, e.label AS el
       FROM embeddings e, q WHERE vec_id <> qid),
 dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, chunk_id) AS rank FROM d QUALIFY rank <= 20)"""
@@ -128,7 +128,7 @@ dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, chunk_id
 
 def _dense(spark: SparkSession, sf_dir: str, metric: str = "l2") -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    q = e.where(F.col("chunk_id") % 25 == 0).select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+    q = e.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
     return retrieve.dense_top(e, q, 20, metric, exclude_self=True)
 
 
@@ -167,7 +167,9 @@ def compare_metrics(spark, sf_dir):
 
 
 @query("v5_fusion", f"""WITH {_BM25},
-other AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY chunk_id DESC) AS rank, chunk_id FROM lexical),
+near AS (SELECT q.vec_id AS qid, e.vec_id AS chunk_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS score
+         FROM embeddings q JOIN benchmark b ON q.vec_id = b.item_id, embeddings e),
+other AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score, chunk_id) AS rank FROM near),
 w AS (SELECT item_id AS qid, CASE WHEN regexp_matches(text, '(?i)(section\\s+\\d+[A-Z]?|order\\s+[IVXLCDM]+)') THEN 0.3 ELSE 0.5 END AS wd FROM benchmark),
 f AS (SELECT coalesce(o.qid, l.qid) AS qid, coalesce(o.chunk_id, l.chunk_id) AS chunk_id, o.rank AS dense_rank, l.rank AS bm25_rank
       FROM (SELECT * FROM other WHERE rank <= 12) o FULL JOIN (SELECT * FROM lexical WHERE rank <= 12) l ON o.qid = l.qid AND o.chunk_id = l.chunk_id),
@@ -175,10 +177,10 @@ s AS (SELECT f.*, coalesce(wd / (60 + dense_rank), 0) + coalesce((1 - wd) / (60
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST)::INT AS rank, chunk_id, round(score, 9) AS score,
        dense_rank::INT AS dense_rank, bm25_rank::INT AS bm25_rank FROM s QUALIFY rank <= 20""")
 def fusion(spark, sf_dir):
-    """Two lists of 12 (BM25, and the same list by id descending) fused by weighted reciprocal ranks."""
-    lexical = _lexical(spark, sf_dir)
-    other = lexical.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("chunk_id"))))
-    out = retrieve.fuse(other.where("rank <= 12"), lexical.where("rank <= 12"), _questions(spark, sf_dir), 20)
+    """The 12 best by BM25, and the 12 vectors nearest to that of the passage's number, fused by weighted reciprocal ranks."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = e.join(_questions(spark, sf_dir), F.col("chunk_id") == F.col("qid")).select("qid", F.col("embedding").alias("vector"))
+    out = retrieve.fuse(retrieve.dense_top(e, asked, 12), _lexical(spark, sf_dir).where("rank <= 12"), _questions(spark, sf_dir), 20)
     return out.withColumn("score", F.round("score", 9))
 
 
