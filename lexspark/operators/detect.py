@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import document_title
+from ..functions.text import document_title, strip
 
 # ---- fixed values: markers by document type, as patterns or (pattern, weight) --------------------------------------
 
@@ -225,11 +225,14 @@ def strategy(confidence: Column) -> Column:
     return F.when(confidence >= 0.60, "REGEX").when(confidence >= 0.30, "HYBRID").otherwise("SCHEMA")
 
 
+ACT_BOUNDARY = r"(?id)(?=\nTHE\s+[A-Z][A-Z\s,'\-]+ACT,?\s+\d{4}\s*\n)"  # fixed value
+
+
 def segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, segment_index, title, text): a segment from each act title on where there are several; what stands before the first is dropped then."""
-    parts = F.split("text", r"(?i)(?=\nTHE\s+[A-Z][A-Z\s,'\-]+ACT,?\s+\d{4}\s*\n)")
-    whole = docs.withColumn("_parts", F.when(F.size(parts) > 2, F.slice(parts, 2, 1 << 30)).otherwise(F.array("text")))
-    rows = whole.select("doc_id", F.posexplode("_parts").alias("segment_index", "text"))
+    """(doc_id, segment_index, title, text): a segment from each act title on where there are several, without outer white space; what stands before the first is dropped then."""
+    parts, n = F.split("text", ACT_BOUNDARY), F.regexp_count("text", F.lit(ACT_BOUNDARY))
+    several = F.transform(F.slice(parts, F.size(parts) - n + 1, n), strip)
+    rows = docs.select("doc_id", F.posexplode(F.when(n > 1, several).otherwise(F.array("text"))).alias("segment_index", "text"))
     return rows.select("doc_id", "segment_index", document_title(F.col("text")).alias("title"), "text")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import apply_rules, strip
-from ..schema import NOT_AVAILABLE, UNKNOWN_CHAPTER
-from .parse import running
+from ..schema import NOT_AVAILABLE, UNKNOWN_CHAPTER, UNKNOWN_PART
+from .parse import definitions, running
 from .split import PLAIN_SEPARATORS, splitter
 
 # ---- fixed values: rules, patterns and page ranges of the acts -----------------------------------------------------
@@ -91,7 +91,7 @@ def chunks(docs: DataFrame, profile: Profile) -> DataFrame:
     body = F.when(F.col("block").rlike(form), strip(F.regexp_extract("block", form, 3 if profile.titled else 2))).when(F.lit(profile is LABOUR) & F.col("block").rlike(schedule), strip(F.regexp_extract("block", schedule, 2))).otherwise(F.col("block"))
     rows = blocks.select("doc_id", "pos", "chapter", F.coalesce(number, F.lit(NOT_AVAILABLE)).alias("section_number"), F.when(number.isNotNull(), title).otherwise(NOT_AVAILABLE).alias("section_title"), body.alias("body"))
     rows = rows.where((F.col("section_number") != NOT_AVAILABLE) | (F.length("body") > profile.least))
-    parts = splitter(PLAIN_SEPARATORS, profile.overlap)(F.col("body"), F.lit(profile.size))
+    parts = splitter(PLAIN_SEPARATORS, profile.overlap, keep=True)(F.col("body"), F.lit(profile.size))
     rows = rows.withColumn("_parts", parts).withColumn("total_chunks", F.size("_parts")).select("*", F.posexplode("_parts").alias("_i", "_text"))
     law = F.lit(f"[{profile.law_code} {profile.year}] [")
     named = F.concat(F.lit("] Section "), F.col("section_number"), F.when(F.col("section_title") != NOT_AVAILABLE, F.concat(F.lit(" ["), "section_title", F.lit("]"))).otherwise(""), F.lit(": "))
@@ -105,3 +105,86 @@ def split_compendium(docs: DataFrame, titles: tuple[str, ...] = CODE_TITLES) ->
     rows = docs.select("doc_id", "text", F.posexplode(places).alias("i", "s")).withColumn("next", F.lead("s.at").over(Window.partitionBy("doc_id").orderBy("i")))
     end = F.coalesce("next", F.length("text") + 1)
     return rows.select("doc_id", F.col("s.title").alias("title"), F.substr("text", F.col("s.at"), end - F.col("s.at")).alias("text"))
+
+
+# ---- the Code of Civil Procedure: sections under parts, defined terms, and a schedule of orders and rules ------------
+
+# fixed values of the act: replacements, rules, words of footnotes, heads
+CPC_REPLACEMENTS = (("ù", " "), ("\uf0b7", " "), ("\u2013", "-"), ("\u2014", "--"))
+CPC_FOOTNOTE = r"(Subs\.|Ins\.|Omitted|w\.e\.f\.|ibid\.|A\.O\.|Rep\.|amended in its application|extended to .{1,40} by Act|extended to the .{1,40} by)"
+CPC_RULES = ((r"\n\s*\d{1,4}\s*\n", "\n"), (r"_+", ""), (r" {2,}", " "), BLANKS, (r"(?id)\n\s*\d{1,2}\.\s+(?=[^\[\n]*?" + CPC_FOOTNOTE + r")[^\n]+", ""))
+CPC_SECTION = r"(?=\n\s*\*?\[?\d{1,3}[A-Z]?\.(?:\s+|[A-Z]))"
+CPC_RULE = r"(?=\n\s*\*?\[?\d+[A-Z]?\.(?:\s+|[A-Z]))"
+CPC_PART = r"(?d)(PART\s+[IVXLCDM]+)\s*\n+(.*)"
+CPC_HEAD = r"(?sd)^\*?\[?(\d+[A-Z]?)\.\s*(.*)"
+CPC_ORDER = r"(?id)^\[?ORDER\s+([IVXLCDM]+[A-Z]?)\s+(.*)"
+CPC_SIZE, CPC_OVERLAP, CPC_LEAST_SECTION, CPC_LEAST_RULE = 800, 100, 50, 20
+
+
+def civil_clean(text: Column) -> Column:
+    """Cleaned text of the act from behind its contents: from a PRELIMINARY that no SECTIONS follows, else from the second "1. Short title", else all of it."""
+    for old, new in CPC_REPLACEMENTS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = strip(apply_rules(text, CPC_RULES))
+    real = F.regexp_instr(text, F.lit(r"\nPRELIMINARY\s*\n(?!SECTIONS)"))
+    first = F.regexp_instr(text, F.lit(r"\n\s*1\.\s+Short title"))
+    behind = F.substr(text, first + 1)
+    second = F.regexp_instr(behind, F.lit(r"\n\s*1\.\s+Short title"))
+    return F.when(real > 0, F.substr(text, real)).when((first > 0) & (second > 0), F.substr(behind, second)).otherwise(text)
+
+
+def civil_split(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``main`` and ``schedule``: the schedule begins at its heading, or main ends at an appendix where there is none."""
+    at, forms = (F.regexp_instr("text", F.lit(p)) for p in (r"(?i)\nTHE FIRST SCHEDULE", r"(?i)\nAPPENDIX\s+[A-D]"))
+    end = F.when(at > 0, at).when(forms > 0, forms)
+    schedule = F.when(at > 0, F.substr("text", at)).otherwise("")
+    cut = F.regexp_instr(schedule, F.lit(r"\nAPPENDIX\s+[A-D]\s*\n"))
+    return docs.select("doc_id", F.when(end.isNotNull(), F.substr("text", F.lit(1), end - 1)).otherwise(F.col("text")).alias("main"), F.when(cut > 0, F.substr(schedule, F.lit(1), cut - 1)).otherwise(schedule).alias("schedule"))
+
+
+def split_body(rows: DataFrame, size: int, overlap: int) -> DataFrame:
+    """``rows`` by windows of their ``body``: chunk_index, total_chunks, chunk."""
+    parts = splitter(PLAIN_SEPARATORS, overlap, keep=True)(F.col("body"), F.lit(size))
+    rows = rows.withColumn("_parts", parts).withColumn("total_chunks", F.size("_parts"))
+    return rows.select("*", F.posexplode("_parts").alias("_i", "chunk")).withColumn("chunk_index", F.col("_i") + 1).drop("_parts", "_i")
+
+
+def civil_sections(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks of sections, defined terms) of ``docs`` (doc_id, main). A part heading labels the block that holds it and those after it."""
+    blocks = docs.select("doc_id", F.posexplode(F.split("main", CPC_SECTION)).alias("pos", "block")).withColumn("block", strip(F.col("block"))).where("block <> ''")
+    name = F.when(F.col("block").rlike(CPC_PART), F.concat(F.regexp_extract("block", CPC_PART, 1), F.lit(" - "), F.trim(F.regexp_extract("block", CPC_PART, 2))))
+    blocks = blocks.withColumn("chapter", running(name, Window.partitionBy("doc_id").orderBy("pos"), UNKNOWN_PART))
+    heading = r"(?d)PART\s+[IVXLCDM]+\s*\n+.*?\n"
+    at = F.regexp_instr("block", F.lit(heading))
+    less = strip(F.concat(F.substr("block", F.lit(1), at - 1), F.substr("block", at + F.length(F.regexp_extract("block", heading, 0)))))
+    blocks = blocks.withColumn("block", F.when(F.col("block").rlike(CPC_PART) & (at > 0), less).otherwise(F.col("block")))
+    rows = blocks.select("doc_id", "pos", "chapter", F.regexp_extract("block", CPC_HEAD, 1).alias("section_number"), strip(F.regexp_extract("block", CPC_HEAD, 2)).alias("body")).where("section_number <> ''")
+    rows = rows.where(F.length("body") >= CPC_LEAST_SECTION).withColumn("section_title", strip(F.regexp_extract("body", r"^([^\n(]+)", 1)))
+    head = F.concat(F.lit("[CPC 1908] ["), "chapter", F.lit("] Section "), "section_number", F.lit(" — "), "section_title", F.lit("\n"))
+    terms = definitions(rows.withColumnRenamed("body", "text"))
+    told = terms.withColumn("text", F.concat(head, F.lit("Clause ("), "clause", F.lit(') "'), "term", F.lit('": '), "text"))
+    plain = split_body(rows.join(terms.select("doc_id", "pos").distinct(), ["doc_id", "pos"], "left_anti"), CPC_SIZE, CPC_OVERLAP)
+    return plain.withColumn("type", F.lit("section")).withColumn("text", F.concat(head, "chunk")).drop("body", "chunk"), told
+
+
+def civil_rules(docs: DataFrame) -> DataFrame:
+    """Chunks of the rules in the orders of ``docs`` (doc_id, schedule). An order whose first line holds nothing but its number is passed over."""
+    orders = docs.select("doc_id", F.posexplode(F.split("schedule", r"(?=\n\[?ORDER\s+[IVXLCDM]+[A-Z]?)")).alias("order_no", "block")).withColumn("block", F.ltrim("block", F.lit("\n")))
+    line = F.substring_index("block", "\n", 1)
+    orders = orders.withColumn("order", F.regexp_extract(line, CPC_ORDER, 1)).where("order <> ''")
+    orders = orders.withColumn("order_title", strip(F.regexp_extract("block", r"(?d)ORDER\s+[IVXLCDM]+[A-Z]?\s*\n+(.*?)(?:\nRULES|\n\d+\.)", 1)))
+    rules = orders.select("doc_id", "order_no", "order", "order_title", F.posexplode(F.split("block", CPC_RULE)).alias("pos", "block")).withColumn("block", strip(F.col("block")))
+    rules = rules.select("doc_id", "order_no", "order", "order_title", "pos", F.regexp_extract("block", CPC_HEAD, 1).alias("rule"), strip(F.regexp_extract("block", CPC_HEAD, 2)).alias("body")).where("rule <> ''")
+    rules = split_body(rules.where(F.length("body") >= CPC_LEAST_RULE).withColumn("rule_title", strip(F.regexp_extract("body", r"^([^\n.]+)", 1))), CPC_SIZE, CPC_OVERLAP)
+    order = F.concat(F.lit("Order "), "order", F.lit(" — "), "order_title")
+    text = F.concat(F.lit("[CPC 1908] "), order, F.lit("\nRule "), "rule", F.lit(" — "), "rule_title", F.lit("\n"), "chunk")
+    number = F.concat(F.lit("O"), "order", F.lit(" R"), "rule")
+    return rules.select("*", F.lit("rule").alias("type"), order.alias("chapter"), number.alias("section_number"), text.alias("text")).drop("body", "chunk")
+
+
+def civil_procedure(docs: DataFrame) -> DataFrame:
+    """Chunks of ``docs`` (doc_id, text) as the Code of Civil Procedure: type section, definition or rule."""
+    parts = civil_split(docs.select("doc_id", civil_clean(F.col("text")).alias("text")))
+    plain, terms = civil_sections(parts)
+    out = plain.unionByName(terms, allowMissingColumns=True).unionByName(civil_rules(parts), allowMissingColumns=True)
+    return out.withColumn("law_code", F.lit("CPC")).withColumn("year", F.lit("1908"))

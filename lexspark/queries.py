@@ -658,12 +658,6 @@ def upsert(spark, sf_dir):
     return store.merge_upsert(docs, new, "doc_id")
 
 
-@query("k4_delete", "SELECT source, count(*) AS n FROM documents WHERE source <> 'src0' OR source IS NULL GROUP BY source")
-def delete(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.where(~F.coalesce(F.col("source") == "src0", F.lit(False))).groupBy("source").agg(F.count("*").alias("n"))
-
-
 @query("k2_bad_rows", "SELECT coalesce(CASE WHEN NOT (n_chars > 40) THEN 'short' END, CASE WHEN NOT contains(text, 'the') THEN 'foreign' END, 'good') AS reason, count(*) AS n FROM documents GROUP BY ALL")
 def bad_rows(spark, sf_dir):
     good, bad = store.split_bad_rows(table(spark, sf_dir, "documents"), {"short": F.col("n_chars") > 40, "foreign": F.contains("text", F.lit("the"))})

@@ -11,7 +11,7 @@ from .operators import retrieve
 from .plans import answer, extract
 from .queries import query, table
 from .sources import nested, store
-from .sources.tables import stage
+from .sources.tables import new_folder, stage
 from .streaming import cache
 
 # ---- nested JSON and replies --------------------------------------------------------------------------------------
@@ -95,3 +95,47 @@ def cache_answers(spark, sf_dir):
     ttl = F.when(kind == 0, F.lit(None)).when(kind == 3, 0.0).otherwise(F.col("value") * 3600)
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"), F.when(is_set, "set").otherwise("get").alias("op"), F.when(is_set, F.col("event_type")).alias("value"), ttl.alias("ttl_s"))
     return cache.answers(rows).drop("ts")
+
+
+# ---- store and delivery -------------------------------------------------------------------------------------------
+
+
+def _store(spark, name: str, buckets: int = 16) -> store.ChunkStore:
+    """A store of its own under the shared folder."""
+    return store.ChunkStore(spark, new_folder(spark, name), "doc_id", buckets)
+
+
+@query("k1_store", """
+WITH n AS (SELECT doc_id + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1000000 END AS doc_id, source || '*' AS source FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, source FROM n""")
+def stored(spark, sf_dir):
+    """All documents put into a store, then a third of them again, half of these under new ids; twice, as a batch that is tried again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    new = docs.where("doc_id % 3 = 0").select((F.col("doc_id") + F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1000000)).alias("doc_id"), F.concat("source", F.lit("*")).alias("source"))
+    s = _store(spark, "store")
+    s.upsert(docs)
+    for _ in range(2):
+        s.upsert(new)
+    return s.read().select("doc_id", "source")
+
+
+@query("k4_delete", "SELECT source, count(*) AS n FROM documents WHERE source <> 'src0' OR source IS NULL GROUP BY source")
+def delete(spark, sf_dir):
+    """K4: a source deleted from a store."""
+    s = _store(spark, "delete")
+    s.overwrite(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    s.delete(F.col("source") == "src0")
+    return s.read().groupBy("source").agg(F.count("*").alias("n"))
+
+
+def refuse(part) -> None:
+    """Stand-in for a service that takes no batch with an order divisible by 97."""
+    if (part["o_orderkey"] % 97 == 0).any():
+        raise ValueError("order refused")
+
+
+@query("k2_delivery", "SELECT o_orderkey % 97 <> 0 AS stored, CASE WHEN o_orderkey % 97 = 0 THEN 'order refused' END AS error, count(*) AS n FROM orders GROUP BY ALL")
+def delivery(spark, sf_dir):
+    """K2: batches that a service refuses are halved until the bad rows stand alone."""
+    sent = store.deliver(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", refuse, 1000)
+    return sent.groupBy("stored", "error").agg(F.count("*").alias("n"))

@@ -61,11 +61,13 @@ def flat_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    """JSON lines, a file for each partition of ``rows``."""
+    rows.write.mode("overwrite").json(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    """With a header; quotes inside values are doubled, as other readers of CSV expect."""
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_lines(rows: DataFrame, column: str, path: str) -> None:

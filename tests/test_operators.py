@@ -1,5 +1,6 @@
 """Hand-made fixtures with hand-derived results."""
 
+import collections
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from lexspark.functions import identity, text
 from lexspark.operators import detect, evaluate, explore, pages, parse, quality, retrieve, schema_parse, split
 from lexspark.plans import answer, ingest, schema
 from lexspark.sources import files
-from lexspark.sources.store import ChunkStore, merge_upsert, quarantine, read_quarantine
+from lexspark.sources.store import ChunkStore, deliver, merge_upsert, most_tries, quarantine, read_quarantine
 from lexspark.streaming import jobs
 
 
@@ -258,16 +259,71 @@ def test_store(spark, tmp_path):
     assert set(read_quarantine(spark, f"{tmp_path}/q").columns) == {"reason", "n", "tier"}
 
 
+def files_of(path):
+    return {str(f.relative_to(path)) for f in path.rglob("*.parquet")}
+
+
+def test_store_rewrites_only_what_it_touches(spark, tmp_path):
+    s = ChunkStore(spark, f"file://{tmp_path}/s", buckets=8)
+    rows = spark.createDataFrame([(str(i), f"t{i}", "T" if i < 90 else "U") for i in range(100)], "chunk_id string, text string, doc_title string")
+    s.upsert(rows)
+    before = files_of(tmp_path / "s")
+    s.upsert(spark.createDataFrame([("5", "new", "T"), ("1000", "more", "V")], rows.schema))
+    after = files_of(tmp_path / "s")
+    touched = {f.split("/")[0] for f in before ^ after}
+    assert 1 <= len(touched) <= 2 and len({f.split("/")[0] for f in before & after}) >= 6 and s.read().count() == 101
+    assert [r["text"] for r in s.find(chunk_id="5").collect()] == ["new"]
+    assert s.delete(F.col("doc_title") == "V") == (1, []) and s.delete(F.col("doc_title") == "T") == (90, [])
+    assert {r["chunk_id"] for r in s.read().collect()} == {str(i) for i in range(90, 100)}
+    s.upsert(spark.createDataFrame([("7", 4)], "chunk_id string, extra int"))
+    assert s.read().count() == 11 and {r["extra"] for r in s.read().collect()} == {None, 4}
+    with pytest.raises(ValueError):
+        ChunkStore(spark, s.path, buckets=9).read()
+
+
 def test_store_survives_a_broken_commit(spark, tmp_path):
     s = ChunkStore(spark, f"file://{tmp_path}/s")
     rows = spark.createDataFrame([(str(i), f"t{i}") for i in range(5)], "chunk_id string, text string")
     s.upsert(rows)
-    (tmp_path / "s" / "v-999999999999999-dead").mkdir()  # a version whose write died
-    assert s.read().count() == 5 and s.upsert(rows.limit(1)) == 1 and s.read().count() == 5 and len(s.versions()) == 2
-    assert s.vacuum(1) == 1 and s.read().count() == 5
-    with pytest.raises(Exception):
-        s.overwrite(rows.select(F.raise_error(F.lit("lost")).alias("chunk_id"), "text"))
-    assert s.read().count() == 5
+    lost = rows.select("chunk_id", F.when(F.col("chunk_id") == "3", F.raise_error(F.lit("lost"))).otherwise("x").alias("text"))
+    for change in (s.overwrite, s.upsert):
+        with pytest.raises(Exception, match="lost"):
+            change(lost)
+        assert sorted(r["text"] for r in s.read().collect()) == [f"t{i}" for i in range(5)]
+
+
+def test_delivery_narrows_down_to_bad_rows(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def send(part):
+        import uuid
+
+        (type(tmp_path)(calls) / uuid.uuid4().hex).write_text(str(len(part)))
+        if (part["id"] % 97 == 5).any():
+            raise ValueError("row refused")
+
+    rows = spark.range(0, 1000, 1, 4).withColumn("v", F.lit("x"))
+    got = deliver(rows, "id", send, 100).collect()
+    bad = {i for i in range(1000) if i % 97 == 5}
+    assert {g["id"] for g in got if not g["stored"]} == bad and len(got) == 1000
+    assert all(g["error"] == ("row refused" if g["id"] in bad else None) and g["tries"] <= most_tries(100) for g in got)
+    n = len(list(tmp_path.iterdir()))
+    assert n <= 12 + 2 * len(bad) * (most_tries(100) - 1) < 300
+    with pytest.raises(Exception, match="no service"):
+        deliver(rows, "id", lambda part: (_ for _ in ()).throw(OSError("no service"))).count()
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a,b"), (2, 'c"d')], "n int, t string")
+    files.write_report(rows, f"{tmp_path}/r")
+    files.write_report(rows.limit(1), f"{tmp_path}/r")
+    assert spark.read.json(f"{tmp_path}/r").count() == 1
+    files.write_csv(rows, f"{tmp_path}/c")
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/c")
+    assert {(r["n"], r["t"]) for r in back.collect()} == {("1", "a,b"), ("2", 'c"d')}
+    for _ in range(2):
+        files.write_lines(rows, "t", f"{tmp_path}/l")
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/l").collect()) == ["a,b", "a,b", 'c"d', 'c"d']
 
 
 def test_append_numbers_in_order(spark, tmp_path):
@@ -347,3 +403,41 @@ def test_chunk_id_cuts_before_it_normalises(spark):
     parts = [F.lit(x) for x in ("T", "1", 2)]
     got = spark.range(1).select(identity.chunk_id(*parts, F.lit(None), F.lit("0"), F.lit(text)).alias("x")).first()["x"]
     assert got == hashlib.sha256(f"T|1|2||0|a {'b' * 18}".encode()).hexdigest()[:32]
+
+
+def test_urls_as_a_source(spark, tmp_path):
+    import http.server
+    import threading
+
+    from lexspark.sources import urls
+
+    for i in range(7):
+        (tmp_path / f"d{i}.pdf").write_bytes(b"%PDF" + bytes([i]))
+    asked = collections.Counter()
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            asked[self.path] += 1
+            code = 200 if self.path == "/ok.pdf" or (self.path == "/later.pdf" and asked[self.path] == 2) else 404 if self.path == "/none.pdf" else 503
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(b"body" if code == 200 else b"")
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        names = [f"file://{tmp_path}/d{i}.pdf" for i in range(7)] + [f"file://{tmp_path}/lost.pdf", f"{at}/ok.pdf", f"{at}/later.pdf", f"{at}/none.pdf", f"{at}/down.pdf", "http://x.example/page.html", names_twice := f"file://{tmp_path}/d0.pdf"]
+        df = urls.read_urls(spark, names, block=3, tries=2)
+        got = {r["url"]: r for r in df.collect()}
+        assert len(got) == len(set(names)) and df.rdd.getNumPartitions() >= 4 and names_twice in got
+        assert [bytes(got[n]["content"])[4] for n in names[:7]] == list(range(7)) and got[names[0]]["file_name"] == "d0.pdf"
+        told = {n.rsplit("/", 1)[1]: (got[n]["error"], got[n]["tries"]) for n in names[7:13]}
+        assert told["ok.pdf"] == (None, 1) and told["later.pdf"][0] is None and told["none.pdf"] == ("HTTP 404", 1) and told["down.pdf"] == ("HTTP 503", 2)
+        assert told["page.html"] == ("not a PDF by its URL", 0) and "No such file" in told["lost.pdf"][0] and told["lost.pdf"][1] == 1
+        assert asked["/none.pdf"] >= 1 and asked["/page.html"] == 0
+    finally:
+        server.shutdown()
