@@ -57,9 +57,8 @@ class Lattice:
         fwd, inverse = _powers(len(data) + 1)
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * fwd[:-1])]), inverse
 
-    def arcs(self, words: list[bytes]) -> "Arcs":
-        size = np.array([len(w) + 1 for w in words], np.int64)
-        data = np.frombuffer(b"".join(b" " + w for w in words), np.uint8)
+    def arcs(self, words: pa.Array) -> "Arcs":
+        data, size = spelt(words)
         total, inverse = self.sums(data)
         at, found = np.arange(len(data)), []
         for n, (begins, ends, keys, own) in enumerate(self.by_size, 1):
@@ -77,6 +76,18 @@ class Lattice:
         return Arcs(size, found)
 
 
+def spelt(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes end to end, each after a space, and the number of bytes of each with its space."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    held = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    size = np.diff(offsets) + 1
+    data = np.full(int(size.sum()), 32, np.uint8)
+    inside = np.ones(len(data), bool)
+    inside[np.cumsum(size) - size] = False
+    data[inside] = held
+    return data, size
+
+
 class Arcs:
     """Arcs of many words' lattices; the nodes of all words are numbered one after another, one more than a word has bytes.
 
@@ -201,14 +212,16 @@ def model_of(expected: np.ndarray, ends: float, prior: np.ndarray, strength: flo
     return Model(np.log(uses / total), float(np.log((ends + 1.0) / total)))
 
 
-def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of rows whose words (the first column) have about 1 MB together, shorter words first."""
+def in_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of rows whose words (the first column) have about ``most`` bytes together, shorter words first."""
     for batch in batches:
-        words = batch.column(0).cast(pa.binary()).to_pylist()
-        order = np.argsort([len(w) for w in words], kind="stable")
-        words, batch = [words[i] for i in order.tolist()], batch.take(pa.array(order))
-        for a, b in by_bytes(words):
-            yield batch.slice(a, b - a), words[a:b]
+        size = np.asarray(pc.binary_length(batch.column(0))).astype(np.int64)
+        batch, size = batch.take(pa.array(np.argsort(size, kind="stable"))), np.sort(size)
+        total, a = np.concatenate([[0], np.cumsum(size + 1)]), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def fit(words: DataFrame, ends: int, path: Callable[[], str], rounds: int, strength: float) -> Model:
@@ -217,8 +230,8 @@ def fit(words: DataFrame, ends: int, path: Callable[[], str], rounds: int, stren
     def use(log_p: np.ndarray):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, uses = lattice(path())[0], np.zeros(len(log_p))
-            for part, spelt in in_slices(batches):
-                uses += own.arcs(spelt).expected(log_p, np.asarray(part.column(1)).astype(float))
+            for part in in_slices(batches):
+                uses += own.arcs(part.column(0)).expected(log_p, np.asarray(part.column(1)).astype(float))
             used = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(uses[used])], names=["piece", "n"])
 
@@ -242,8 +255,8 @@ def word_scores(words: DataFrame, model: Model, path: Callable[[], str], n: int,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path())[0]
-        for part, spelt in in_slices(batches):
-            arcs = own.arcs(spelt)
+        for part in in_slices(batches):
+            arcs = own.arcs(part.column(0))
             found = [pa.array(arcs.marginals(p) / LN10) for p in (log_p, plain)]
             yield pa.RecordBatch.from_arrays([*part.columns, *found], names=["word", "c", "uses", "score", "plain"])
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexspark.llm import lattice
@@ -75,7 +76,7 @@ def test_fitting_raises_the_likelihood(spark):
     """Each round of expectation and maximisation makes the training words likelier, but for the prior's pull."""
     pieces, prior = lattice.vocabulary(piece_vocabulary())
     own = lattice.Lattice(pieces)
-    words = [w.encode() for w in ("mentation", "queueau", "the", "thereof", "éaux", "zz9")]
+    words = pa.array(["mentation", "queueau", "the", "thereof", "éaux", "zz9"])
     arcs, count, last = own.arcs(words), np.array([5.0, 3, 50, 2, 7, 1]), -np.inf
     model = lattice.model_of(prior * 1000, 10, prior, 1e-6)
     for _ in range(5):
