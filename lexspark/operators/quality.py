@@ -107,6 +107,9 @@ def is_severe() -> Column:
     return (F.col("capture") < 0.50) | (F.col("continuity") < 0.45) | (F.col("length") < 0.45) | (F.col("noise") < 0.50)
 
 
+LISTED, SAMPLES = 5, 3  # fixed values: failures listed, texts shown
+
+
 def failure_report(chunks: DataFrame, scored: DataFrame, by: Sequence[str] = ("doc_id",), order: str = "chunk_index") -> DataFrame:
     """Counts of chunks without a section number and of short ones, messages for metrics under their thresholds, the
     first five of those chunks (unnumbered ones first) and the texts of three unnumbered ones.
@@ -116,17 +119,18 @@ def failure_report(chunks: DataFrame, scored: DataFrame, by: Sequence[str] = ("d
     unnumbered = F.coalesce("section_number", F.lit("N/A")) == "N/A"
     short = F.length(F.coalesce("text", F.lit(""))) < 50
     place = F.col(order).cast("long")
-    listed = F.array_sort(F.flatten(F.collect_list(F.filter(F.array(
-        F.when(unnumbered, F.struct(F.lit(0).alias("kind"), place.alias("place"), F.substring("text", 1, 300).alias("text"))),
-        F.when(short, F.struct(F.lit(1).alias("kind"), place.alias("place"), F.substring("text", 1, 300).alias("text"))),
-    ), lambda x: x.isNotNull()))))
-    texts = F.array_sort(F.collect_list(F.when(unnumbered, F.struct(place.alias("place"), F.substring("text", 1, 500).alias("text")))))
-    found = chunks.groupBy(*by).agg(
-        F.count("*").alias("total"),
-        F.sum(unnumbered.cast("int")).alias("n_unnumbered"),
-        F.sum(short.cast("int")).alias("n_short"),
-        F.slice(listed, 1, 5).alias("failures"),
-        F.slice(F.transform(texts, lambda x: x["text"]), 1, 3).alias("samples"),
+    kinds = F.filter(F.array(F.when(unnumbered, F.lit(0)), F.when(short, F.lit(1))), lambda x: x.isNotNull())
+    each = chunks.select(*by, place.alias("place"), "text", F.explode(kinds).alias("kind"))
+    # only the first of each kind are gathered, however many fail
+    order_ = Window.partitionBy(*by, "kind").orderBy("place", F.substring("text", 1, 500))
+    first = each.withColumn("_n", F.row_number().over(order_)).where(F.col("_n") <= LISTED)
+    cut = lambda n: F.struct("kind", "place", F.substring("text", 1, n).alias("text"))
+    listed = first.groupBy(*by).agg(
+        F.slice(F.array_sort(F.collect_list(cut(300))), 1, LISTED).alias("failures"),
+        F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == 0, cut(500)))), lambda x: x["text"]), 1, SAMPLES).alias("samples"),
     )
+    found = chunks.groupBy(*by).agg(F.count("*").alias("total"), F.sum(unnumbered.cast("int")).alias("n_unnumbered"), F.sum(short.cast("int")).alias("n_short"))
+    same = [F.col(f"found.{c}").eqNullSafe(F.col(f"listed.{c}")) for c in by]
+    found = found.alias("found").join(listed.alias("listed"), same, "left").select("found.*", *[F.coalesce(F.col(f"listed.{c}"), F.array().cast(listed.schema[c].dataType)).alias(c) for c in ("failures", "samples")])
     issues = F.filter(F.array(*[F.when(F.col(k) < t, F.lit(f"{k} below {t:g}")) for k, t in THRESHOLDS.items()]), lambda x: x.isNotNull())
     return found.join(scored.select(*by, issues.alias("issues"), "overall"), list(by))

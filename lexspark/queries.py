@@ -302,10 +302,11 @@ def normalised(spark, sf_dir):
 
 # ---- pages --------------------------------------------------------------------------------------------------------
 
-_LINES = """SELECT CAST(l_orderkey % 40 AS STRING) AS doc_id, CAST(l_suppkey % 10 AS INT) AS page_num, l_orderkey * 10 + l_linenumber AS line_no, CAST(l_quantity * 16 AS DOUBLE) AS y0,
+#: Documents of some fifty orders each, so that they grow in number with the table and not in size.
+_LINES = """SELECT CAST(l_orderkey - l_orderkey % 50 AS STRING) AS doc_id, CAST(l_suppkey % 10 AS INT) AS page_num, l_orderkey * 10 + l_linenumber AS line_no, CAST(l_quantity * 16 AS DOUBLE) AS y0,
  CASE WHEN l_linenumber = 7 THEN '3. Subs. by Act' WHEN l_linenumber = 6 THEN '* Omitted' ELSE 'line ' || CAST(l_linenumber AS STRING) END AS text, CAST(5 + l_discount * 100 AS DOUBLE) AS size FROM lineitem """
-_DRAWINGS = """SELECT CAST(o_orderkey % 40 AS STRING) AS doc_id, CAST(o_custkey % 10 AS INT) AS page_num, CAST(200 + o_orderkey % 600 AS DOUBLE) AS y0, CAST(200 + o_orderkey % 600 AS DOUBLE) + 1 AS y1,
- CAST(o_custkey % 400 AS DOUBLE) AS width, 600.0D AS page_width, 800.0D AS page_height FROM orders WHERE o_orderkey % 17 = 0 """
+_DRAWINGS = """SELECT CAST(o_orderkey - o_orderkey % 50 AS STRING) AS doc_id, CAST(o_custkey % 10 AS INT) AS page_num, CAST(200 + o_orderkey % 600 AS DOUBLE) AS y0, CAST(200 + o_orderkey % 600 AS DOUBLE) + 1 AS y1,
+ CAST(o_custkey % 400 AS DOUBLE) AS width, 600.0D AS page_width, 800.0D AS page_height FROM orders """
 _DUCK_DRAWINGS = _DRAWINGS.replace("600.0D", "600.0").replace("800.0D", "800.0")
 _SEPARATORS = f"""draw AS ({_DUCK_DRAWINGS}), sep AS (SELECT doc_id, page_num, min(y0) AS sep_y FROM draw WHERE abs(y0 - y1) < 2 AND width > 50 AND y0 > page_height * 0.3 AND width < page_width * 0.45 GROUP BY ALL HAVING count(*) <= 2)"""
 
@@ -401,10 +402,19 @@ def detected(spark, sf_dir):
     return ingest.detected(statutes(spark, sf_dir)).select("doc_id", "doc_type", F.round("confidence", 9).alias("confidence"), "strategy", "section_pattern")
 
 
-@query("r10_segments", f"WITH {_STATUTES} SELECT doc_id, 0 AS segment_index, length(text)::INT AS chars FROM st")
+_ACTS = """SELECT o_custkey AS doc_id, o_orderkey AS n, CHR(10) || 'THE ' || CASE o_orderstatus WHEN 'F' THEN 'LAND REVENUE' WHEN 'O' THEN 'COURTS, FEES' ELSE 'PUBLIC-ROADS' END || ' ACT, 19' || CAST(10 + o_orderkey % 90 AS STRING) || CHR(10) || '1. Of order '
+ || CAST(o_orderkey AS STRING) || '.' || CHR(10) AS act FROM orders WHERE o_orderkey % 3 > 0 """
+
+
+@query("r10_segments", f"""WITH a AS ({_ACTS}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS place, count(*) OVER (PARTITION BY doc_id) AS acts FROM a),
+t AS (SELECT doc_id, (place - 1)::INT AS segment_index, CASE WHEN acts = 1 THEN 'A table of contents' || act ELSE trim(act, chr(10)) END AS text FROM k)
+SELECT doc_id, segment_index, regexp_extract(text, '(THE [^\n]*ACT, \d{{4}})', 1) AS title, sha256(text) AS sha FROM t""")
 def segments(spark, sf_dir):
-    """Statutes with one title are one segment."""
-    return detect.segments(statutes(spark, sf_dir)).select("doc_id", "segment_index", F.length("text").alias("chars"))
+    """A customer's acts in one text are a segment each; a single act is the whole text."""
+    acts = _with_views(spark, sf_dir, _ACTS)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "act"))), lambda x: x["act"]), "")
+    docs = acts.groupBy("doc_id").agg(F.concat(F.lit("A table of contents"), body).alias("text"))
+    return detect.segments(docs).select("doc_id", "segment_index", "title", F.sha2("text", 256).alias("sha"))
 
 
 _CHAPTER_OF = "CASE WHEN l_returnflag = 'R' THEN 'CHAPTER ' || CASE WHEN l_linenumber % 2 = 0 THEN 'II' ELSE 'IV' END || ' - OF ' || upper(l_linestatus || ' matters') END"
@@ -701,9 +711,9 @@ def windows(spark, sf_dir):
 
 # ---- operators on rows of known answers ---------------------------------------------------------------------------
 
-_NUMBERED = """SELECT CAST(l_orderkey % 40 AS STRING) AS doc_id, CAST(l_suppkey % 10 AS INT) AS page_num, l_discount, l_returnflag, l_suppkey, l_partkey, l_quantity,
- row_number() OVER (PARTITION BY l_orderkey % 40, l_suppkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS block_no FROM lineitem """
-_NOTE = "CASE WHEN block_no % 37 = 0 THEN '(3. Subs. by Act' ELSE '3 lines of text' END"
+_NUMBERED = """SELECT CAST(l_orderkey - l_orderkey % 50 AS STRING) AS doc_id, CAST(l_suppkey % 10 AS INT) AS page_num, l_discount, l_returnflag, l_suppkey, l_partkey, l_quantity,
+ row_number() OVER (PARTITION BY l_orderkey - l_orderkey % 50, l_suppkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS block_no FROM lineitem """
+_NOTE = "CASE WHEN block_no % 7 = 0 THEN '(3. Subs. by Act' ELSE '3 lines of text' END"
 
 
 @query("s3_span_footnotes", f"""WITH b AS ({_NUMBERED}), n AS (SELECT *, max((5 + l_discount * 100 <= 9.5 AND regexp_matches({_NOTE}, '^\\W*\\d+\\.'))::INT) OVER (PARTITION BY doc_id, page_num ORDER BY block_no ROWS UNBOUNDED PRECEDING) AS seen FROM b)
@@ -716,11 +726,11 @@ def span_footnotes(spark, sf_dir):
     return kept.groupBy("doc_id", "page_num").agg(F.count("*").alias("n_blocks"), F.max("block_no").alias("last_block"))
 
 
-@query("s4_crop", """SELECT l_orderkey % 40 AS doc_id, count(*) AS n_lines FROM lineitem WHERE l_suppkey % 100 >= 50 AND 480 + l_partkey % 100 <= 550 AND l_quantity * 16 >= 72 AND l_quantity * 16 + 10 <= 728 GROUP BY ALL""")
+@query("s4_crop", """SELECT l_orderkey - l_orderkey % 50 AS doc_id, count(*) AS n_lines FROM lineitem WHERE l_suppkey % 100 >= 50 AND 480 + l_partkey % 100 <= 550 AND l_quantity * 16 >= 72 AND l_quantity * 16 + 10 <= 728 GROUP BY ALL""")
 def cropped(spark, sf_dir):
     """Lines inside a page's margins."""
     at = {"x0": F.col("l_suppkey") % 100, "x1": 480 + F.col("l_partkey") % 100, "y0": F.col("l_quantity") * 16, "y1": F.col("l_quantity") * 16 + 10, "page_width": F.lit(600), "page_height": F.lit(800)}
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("doc_id"), *[c.cast("double").alias(k) for k, c in at.items()])
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") - F.col("l_orderkey") % 50).alias("doc_id"), *[c.cast("double").alias(k) for k, c in at.items()])
     return pages.crop(rows).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import ChunkStore
+from ..sources.tables import stage
 
 FINAL = ("done", "failed")
+NO_TITLE = "Legal Query"  # fixed value
+TITLE_PROMPT = "Name this question in three to five words, and answer with the name alone: {question}"
 
 
 def job_states(events: DataFrame, job: str = "job_id", order: str = "seq") -> DataFrame:
@@ -32,14 +36,44 @@ def titles(changes: DataFrame) -> DataFrame:
     return changes.groupBy("conv_id").agg(F.coalesce(named, F.lit("New Chat")).alias("title"), F.max("ts").alias("updated_at"))
 
 
+def model_titles(questions: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """(conv_id, title) by a pluggable model from each conversation's first question (conv_id, question); where the model fails, or there is no question, a fixed title."""
+
+    @F.pandas_udf("string")
+    def name(asked: pd.Series) -> pd.Series:
+        def one(q) -> str:
+            try:
+                return model(TITLE_PROMPT.format(question=q)).strip() if q else NO_TITLE
+            except Exception:  # whatever a model raises, the conversation needs a title
+                return NO_TITLE
+
+        return asked.map(one)
+
+    return questions.select("conv_id", name("question").alias("title"))
+
+
 def persisted(session: Column) -> Column:
     return ~(session.startswith("guest_") | session.startswith("test_"))
 
 
+def numbered_within(rows: DataFrame, by: str, order: str, name: str = "place") -> DataFrame:
+    """``rows`` with their places (from 0) among those of the same ``by`` in ``order``, ties in any order.
+
+    Rows are sorted across partitions; a place is that within a partition after the rows of those before it. So a hot ``by`` is spread over many tasks,
+    and only counts by partition and ``by`` are put in order.
+    """
+    held = stage(rows.orderBy(by, order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    per = held.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_of")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_by").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_by", "_of", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = held.join(per, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_of")))
+    return placed.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(name))
+
+
 def drift(scores: DataFrame, every: int = 100, by: str = "doc_type", order: str = "seq") -> DataFrame:
     """Mean quality of each run of ``every`` chunks and its change from the run before."""
-    run = F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / every)
-    per = scores.withColumn("run", run).groupBy(by, "run").agg(F.avg("overall").alias("mean_score"), F.count("*").alias("n"))
+    run = F.floor(F.col("_place") / every)
+    per = numbered_within(scores, by, order, "_place").groupBy(by, run.alias("run")).agg(F.avg("overall").alias("mean_score"), F.count("*").alias("n"))
     return per.withColumn("change", F.col("mean_score") - F.lag("mean_score").over(Window.partitionBy(by).orderBy("run")))
 
 
