@@ -406,9 +406,49 @@ _ACTS = """SELECT o_custkey AS doc_id, o_orderkey AS n, CHR(10) || 'THE ' || CAS
  || CAST(o_orderkey AS STRING) || '.' || CHR(10) AS act FROM orders WHERE o_orderkey % 3 > 0 """
 
 
+def _types_sql() -> str:
+    """Types of short statutes, of which all windows are the whole: template scores, profiles, penalties and boosts in turn, in SQL."""
+    has = lambda p: _duck(p)
+    exactly = lambda p: _duck(p, False)
+    score = {t: _score_sql(t) for t in detect.TYPES}
+    for t, own in detect.PROFILES.items():
+        n = " + ".join(f"({has(p)})::INT" for p in own["signs"])
+        whole = f" + CASE WHEN {' OR '.join(has(p) for p in own['whole'])} THEN {own['bonus']} ELSE 0 END" if own["whole"] else ""
+        profile = f"CASE WHEN {n} > 0 THEN least(1.0, ({n}) / {float(len(own['signs']))}{whole}) ELSE 0.0 END"
+        if own["anti"]:
+            profile = f"CASE WHEN {' OR '.join(has(p) for p in own['anti'])} THEN 0.0 ELSE {profile} END"
+        score[t] = f"CASE WHEN {score[t]} < 0.10 THEN greatest({score[t]}, 0.5 * {profile}) ELSE {score[t]} END"
+    facts = {
+        "gazette": has(detect.GAZETTE), "sections": exactly(detect.SECTION_LINE), "rule_lines": has(r"(?m)^Rule\s+\d+"), "chapters": has(detect.CHAPTER_LINE), "parts": has(detect.PART_LINE), "notes": exactly(detect.ANNOTATION),
+        "orders": exactly(detect.ORDER_LINE), "enacted": has(detect.ENACTED), "act_title": has(detect.ACT_TITLE), "rules_title": has(r"(?m)^THE\s+[A-Z][A-Z\s,'\-]+RULES,?\s+\d{4}"), "exercise": has(detect.IN_EXERCISE),
+        "forms": has(r"(?:SCHEDULE|FORM\s+[A-Z\d]|ANNEXURE|APPENDIX)"),
+        "titles": "len(list_distinct(list_transform(regexp_extract_all(text, '(?im)" + detect.ACT_OR_CODE_TITLE.replace("(?m)", "").replace("'", "''") + "'), lambda x: upper(trim(x)))))",
+    }
+    changes = [
+        ("COMPENDIUM", "titles < 2", -0.80), ("GAZETTE_ACT", "gazette AND NOT sections", -0.25), ("BARE_ACT", "act_title AND NOT chapters AND NOT parts", -0.25), ("SCHEDULE_RULES", "rules_title AND NOT rule_lines AND NOT orders", -0.25),
+        ("GAZETTE_ACT", "gazette AND enacted AND sections", 0.20), ("CODIFIED_ACT", "notes AND chapters", 0.20), ("CODIFIED_ACT", "notes AND NOT chapters", 0.06), ("SCHEDULE_RULES", "exercise", 0.12),
+        ("SCHEDULE_RULES", "forms AND (rule_lines OR orders)", 0.12), ("BARE_ACT", "chapters AND sections AND NOT notes AND NOT gazette", 0.06),
+    ]
+    final = {t: t.lower() for t in detect.TYPES}
+    for t, when, by in changes:
+        final[t] = f"CASE WHEN {when} THEN greatest(0.0, least(1.0, {final[t]} + {by})) ELSE {final[t]} END"
+    best = "greatest(" + ", ".join(f"f{t.lower()}" for t in detect.TYPES) + ")"
+    kind = "CASE " + " ".join(f"WHEN f{t.lower()} = {best} THEN '{t}'" for t in detect.TYPES) + " END"
+    return f"""sc AS (SELECT doc_id, {", ".join(f"({q})::DOUBLE AS {t.lower()}" for t, q in score.items())}, {", ".join(f"{q} AS {k}" for k, q in facts.items())} FROM st),
+fi AS (SELECT doc_id, {", ".join(f"({q})::DOUBLE AS f{t.lower()}" for t, q in final.items())} FROM sc)
+SELECT doc_id, CASE WHEN {best} > 0 THEN {kind} ELSE 'GENERIC' END AS doc_type, round(least({best}, 1.0), 9) AS confidence, CASE WHEN {best} >= 0.60 THEN 'REGEX' WHEN {best} >= 0.30 THEN 'HYBRID' ELSE 'SCHEMA' END AS strategy FROM fi"""
+
+
+@query("r8_types", f"WITH {_STATUTES}, {_types_sql()}")
+def types(spark, sf_dir):
+    """Type, confidence and strategy of short statutes."""
+    found = detect.detect(statutes(spark, sf_dir))
+    return found.select("doc_id", "doc_type", F.round("confidence", 9).alias("confidence"), detect.strategy(F.col("confidence")).alias("strategy"))
+
+
 @query("r10_segments", f"""WITH a AS ({_ACTS}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS place, count(*) OVER (PARTITION BY doc_id) AS acts FROM a),
 t AS (SELECT doc_id, (place - 1)::INT AS segment_index, CASE WHEN acts = 1 THEN 'A table of contents' || act ELSE trim(act, chr(10)) END AS text FROM k)
-SELECT doc_id, segment_index, regexp_extract(text, '(THE [^\n]*ACT, \d{{4}})', 1) AS title, sha256(text) AS sha FROM t""")
+SELECT doc_id, segment_index, regexp_extract(text, '(THE [^\\n]*ACT, \\d{{4}})', 1) AS title, sha256(text) AS sha FROM t""")
 def segments(spark, sf_dir):
     """A customer's acts in one text are a segment each; a single act is the whole text."""
     acts = _with_views(spark, sf_dir, _ACTS)

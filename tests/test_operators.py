@@ -441,3 +441,56 @@ def test_urls_as_a_source(spark, tmp_path):
         assert asked["/none.pdf"] >= 1 and asked["/page.html"] == 0
     finally:
         server.shutdown()
+
+
+def test_titles_by_a_model(spark):
+    """What the model says, stripped; a fixed title where it fails or nothing was asked."""
+
+    def model(prompt):
+        if "boom" in prompt:
+            raise RuntimeError("no model")
+        return "  Theft of Cattle \n"
+
+    rows = spark.createDataFrame([("a", "what of cattle"), ("b", "boom"), ("c", None), ("d", "")], "conv_id string, question string")
+    assert {r["conv_id"]: r["title"] for r in jobs.model_titles(rows, model).collect()} == {"a": "Theft of Cattle", "b": "Legal Query", "c": "Legal Query", "d": "Legal Query"}
+
+
+def test_places_within_hot_groups(spark):
+    rows = spark.range(0, 3000, 1, 6).select((F.col("id") * 7919 % 3000).alias("seq"), F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, "cold").alias("kind"))
+    got = collections.defaultdict(list)
+    for r in jobs.numbered_within(rows, "kind", "seq").collect():
+        got[r["kind"]].append((r["seq"], r["place"]))
+    assert set(got) == {"hot", "cold", None} and all([p for _, p in sorted(v)] == list(range(len(v))) for v in got.values())
+
+
+def brute_nearest(vectors, queries, k, metric, exclude):
+    import numpy as np
+
+    out = []
+    for q, x in queries:
+        x, scored = np.array(x), []
+        for i, y in vectors:
+            if y is not None and len(y) == len(x) and not (exclude and i == q):
+                y = np.array(y)
+                size = np.sqrt((x * x).sum() * (y * y).sum())
+                s = ((x - y) ** 2).sum() if metric == "l2" else -(x * y).sum() if metric == "ip" else -((x * y).sum() / size if size else 0.0)
+                scored.append((s, i))
+        out += [(q, n, i) for n, (_, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_dense_search_in_blocks(spark, metric):
+    """Against one query at a time: ties of many equal vectors, vectors far from the origin, nulls, other lengths; in parts of a few queries."""
+    r = random.Random(8)
+    vectors = [(i, [r.gauss(0, 1) + (1e6 if i % 3 == 0 else 0) for _ in range(6)]) for i in range(300)]
+    vectors += [(i, vectors[1][1]) for i in range(300, 360)] + [(400, None), (401, [1.0]), (402, [0.0] * 6)]
+    corpus = spark.createDataFrame(vectors, "chunk_id long, embedding array<double>").repartition(5)
+    queries = [(i, vectors[i][1]) for i in range(0, 360, 20)] + [(402, [0.0] * 6)]
+    asked = spark.createDataFrame(queries, "qid long, vector array<double>")
+    for exclude, part in ((True, 32 << 20), (False, 200)):
+        found = retrieve.dense_top(corpus, asked, 7, metric, exclude_self=exclude, part_bytes=part)
+        assert sorted((g["qid"], g["rank"], g["chunk_id"]) for g in found.collect()) == brute_nearest(vectors, queries, 7, metric, exclude)
+        plan = found._jdf.queryExecution().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert retrieve.dense_top(corpus, asked.limit(0), 7, metric).count() == 0
