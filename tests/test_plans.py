@@ -159,3 +159,111 @@ def test_a_model_sees_the_history(spark, history, question, want):
     df = spark.createDataFrame([(question, history)], "question string, history array<struct<role: string, text: string>>")
     got = answer.contextualise(df, lambda p: "model: " + p.split("\n\n")[1]).first()["question"]
     assert got == (question if want == "asked" else want)
+
+
+# ---- splitting ----------------------------------------------------------------------------------------------------
+
+
+def plain_windows(text, size, overlap, separators, keep):
+    """The recursive split, told another way: cut by the first separator there is, cut pieces that are too long again, and join neighbours that fit."""
+    used = next((s for s in separators if not s or s in text), separators[-1])
+    finer = separators[separators.index(used) + 1 :]
+    if not used:
+        pieces = list(text)
+    elif keep:
+        bounds = [0, *cuts(text, used), len(text)]
+        pieces = [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    else:
+        pieces = text.split(used)
+    joint = "" if keep else used
+    out, run = [], []
+    for p in [x for x in pieces if x] + [None]:
+        if p is not None and len(p) < size:
+            run.append(p)
+            continue
+        first = 0
+        while first < len(run):
+            last = first + 1
+            while last < len(run) and len(joint.join(run[first : last + 1])) <= size:
+                last += 1
+            out.append(joint.join(run[first:last]).strip())
+            if last == len(run):
+                break
+            back = last
+            while back > first and len(joint.join(run[back - 1 : last])) <= overlap and len(joint.join(run[back - 1 : last + 1])) <= size:
+                back -= 1
+            first = max(back, first + 1) if back < last else last
+        run = []
+        if p is not None:
+            out += plain_windows(p, size, overlap, finer, keep) if finer else [p]
+    return [x for x in out if x]
+
+
+def cuts(text, mark):
+    """Places of the mark that do not overlap, from the left."""
+    out, at = [], text.find(mark)
+    while at >= 0:
+        out.append(at)
+        at = text.find(mark, at + len(mark))
+    return out
+
+
+def split_texts():
+    r = random.Random(12)
+    words = ["court", "a", "section", "shall", "(1)", "Section 4", "CHAPTER II", "x" * 30, "word."]
+    return ["".join(r.choice(words) + r.choice([" ", " ", " ", "\n", "\n\n", ". ", "\n("]) for _ in range(r.randrange(1, 160))) for _ in range(60)]
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_split_told_another_way(keep):
+    for text in split_texts():
+        for size, overlap in ((50, 10), (120, 40), (300, 0)):
+            separators = split.PLAIN_SEPARATORS if keep else split.LEGAL_SEPARATORS
+            assert split.split_text(text, size, overlap, separators, keep) == plain_windows(text, size, overlap, separators, keep)
+
+
+def test_sub_chunks(spark):
+    """Sizes by kind of text, fragments joined to their neighbours, a line of context on continuations, and the parent of each."""
+    texts = [t * 3 for t in split_texts()] + ["SCHEDULE of fees\n" + "item one is here " * 70, "short", "", None]
+    rows = [(i, 10 + i, t, "12A" if i % 3 else "N/A", "Title" if i % 2 else None, "CHAPTER I" if i % 5 else "Unknown Chapter") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, chunk_index int, text string, section_number string, section_title string, chapter string")
+    got = {}
+    for g in split.split_chunks(df, 200, 30).orderBy("doc_id", "sub_chunk").collect():
+        got.setdefault(g["doc_id"], []).append(g)
+    for i, parent, t, number, title, chapter in rows:
+        if t is None:
+            assert len(got[i]) == 1 and got[i][0]["text"] is None
+            continue
+        size = int(200 * 1.35) if i == len(texts) - 4 else 200
+        if any(w in t[:500].upper() for w in ("SCHEDULE", "APPENDIX", "TABLE")):
+            size = int(200 * 1.35)
+        pieces = [t] if len(t) <= size else joined(plain_windows(t, size, 30, split.LEGAL_SEPARATORS, False))
+        line = " — ".join([*(["Section 12A"] if number != "N/A" else []), *([title] if title else []), *([f"[{chapter}]"] if chapter != "Unknown Chapter" else [])])
+        want = [p if not k or not line else line + "\n" + p for k, p in enumerate(pieces)]
+        own = got[i]
+        assert [g["text"] for g in own] == want, i
+        assert {g["parent_chunk_index"] for g in own} == {parent} and [g["sub_chunk"] for g in own] == list(range(1, len(want) + 1)) and {g["total_chunks"] for g in own} == {len(want)}
+        assert [g["chunk_char_length"] for g in own] == [len(w) for w in want] and {g["chunk_source_strategy"] for g in own} == {"passthrough" if len(pieces) == 1 else "recursive_legal"}
+
+
+def joined(pieces):
+    """Pieces under forty characters wait for the next one; what is left in the end goes to the last one."""
+    out, held = [], ""
+    for p in pieces:
+        if not p.strip():
+            continue
+        if len(p.strip()) < 40:
+            held = f"{held} {p.strip()}".strip()
+        else:
+            out.append(f"{held}\n{p}" if held else p)
+            held = ""
+    if held:
+        out = [*out[:-1], f"{out[-1]}\n{held}"] if out else [held]
+    return out
+
+
+def test_conversations_by_last_message(spark):
+    conv = spark.createDataFrame([("a", "u", "2024-01-01"), ("b", "u", "2024-01-05"), ("c", "v", "2024-01-02")], "conv_id string, user_id string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    messages = spark.createDataFrame([("a", "2024-02-01"), ("a", "2023-01-01"), ("c", "2023-05-05")], "conv_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r["conv_id"]: (str(r["updated_at"])[:10], r["place"]) for r in answer.touch(conv, messages).collect()}
+    assert got == {"a": ("2024-02-01", 1), "b": ("2024-01-05", 2), "c": ("2024-01-02", 1)}
