@@ -343,7 +343,7 @@ def page_ranges(spark, sf_dir):
     return pages.slice_pages(rows, ranges).groupBy("name").agg(F.count("*").alias("n_lines"), F.min("page_num").alias("first"), F.max("page_num").alias("last"))
 
 
-@query("s8_urls", r"""SELECT page_id, regexp_matches(lower(url), '\.pdf(?:$|\?)|pdf') AS is_pdf, coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+/(?:[^?#]*/)?([^/?#]+)', 1), ''), 'download.pdf') AS file_name FROM pages""")
+@query("s8_urls", r"""SELECT page_id, regexp_matches(lower(url), '\.pdf(?:$|\?)|pdf') AS is_pdf, coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/(?:[^?#]*/)?([^/?#]+)', 1), ''), 'download.pdf') AS file_name FROM pages""")
 def urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.is_pdf_url(F.col("url")).alias("is_pdf"), files.url_file_name(F.col("url")).alias("file_name"))
 

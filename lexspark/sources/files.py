@@ -52,7 +52,7 @@ def is_pdf_url(url: Column) -> Column:
 
 def url_file_name(url: Column) -> Column:
     """Last part of the path without the query; download.pdf if it is empty."""
-    return F.coalesce(F.nullif(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+/(?:[^?#]*/)?([^/?#]+)", 1), F.lit("")), F.lit("download.pdf"))
+    return F.coalesce(F.nullif(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*/(?:[^?#]*/)?([^/?#]+)", 1), F.lit("")), F.lit("download.pdf"))
 
 
 def flat_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -494,3 +494,20 @@ def test_dense_search_in_blocks(spark, metric):
         plan = found._jdf.queryExecution().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert retrieve.dense_top(corpus, asked.limit(0), 7, metric).count() == 0
+
+
+def test_download_skips_what_is_there(spark, tmp_path):
+    from lexspark.sources import urls
+
+    (tmp_path / "from").mkdir()
+    for n in "abc":
+        (tmp_path / "from" / n).write_bytes(n.encode() * 1000)
+    (tmp_path / "to").mkdir()
+    (tmp_path / "to" / "a.pdf").write_bytes(b"older")
+    rows = [(n, f"file://{tmp_path}/from/{n}") for n in "abcc"] + [("lost", f"file://{tmp_path}/from/lost")]
+    wanted = spark.createDataFrame(rows, "name string, url string")
+    first = {r["name"]: r["status"] for r in urls.download(wanted, f"file://{tmp_path}/to").collect()}
+    assert first == {"a": "there", "b": "saved", "c": "saved", "lost": "failed"}
+    assert {r["name"]: r["status"] for r in urls.download(wanted, f"file://{tmp_path}/to").collect()} == {"a": "there", "b": "there", "c": "there", "lost": "failed"}
+    assert {f.name: f.read_bytes()[:2] for f in (tmp_path / "to").iterdir()} == {"a.pdf": b"ol", "b.pdf": b"bb", "c.pdf": b"cc"}
+    assert len(urls.ACTS) == 11 and all(u.startswith("https://") for u in urls.ACTS.values())
