@@ -82,6 +82,17 @@ POOLS = {
     "COMPENDIUM": SECTION_PATTERNS,
     "GENERIC": SECTION_PATTERNS,
 }
+RULE_LINE = r"(?m)^Rule\s+\d+"
+RULES_TITLE = r"(?m)^THE\s+[A-Z][A-Z\s,'\-]+RULES,?\s+\d{4}"
+FORMS = r"(?:SCHEDULE|FORM\s+[A-Z\d]|ANNEXURE|APPENDIX)"
+FEATURES = {
+    "has_chapters": r"(?i)CHAPTER\s+[IVXLCDM]+",
+    "has_parts": r"(?i)PART\s+[IVXLCDM]+",
+    "has_orders": r"\bORDER\s+[IVXLCDM]+\b",
+    "has_schedules": r"(?i)(THE FIRST SCHEDULE|THE SECOND SCHEDULE|SCHEDULE [IVXLCDM]|THE SCHEDULE)",
+    "has_definitions": r"(?is)\bmeans\b.{0,200}?\binclude",
+}
+SECTION_COUNT = r"\n\s*\d{1,3}[A-Z]?\.\s"
 MERGE = (0.35, 0.45, 0.20)
 SMALL_DOCUMENT = 12_000
 
@@ -166,22 +177,15 @@ def profile_score(text: Column, doc_type: str) -> Column:
 
 
 def features(text: Column) -> dict[str, Column]:
-    return {
-        "has_chapters": text.rlike(r"(?i)CHAPTER\s+[IVXLCDM]+"),
-        "has_parts": text.rlike(r"(?i)PART\s+[IVXLCDM]+"),
-        "has_orders": text.rlike(r"\bORDER\s+[IVXLCDM]+\b"),
-        "has_schedules": text.rlike(r"(?i)(THE FIRST SCHEDULE|THE SECOND SCHEDULE|SCHEDULE [IVXLCDM]|THE SCHEDULE)"),
-        "has_definitions": text.rlike(r"(?is)\bmeans\b.{0,200}?\binclude"),
-        "section_count": F.regexp_count(text, F.lit(r"\n\s*\d{1,3}[A-Z]?\.\s")),
-        "char_count": F.length(text),
-    }
+    signs = {name: text.rlike(pattern) for name, pattern in FEATURES.items()}
+    return signs | {"section_count": F.regexp_count(text, F.lit(SECTION_COUNT)), "char_count": F.length(text)}
 
 
 def adjusted(text: Column, scores: dict[str, Column]) -> dict[str, Column]:
     """Scores after penalties and boosts, which are clamped in this order."""
     s = dict(scores)
     head, tail = F.substring(text, 1, 8000), F.substr(text, F.greatest(F.length(text) - 8000, F.lit(0)) + 1, F.lit(8000))
-    gazette, sections, rule_lines = search(text, GAZETTE), exact(text, SECTION_LINE), search(text, r"(?m)^Rule\s+\d+")
+    gazette, sections, rule_lines = search(text, GAZETTE), exact(text, SECTION_LINE), search(text, RULE_LINE)
     chapters, parts, notes, orders = search(text, CHAPTER_LINE), search(text, PART_LINE), exact(text, ANNOTATION), exact(text, ORDER_LINE)
     titles = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?imd)" + ACT_OR_CODE_TITLE.replace("(?m)", "")), F.lit(0)), lambda x: F.upper(F.trim(x))))
 
@@ -191,12 +195,12 @@ def adjusted(text: Column, scores: dict[str, Column]) -> dict[str, Column]:
     change("COMPENDIUM", F.size(titles) < 2, -0.80)
     change("GAZETTE_ACT", gazette & ~sections, -0.25)
     change("BARE_ACT", search(head, ACT_TITLE) & ~chapters & ~parts, -0.25)
-    change("SCHEDULE_RULES", search(head, r"(?m)^THE\s+[A-Z][A-Z\s,'\-]+RULES,?\s+\d{4}") & ~rule_lines & ~orders, -0.25)
+    change("SCHEDULE_RULES", search(head, RULES_TITLE) & ~rule_lines & ~orders, -0.25)
     change("GAZETTE_ACT", gazette & search(text, ENACTED) & sections, 0.20)
     change("CODIFIED_ACT", notes & chapters, 0.20)
     change("CODIFIED_ACT", notes & ~chapters, 0.06)
     change("SCHEDULE_RULES", search(text, IN_EXERCISE), 0.12)
-    change("SCHEDULE_RULES", search(tail, r"(?:SCHEDULE|FORM\s+[A-Z\d]|ANNEXURE|APPENDIX)") & (rule_lines | orders), 0.12)
+    change("SCHEDULE_RULES", search(tail, FORMS) & (rule_lines | orders), 0.12)
     change("BARE_ACT", chapters & sections & ~notes & ~gazette, 0.06)
     return s
 

@@ -194,7 +194,12 @@ def expansion_union(spark, sf_dir):
     return retrieve.union_expansions(ranked)
 
 
-@query("v9_rerank")
+@query("v9_rerank", f"""WITH {_BM25},
+w AS (SELECT item_id AS qid, text AS question, list_distinct({_TOKENS.format("text")}) AS qw FROM benchmark), d AS (SELECT doc_id AS chunk_id, text, list_distinct({_TOKENS.format("text")}) AS dw FROM documents),
+s AS (SELECT l.qid, l.rank, question, d.text, len(list_intersect(qw, dw)) AS hits FROM lexical l JOIN w USING (qid) JOIN d USING (chunk_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, rank) AS place FROM s)
+SELECT w.qid, count(r.qid)::INT AS n_context, (any_value(length('Answer from the context only.') + 2 + 2 + length('Question: ') + length(w.question)) + coalesce(sum(length(r.text)) + 2 * (count(r.qid) - 1), 0))::INT AS prompt_chars
+FROM w LEFT JOIN r ON r.qid = w.qid AND place <= 5 GROUP BY w.qid""")
 def reranked(spark, sf_dir):
     """Rerank the 20 lexical results by a pluggable scorer, stuff the five best into a prompt."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
@@ -419,9 +424,9 @@ def _types_sql() -> str:
             profile = f"CASE WHEN {' OR '.join(has(p) for p in own['anti'])} THEN 0.0 ELSE {profile} END"
         score[t] = f"CASE WHEN {score[t]} < 0.10 THEN greatest({score[t]}, 0.5 * {profile}) ELSE {score[t]} END"
     facts = {
-        "gazette": has(detect.GAZETTE), "sections": exactly(detect.SECTION_LINE), "rule_lines": has(r"(?m)^Rule\s+\d+"), "chapters": has(detect.CHAPTER_LINE), "parts": has(detect.PART_LINE), "notes": exactly(detect.ANNOTATION),
-        "orders": exactly(detect.ORDER_LINE), "enacted": has(detect.ENACTED), "act_title": has(detect.ACT_TITLE), "rules_title": has(r"(?m)^THE\s+[A-Z][A-Z\s,'\-]+RULES,?\s+\d{4}"), "exercise": has(detect.IN_EXERCISE),
-        "forms": has(r"(?:SCHEDULE|FORM\s+[A-Z\d]|ANNEXURE|APPENDIX)"),
+        "gazette": has(detect.GAZETTE), "sections": exactly(detect.SECTION_LINE), "rule_lines": has(detect.RULE_LINE), "chapters": has(detect.CHAPTER_LINE), "parts": has(detect.PART_LINE), "notes": exactly(detect.ANNOTATION),
+        "orders": exactly(detect.ORDER_LINE), "enacted": has(detect.ENACTED), "act_title": has(detect.ACT_TITLE), "rules_title": has(detect.RULES_TITLE), "exercise": has(detect.IN_EXERCISE),
+        "forms": has(detect.FORMS),
         "titles": "len(list_distinct(list_transform(regexp_extract_all(text, '(?im)" + detect.ACT_OR_CODE_TITLE.replace("(?m)", "").replace("'", "''") + "'), lambda x: upper(trim(x)))))",
     }
     changes = [

@@ -111,6 +111,40 @@ def test_scores_of_long_texts(spark, long_docs, monkeypatch):
     assert len(kinds) >= 3
 
 
+def plain_pattern(text, kind, has_orders):
+    """The best section pattern of a type: matches in the first 15000 characters, how evenly their numbers rise, and a bonus for the first two."""
+    pool = [(p, (20.0, 10.0, 0.0, 0.0)[i], True) for i, p in enumerate(detect.POOLS[kind])]
+    if detect.RULE_PATTERN not in detect.POOLS[kind]:
+        pool.insert(0, (detect.RULE_PATTERN, 20.0, has_orders))
+    best = None
+    for p, bonus, wanted in pool:
+        found = list(re.finditer(p, text[:15000]))
+        smooth = 0.5
+        if "(\\d" in p and len(found) > 2:
+            numbers = [int(re.match(r"\d+", m.group(1)).group()) for m in found]
+            smooth = sum(b >= a for a, b in zip(numbers, numbers[1:], strict=False)) / (len(numbers) - 1)
+        score = (len(found) * (0.6 + 0.4 * smooth) if 5 <= len(found) <= 500 else 0.0) + bonus if wanted else -1.0
+        if best is None or score > best[0]:
+            best = (score, p)
+    return best[1]
+
+
+def test_section_patterns(spark):
+    r, rows = random.Random(3), []
+    for i in range(60):
+        kind = r.choice([*detect.POOLS])
+        heads = ["\n{n}. Of courts", "\n[{n}. Left out]", "\n  *[{n}A. (1) words", "\nRule {n}. words", "\n{n}.Words", "\n3[{n}. Put in"]
+        own, n, body = r.sample(heads, r.randrange(1, 4)), 0, "ORDER II\n" if i % 3 == 0 else ""
+        for _ in range(r.randrange(0, 120)):
+            n = max(1, n + r.choice([1, 1, 1, 2, -3]))
+            body += r.choice(own).format(n=n) + " and more words of it" * r.randrange(1, 9)
+        rows.append((i, kind, body, bool(re.search(r"\bORDER\s+[IVXLCDM]+\b", body))))
+    df = spark.createDataFrame(rows, "id long, kind string, text string, orders boolean")
+    got = {g["id"]: g["p"] for g in df.select("id", detect.section_pattern(F.col("text"), F.col("kind"), F.col("orders")).alias("p")).collect()}
+    want = {i: plain_pattern(t, k, o) for i, k, t, o in rows}
+    assert got == want and len(set(want.values())) >= 3
+
+
 def test_segments_that_begin_with_the_text(spark):
     acts = ["THE ROADS ACT, 1990\n1. One.", "THE LAND, AND WATER ACT 1991\n2. Two.", "THE COURTS ACT, 1992\nend"]
     docs = spark.createDataFrame([(1, "\n" + "\n".join(acts)), (2, "before\n" + "\n".join(acts[:2])), (3, acts[0] + "\n" + acts[1]), (4, "none"), (5, None)], "doc_id long, text string")
