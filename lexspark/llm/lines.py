@@ -16,11 +16,11 @@ the lines: each window of ``window_words`` words that stands earlier in the corp
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ class Lines:
         end = np.flatnonzero(data == 10)
         start = np.concatenate([[0], end[:-1] + 1])
         whole = data.tobytes()
-        digests = [hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        digests = [xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         self.hashes = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
         self.words = np.bincount(np.searchsorted(start, word_starts, "right") - 1, minlength=len(start))
         self.first = np.searchsorted(start, text_bounds(texts))
@@ -122,9 +122,10 @@ def mark(docs: DataFrame, gram_words: int, window_words: int) -> DataFrame:
 def repeated_runs(marked: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, runs array<struct<first, end>>) of the documents that repeat lines: deleted lines, as disjoint runs [first, end)."""
     each = marked.select("doc_id", F.explode(F.arrays_zip("fp", "fp2", "line")).alias("m")).select("doc_id", "m.*")
-    first = each.groupBy("fp", "fp2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = each.join(first, ["fp", "fp2"]).where(F.struct("doc_id", "line") > F.col("first"))
-    later = later.groupBy("doc_id", F.col("first.doc_id").alias("origin")).agg(F.collect_list(F.struct(F.col("line").alias("i"), F.col("first.line").alias("j"))).alias("marks"))
+    first = each.groupBy("fp", "fp2").agg(F.min(place_of("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = each.join(first, ["fp", "fp2"]).where(place_of("doc_id", "line") > F.col("first")).withColumn("j", F.pmod("first", F.lit(1 << 32).cast("decimal(10,0)")).cast("int"))
+    later = later.withColumn("origin", ((F.col("first") - F.col("j")) / F.lit(1 << 32).cast("decimal(10,0)")).cast("long"))
+    later = later.groupBy("doc_id", "origin").agg(F.collect_list(F.struct(F.col("line").alias("i"), "j")).alias("marks"))
     own = marked.select("doc_id", F.col("hashes").alias("own"))
     other = marked.select(F.col("doc_id").alias("origin"), F.col("hashes").alias("other"))
     pairs = scratch.store(later, "line-matches").join(own, "doc_id").join(other, "origin")
@@ -210,11 +211,18 @@ def word_stretches(spans: WordSpans, gram_words: int, window_words: int) -> tupl
     return own[start], {"at": start - spans.first[own[start]], "n": end - start, "gram": least[start].view(np.int64), **spans.keys(start, end - 1 + window_words)}
 
 
+def place_of(doc_id: str, at: str):
+    """Document and position as one number, so that the first place is a minimum that is kept by hashing: doc_id * 2**32 + at."""
+    return F.col(doc_id).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(at).cast("decimal(10,0)")
+
+
 def earlier(rows: DataFrame, words: int) -> DataFrame:
-    """``rows`` (doc_id, at, k1, k2) with ``gone``: whether equal keys stand earlier, in the same document ``words`` words earlier at least."""
-    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    apart = (F.col("first.doc_id") < F.col("doc_id")) | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.at") + words <= F.col("at")))
-    return rows.join(first, ["k1", "k2"], "left").withColumn("gone", F.coalesce(apart, F.lit(False)))
+    """``rows`` (doc_id, at, k1, k2) with ``gone``: whether equal keys stand earlier, in the same document ``words`` words earlier at least.
+
+    Positions are under 2**31, so places of different documents lie further apart than any window is long.
+    """
+    first = rows.groupBy("k1", "k2").agg(F.min(place_of("doc_id", "at")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return rows.join(first, ["k1", "k2"], "left").withColumn("gone", F.coalesce(place_of("doc_id", "at") - F.col("_first") >= words, F.lit(False))).drop("_first")
 
 
 def repeated_words(docs: DataFrame, marked: DataFrame, scratch: Scratch, gram_words: int = 20, window_words: int = 50) -> DataFrame:

@@ -326,6 +326,16 @@ def test_lines_and_words_that_only_a_polynomial_takes_as_equal(spark):
     assert alone.where("kept").count() == 2
 
 
+def test_first_places_of_any_ids(spark):
+    """The least document and position, with ids at the ends of their range."""
+    ids = [-(2**63), -(2**40) - 1, -1, 0, 1, 2**60 + 1, 2**63 - 1]
+    r = random.Random(4)
+    rows = [(i, r.randrange(2**31 - 100), k, k) for k in range(40) for i in r.sample(ids, r.randrange(1, 5)) for _ in range(r.randrange(1, 4))]
+    got = collections.Counter((g["doc_id"], g["at"], g["k1"], g["gone"]) for g in lines.earlier(spark.createDataFrame(rows, "doc_id long, at int, k1 long, k2 long"), 50).collect())
+    first = {k: min((d, a) for d, a, x, _ in rows if x == k) for k in range(40)}
+    assert got == collections.Counter((d, a, k, first[k][0] < d or (first[k][0] == d and first[k][1] + 50 <= a)) for d, a, k, _ in rows)
+
+
 def test_lines_with_clashing_columns(spark):
     same = " ".join(words(60, 7))
     docs = documents(spark, [(1, same), (2, same + "\nmore of it")]).selectExpr("*", "7 AS runs", "8 AS spans", "9 AS found", "10 AS `row`", "11 AS cut", "12 AS `a.b`")
