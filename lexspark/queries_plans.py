@@ -33,7 +33,7 @@ WITH i AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, CASE WHEN l_orderkey
 o AS (SELECT doc_id, count(*) AS items, count(DISTINCT number) AS kinds, count_if(trim(content) <> '') AS usable FROM i GROUP BY doc_id),
 r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no array' WHEN doc_id % 11 = 1 THEN 'not JSON' WHEN items < 3 THEN 'too few items' WHEN kinds < greatest(1, items // 2) THEN 'repeated numbers' WHEN usable < 3 THEN 'too few usable items' END AS reason FROM o)
 SELECT doc_id, reason, NULL::INT AS chunk_index, NULL AS section_number, NULL AS text FROM r WHERE reason IS NOT NULL
-UNION ALL SELECT doc_id, NULL, place, number, '[Act] Section ' || number || ' — ' || title || chr(10) || content FROM (SELECT i.*, reason, row_number() OVER (PARTITION BY doc_id ORDER BY n, number, content)::INT AS place FROM i JOIN r USING (doc_id)) WHERE reason IS NULL AND trim(content) <> ''""")
+UNION ALL SELECT doc_id, NULL, place, number, '[Act] Section ' || number || ' — ' || title || chr(10) || content FROM (SELECT i.*, reason, row_number() OVER (PARTITION BY doc_id ORDER BY n, number, content, title)::INT AS place FROM i JOIN r USING (doc_id)) WHERE reason IS NULL AND trim(content) <> ''""")
 def model_replies(spark, sf_dir):
     """A model's lists of sections, checked and made into chunks; broken ones by their reasons."""
     n, blank = F.col("l_linenumber"), F.lit(None).cast("string")
