@@ -512,8 +512,8 @@ def split_documents(spark, sf_dir):
 
 @query("p16_generic_chunks")
 def generic(spark, sf_dir):
-    """Plain windows, never none."""
-    return split.generic_chunks(table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", F.length("text").alias("chars"))
+    """Plain windows under their title, never none."""
+    return split.generic_chunks(table(spark, sf_dir, "documents").withColumn("doc_title", F.col("source"))).select("doc_id", "chunk_index", F.length("text").alias("chars"))
 
 
 @query("p19_ingest")
