@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +94,7 @@ FEATURES = {
     "has_schedules": r"(?i)(THE FIRST SCHEDULE|THE SECOND SCHEDULE|SCHEDULE [IVXLCDM]|THE SCHEDULE)",
     "has_definitions": r"(?is)\bmeans\b.{0,200}?\binclude",
 }
+FEATURE_WORDS = {"has_chapters": "CHAPTER", "has_parts": "PART", "has_orders": "ORDER", "has_schedules": "SCHEDULE", "has_definitions": "MEANS"}  # in every text with a match
 SECTION_COUNT = r"\n\s*\d{1,3}[A-Z]?\.\s"
 MERGE = (0.35, 0.45, 0.20)
 SMALL_DOCUMENT = 12_000
@@ -106,6 +109,39 @@ def exact(text: Column, pattern: str) -> Column:
     return text.rlike("(?md)" + pattern.replace("(?m)", ""))
 
 
+def needed(pattern: str) -> str:
+    """A run of characters, in capitals, that every text with a match holds in some case; "" where none is plain to see.
+
+    Classes, groups and escapes but those of punctuation end a run, and what may be missing is no part of one.
+    """
+    plain = re.sub(r"\(\?[a-z]+\)", "", pattern)
+    plain = re.sub(r"\[(?:\\.|[^\]\\])*\]", "\n", re.sub(r"\\([.(\[\])*])", lambda m: chr(0xE000 + ord(m[1])), plain))
+    while (flat := re.sub(r"\([^()]*\)", "\n", plain)) != plain:
+        plain = flat
+    plain = re.sub(r"\\.|.(?=[?*{])", "\n", plain)
+    runs = re.findall(r"[A-Za-z\ue000-\ue0ff ]+", "" if "|" in plain else plain)
+    return max(("".join(chr(ord(c) - 0xE000) if c >= "\ue000" else c for c in r).upper() for r in runs), key=len, default="")
+
+
+def hits(text: Column, patterns: Sequence[tuple[str, bool]]) -> Column:
+    """array<boolean>: which of (pattern, whether case counts) occur. Each is looked for once, and only in texts that hold its needed characters.
+
+    As a lambda's body it is not compiled into one method, which would be too large for the virtual machine's compiler.
+    """
+
+    def occurs(x: Column, pattern: str, cased: bool) -> Column:
+        found = (exact if cased else search)(x["text"], pattern)
+        return F.contains(x["upper"], F.lit(word)) & found if (word := needed(pattern)) else found
+
+    one = F.array(F.struct(text.alias("text"), F.upper(text).alias("upper")))
+    return F.get(F.transform(one, lambda x: F.array(*[occurs(x, p, cased) for p, cased in patterns])), F.lit(0))
+
+
+def looked_up(found: str, patterns: Sequence[tuple[str, bool]]) -> Callable[..., Column]:
+    """Function of a pattern (and whether case counts) to its place in the column ``found`` of ``hits``."""
+    return lambda pattern, cased=False: F.get(found, F.lit(patterns.index((pattern, cased))))
+
+
 # ---- windows ------------------------------------------------------------------------------------------------------
 
 
@@ -154,39 +190,62 @@ def rules() -> list[tuple[str, str, str, float]]:
     return [(t, kind, m if isinstance(m, str) else m[0], 1.0 if isinstance(m, str) else m[1]) for t, kinds in TEMPLATES.items() for kind, ms in kinds.items() for m in ms]
 
 
-def template_score(text: Column, doc_type: str) -> Column:
-    """Mean of the three weighted hit shares; 0 if an anti-marker occurs. Every window is scored with all three kinds."""
+def markers() -> list[tuple[str, bool]]:
+    """The distinct patterns of all templates, for ``hits``."""
+    return list(dict.fromkeys((p, False) for _, _, p, _ in rules()))
+
+
+def template_score(text: Column | str, doc_type: str, found: Callable[..., Column] | None = None) -> Column:
+    """Mean of the three weighted hit shares; 0 if an anti-marker occurs. Every window is scored with all three kinds. ``found`` knows which patterns occur."""
+    found = found or (lambda p: search(text, p))
     def share(kind: str) -> Column:
         own = [(p, w) for t, k, p, w in rules() if t == doc_type and k == kind]
-        return reduce(lambda a, b: a + b, [F.when(search(text, p), F.lit(w)).otherwise(0.0) for p, w in own]) / sum(w for _, w in own)
+        return reduce(lambda a, b: a + b, [F.when(found(p), F.lit(w)).otherwise(0.0) for p, w in own]) / sum(w for _, w in own)
 
     mean = (share("title") + share("structure") + share("tail")) / 3
-    anti = [search(text, p) for t, k, p, _ in rules() if t == doc_type and k == "anti"]
+    anti = [found(p) for t, k, p, _ in rules() if t == doc_type and k == "anti"]
     return F.when(reduce(lambda a, b: a | b, anti), F.lit(0.0)).otherwise(mean) if anti else mean
 
 
-def profile_score(text: Column, doc_type: str) -> Column:
+def with_template_scores(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with a score for each type, named by it, of the window ``text``."""
+    rows = docs.withColumn("_hits", hits(F.col(text), markers()))
+    return rows.withColumns({t: template_score(text, t, looked_up("_hits", markers())) for t in TYPES}).drop("_hits")
+
+
+SAMPLE_SIGNS = list(dict.fromkeys((p, False) for own in PROFILES.values() for p in (*own["signs"], *own["anti"])))
+TEXT_SIGNS = list(
+    dict.fromkeys(
+        [(p, False) for own in PROFILES.values() for p in own["whole"]]
+        + [(p, False) for p in (GAZETTE, RULE_LINE, CHAPTER_LINE, PART_LINE, ENACTED, IN_EXERCISE)]
+        + [(p, True) for p in (SECTION_LINE, ANNOTATION, ORDER_LINE)]
+    )
+)
+
+
+def profile_score(doc_type: str, in_sample: Callable[..., Column], in_text: Callable[..., Column]) -> Column:
     """Share of the type's signs in the first 5000 characters, with its bonus at most 1; 0 without a sign or with an anti-sign."""
-    own, sample = PROFILES[doc_type], F.substring(text, 1, 5000)
-    n = reduce(lambda a, b: a + b, [search(sample, p).cast("int") for p in own["signs"]])
+    own = PROFILES[doc_type]
+    n = reduce(lambda a, b: a + b, [in_sample(p).cast("int") for p in own["signs"]])
     score = n / len(own["signs"])
     if own["whole"]:
-        score = score + F.when(reduce(lambda a, b: a | b, [search(text, p) for p in own["whole"]]), F.lit(own["bonus"])).otherwise(0.0)
+        score = score + F.when(reduce(lambda a, b: a | b, [in_text(p) for p in own["whole"]]), F.lit(own["bonus"])).otherwise(0.0)
     score = F.when(n > 0, F.least(F.lit(1.0), score)).otherwise(0.0)
-    return F.when(reduce(lambda a, b: a | b, [search(sample, p) for p in own["anti"]]), F.lit(0.0)).otherwise(score) if own["anti"] else score
+    return F.when(reduce(lambda a, b: a | b, [in_sample(p) for p in own["anti"]]), F.lit(0.0)).otherwise(score) if own["anti"] else score
 
 
 def features(text: Column) -> dict[str, Column]:
-    signs = {name: text.rlike(pattern) for name, pattern in FEATURES.items()}
+    upper = F.upper(text)
+    signs = {name: F.contains(upper, F.lit(FEATURE_WORDS[name])) & text.rlike(pattern) for name, pattern in FEATURES.items()}
     return signs | {"section_count": F.regexp_count(text, F.lit(SECTION_COUNT)), "char_count": F.length(text)}
 
 
 def adjusted(text: Column, scores: dict[str, Column]) -> dict[str, Column]:
-    """Scores after penalties and boosts, which are clamped in this order."""
-    s = dict(scores)
+    """Scores after penalties and boosts, which are clamped in this order. The column _text has the ``hits`` of TEXT_SIGNS."""
+    s, found = dict(scores), looked_up("_text", TEXT_SIGNS)
     head, tail = F.substring(text, 1, 8000), F.substr(text, F.greatest(F.length(text) - 8000, F.lit(0)) + 1, F.lit(8000))
-    gazette, sections, rule_lines = search(text, GAZETTE), exact(text, SECTION_LINE), search(text, RULE_LINE)
-    chapters, parts, notes, orders = search(text, CHAPTER_LINE), search(text, PART_LINE), exact(text, ANNOTATION), exact(text, ORDER_LINE)
+    gazette, sections, rule_lines = found(GAZETTE), found(SECTION_LINE, True), found(RULE_LINE)
+    chapters, parts, notes, orders = found(CHAPTER_LINE), found(PART_LINE), found(ANNOTATION, True), found(ORDER_LINE, True)
     titles = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?imd)" + ACT_OR_CODE_TITLE.replace("(?m)", "")), F.lit(0)), lambda x: F.upper(F.trim(x))))
 
     def change(name: str, when: Column, by: float) -> None:
@@ -194,13 +253,13 @@ def adjusted(text: Column, scores: dict[str, Column]) -> dict[str, Column]:
 
     change("COMPENDIUM", F.size(titles) < 2, -0.80)
     change("GAZETTE_ACT", gazette & ~sections, -0.25)
-    change("BARE_ACT", search(head, ACT_TITLE) & ~chapters & ~parts, -0.25)
-    change("SCHEDULE_RULES", search(head, RULES_TITLE) & ~rule_lines & ~orders, -0.25)
-    change("GAZETTE_ACT", gazette & search(text, ENACTED) & sections, 0.20)
+    change("BARE_ACT", ~chapters & ~parts & search(head, ACT_TITLE), -0.25)
+    change("SCHEDULE_RULES", ~rule_lines & ~orders & F.contains(F.upper(head), F.lit("RULES")) & search(head, RULES_TITLE), -0.25)
+    change("GAZETTE_ACT", gazette & found(ENACTED) & sections, 0.20)
     change("CODIFIED_ACT", notes & chapters, 0.20)
     change("CODIFIED_ACT", notes & ~chapters, 0.06)
-    change("SCHEDULE_RULES", search(text, IN_EXERCISE), 0.12)
-    change("SCHEDULE_RULES", search(tail, FORMS) & (rule_lines | orders), 0.12)
+    change("SCHEDULE_RULES", found(IN_EXERCISE), 0.12)
+    change("SCHEDULE_RULES", (rule_lines | orders) & search(tail, FORMS), 0.12)
     change("BARE_ACT", chapters & sections & ~notes & ~gazette, 0.06)
     return s
 
@@ -210,19 +269,27 @@ def detect(docs: DataFrame) -> DataFrame:
 
     Ties go to the earlier type in TYPES; a best score of 0 is GENERIC.
     """
-    rows = docs.withColumn("_w1", title_window(F.col("text"))).withColumn("_w2", densest_window(F.col("text"))).withColumn("_w3", last_window(F.col("text")))
+    # only the first window counts in small documents; what is looked for is a column for each window, so that no pattern is tried twice
+    large, known = F.length("text") >= SMALL_DOCUMENT, markers()
+    rows = docs.withColumns({"_w1": title_window(F.col("text")), "_w2": F.when(large, densest_window(F.col("text"))), "_w3": F.when(large, last_window(F.col("text")))})
+    rows = rows.withColumns({"_h1": hits(F.col("_w1"), known), "_h2": F.when(large, hits(F.col("_w2"), known)), "_h3": F.when(large, hits(F.col("_w3"), known))})
+    rows = rows.withColumns({"_sample": hits(F.substring("text", 1, 5000), SAMPLE_SIGNS), "_text": hits(F.col("text"), TEXT_SIGNS)})
+    in_sample, in_text = looked_up("_sample", SAMPLE_SIGNS), looked_up("_text", TEXT_SIGNS)
+    scores = {}
     for t in TYPES:
-        one, two, three = (template_score(F.col(w), t) for w in ("_w1", "_w2", "_w3"))
-        rows = rows.withColumn(f"_s_{t}", F.when(F.length("text") < SMALL_DOCUMENT, one).otherwise(MERGE[0] * one + MERGE[1] * two + MERGE[2] * three))
-        if t in PROFILES:  # a score under 0.10 is raised to half the profile's
-            rows = rows.withColumn(f"_s_{t}", F.when(F.col(f"_s_{t}") < 0.10, F.greatest(F.col(f"_s_{t}"), 0.5 * profile_score(F.col("text"), t))).otherwise(F.col(f"_s_{t}")))
-    final = adjusted(F.col("text"), {t: F.col(f"_s_{t}") for t in TYPES})
+        one, two, three = (template_score(w, t, looked_up(h, known)) for w, h in (("_w1", "_h1"), ("_w2", "_h2"), ("_w3", "_h3")))
+        scores[f"_s_{t}"] = F.when(F.length("text") < SMALL_DOCUMENT, one).otherwise(MERGE[0] * one + MERGE[1] * two + MERGE[2] * three)
+    rows = rows.withColumns(scores)
+    # a score under 0.10 is raised to half the profile's
+    rows = rows.withColumns({f"_s_{t}": F.when(F.col(f"_s_{t}") < 0.10, F.greatest(F.col(f"_s_{t}"), 0.5 * profile_score(t, in_sample, in_text))).otherwise(F.col(f"_s_{t}")) for t in PROFILES})
+    for t, score in adjusted(F.col("text"), {t: F.col(f"_s_{t}") for t in TYPES}).items():
+        rows = rows.withColumn(f"_f_{t}", score)
+    final = {t: F.col(f"_f_{t}") for t in TYPES}
     best = F.array_max(F.array(*[F.struct(final[t].alias("score"), F.lit(-i).alias("place"), F.lit(t).alias("type")) for i, t in enumerate(TYPES)]))
     rows = rows.withColumn("_best", best)
     out = rows.withColumn("confidence", F.least(F.col("_best.score"), F.lit(1.0))).withColumn("doc_type", F.when(F.col("_best.score") > 0, F.col("_best.type")).otherwise("GENERIC"))
-    for name, column in features(F.col("text")).items():
-        out = out.withColumn(name, column)
-    return out.drop("_best", "_w1", "_w2", "_w3", *[f"_s_{t}" for t in TYPES])
+    out = out.withColumns(features(F.col("text")))
+    return out.drop("_best", "_w1", "_w2", "_w3", "_h1", "_h2", "_h3", "_sample", "_text", *[f"{k}_{t}" for t in TYPES for k in ("_s", "_f")])
 
 
 def strategy(confidence: Column) -> Column:
@@ -240,19 +307,22 @@ def segments(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "segment_index", document_title(F.col("text")).alias("title"), "text")
 
 
-def pattern_scores(text: Column, doc_type: str, has_orders: Column) -> list[tuple[str, Column]]:
-    """Candidate section patterns of a type with their scores: count and continuity of numbers in a sample, and a bonus by place."""
-    sample = F.substring(text, 1, 15000)
+def _rises(numbers: Column) -> Column:
+    """The places (from 2) of numbers that are not under the one before."""
+    return F.filter(F.sequence(F.lit(2), F.greatest(F.size(numbers), F.lit(2))), lambda i: F.coalesce(F.get(numbers, i - 1) >= F.get(numbers, i - 2), F.lit(False)))
+
+
+def pattern_scores(numbers: dict[str, Column], doc_type: str, has_orders: Column) -> list[tuple[str, Column]]:
+    """Candidate section patterns of a type with their scores: count and continuity of the numbers found by each in a sample, and a bonus by place."""
     pool = [(p, (20.0, 10.0)[i] if i < 2 else 0.0, F.lit(True)) for i, p in enumerate(POOLS[doc_type])]
     if RULE_PATTERN not in POOLS[doc_type]:
         pool.insert(0, (RULE_PATTERN, 20.0, has_orders))
     out = []
     for pattern, bonus, wanted in pool:
-        n = F.regexp_count(sample, F.lit(pattern))
+        found = numbers[pattern]
+        n = F.size(found)
         if "(\\d" in pattern:
-            numbers = F.transform(F.regexp_extract_all(sample, F.lit(pattern), F.lit(1)), lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("int"))
-            rises = F.filter(F.sequence(F.lit(2), F.greatest(F.size(numbers), F.lit(2))), lambda i: F.coalesce(F.get(numbers, i - 1) >= F.get(numbers, i - 2), F.lit(False)))
-            smooth = F.when(F.size(numbers) > 2, F.size(rises) / (F.size(numbers) - 1)).otherwise(0.5)
+            smooth = F.when(n > 2, F.size(_rises(found)) / (n - 1)).otherwise(0.5)
         else:
             smooth = F.lit(0.5)
         base = F.when(n.between(5, 500), n * (0.6 + 0.4 * smooth)).otherwise(0.0)
@@ -260,12 +330,38 @@ def pattern_scores(text: Column, doc_type: str, has_orders: Column) -> list[tupl
     return out
 
 
-def section_pattern(text: Column, doc_type: Column, has_orders: Column) -> Column:
-    """The best pattern for each document, the earlier of equal ones."""
+def numbers_found(text: Column, doc_type: Column, has_orders: Column) -> dict[str, Column]:
+    """The numbers that each section pattern finds in a sample, null where the document's type does not ask for the pattern."""
+    sample, out = F.substring(text, 1, 15000), {}
+    for pattern in dict.fromkeys(p for pool in (*POOLS.values(), (RULE_PATTERN,)) for p in pool):
+        numbered = "(\\d" in pattern
+        found = F.regexp_extract_all(sample, F.lit(pattern), F.lit(int(numbered)))
+        if numbered:
+            found = F.transform(found, lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("int"))
+        asked = doc_type.isin([t for t, pool in POOLS.items() if pattern in pool])
+        out[pattern] = F.when(asked | has_orders if pattern == RULE_PATTERN else asked, found)
+    return out
+
+
+def best_pattern(numbers: dict[str, Column], doc_type: Column, has_orders: Column) -> Column:
+    """The best pattern for each document by the numbers found, the earlier of equal ones."""
     def best(t: str) -> Column:
-        return F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(p).alias("pattern")) for i, (p, s) in enumerate(pattern_scores(text, t, has_orders))]))["pattern"]
+        return F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(p).alias("pattern")) for i, (p, s) in enumerate(pattern_scores(numbers, t, has_orders))]))["pattern"]
 
     out = best("GENERIC")
     for t in TYPES:
         out = F.when(doc_type == t, best(t)).otherwise(out)
     return out
+
+
+def section_pattern(text: Column, doc_type: Column, has_orders: Column) -> Column:
+    """The best pattern for each document, as one expression."""
+    return best_pattern(numbers_found(text, doc_type, has_orders), doc_type, has_orders)
+
+
+def with_section_pattern(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, doc_type, has_orders) with the best ``section_pattern``. Numbers are columns, so that each pattern goes over a sample once."""
+    kind, orders = F.col("doc_type"), F.col("has_orders")
+    found = {p: (f"_numbers{i}", c) for i, (p, c) in enumerate(numbers_found(F.col("text"), kind, orders).items())}
+    rows = docs.withColumns(dict(found.values()))
+    return rows.withColumn("section_pattern", best_pattern({p: F.col(name) for p, (name, _) in found.items()}, kind, orders)).drop(*[name for name, _ in found.values()])

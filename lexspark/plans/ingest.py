@@ -36,8 +36,7 @@ def prepare(docs: DataFrame) -> DataFrame:
 
 def detected(docs: DataFrame) -> DataFrame:
     """With doc_type, confidence, features, strategy and section pattern."""
-    d = detect.detect(docs)
-    return d.withColumn("strategy", detect.strategy(F.col("confidence"))).withColumn("section_pattern", detect.section_pattern(F.col("text"), F.col("doc_type"), F.col("has_orders")))
+    return detect.with_section_pattern(detect.detect(docs).withColumn("strategy", detect.strategy(F.col("confidence"))))
 
 
 def best_pattern(docs: DataFrame) -> DataFrame:

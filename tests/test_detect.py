@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.operators import detect, parse
+from lexspark.plans import ingest
 
 LINES = [
     "THE GAZETTE OF INDIA", "MINISTRY OF LAW AND JUSTICE", "An Act to provide for roads", "THE LAND REVENUE ACT, 1967", "CHAPTER IV\nOF SUITS", "PART II\nGENERAL", "12. Whoever shall mean it", "3A. (1) A court",
@@ -179,3 +180,27 @@ def test_orders_of_a_schedule(spark):
     docs = spark.createDataFrame([(1, STATUTE, "Act", "CODIFIED_ACT")], "doc_id long, text string, doc_title string, doc_type string")
     got = [(r["type"], r["section_number"] or r["rule"], r["order"]) for r in parse.parse(docs, detect.SECTION_PATTERNS[1]).where("type <> 'raw'").orderBy("chunk_index").collect()]
     assert got == [("section", "1", None), ("section", "2", None), ("rule", "1", "ORDER I"), ("rule", "2", "ORDER I"), ("rule", "1", "ORDER II"), ("section", "2", None), ("section", "1", None)]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_pattern_is_looked_for_once(spark):
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 24))
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").where("doc_id > 0")
+    detected = plan_of(ingest.detected(docs))
+    most = 3 * len(detect.markers()) + len(detect.SAMPLE_SIGNS) + len(detect.TEXT_SIGNS) + 20
+    assert detected.upper().count("RLIKE") <= most
+    assert 0 < detected.count("regexp_extract_all(substring(") <= 5
+    assert plan_of(detect.with_template_scores(docs)).upper().count("RLIKE") <= len(detect.markers())
+
+
+def test_needed_characters(spark):
+    """Every match holds the needed characters; some patterns have none."""
+    texts = ["THE GAZETTE OF INDIA", "an act to", "\nThe Land Orders, 1990", "the land order 1990", "Form A", "[Subs. by", "a.o. 1950", "Short title extent and commencement", "12A. Of", "No. 3 of 1990", "Indian Penal code"]
+    for pattern, _ in detect.markers() + detect.SAMPLE_SIGNS + detect.TEXT_SIGNS:
+        for t in texts:
+            if re.search("(?im)" + pattern.replace("(?m)", ""), t):
+                assert detect.needed(pattern) in t.upper()
+    assert [detect.needed(p) for p in (r"a|bc", r"x?\d*", r"ab(c|d)efg?", r"w\.e\.f\.")] == ["", "", "AB", "W.E.F."]
