@@ -101,5 +101,8 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "5
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions by user: what comes a ``gap`` or more after the event before it begins a new one. ``session_window`` joins windows that touch, so its gap is a microsecond less."""
     marked = events.withWatermark("ts", late) if events.isStreaming else events
-    return marked.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+    found = marked.groupBy("user_id", F.session_window("ts", f"{gap} -1 microseconds").alias("w")).agg(F.count("*").alias("n"))
+    window = F.struct(F.col("w.start").alias("start"), (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end"))
+    return found.select("user_id", window.alias("session_window"), "n")

@@ -148,3 +148,9 @@ def test_replayed_batches_add_nothing(spark, tmp_path):
     got = [r["chunk_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == sorted(f"c{j}" for j in range(40))
     assert stream.lastProgress["stateOperators"][0]["numRowsTotal"] <= 20
+
+
+def test_sessions_end_where_the_gap_is_full(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 1800), (2, 0), (2, 1799), (2, 3600)], "user_id long, t long").select("user_id", F.timestamp_seconds("t").alias("ts"))
+    got = jobs.sessions(rows).select("user_id", F.unix_timestamp("session_window.start"), F.unix_timestamp("session_window.end"), "n").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1800, 1), (1, 1800, 3600, 1), (2, 0, 3599, 2), (2, 3600, 5400, 1)]
