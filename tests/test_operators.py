@@ -1,8 +1,10 @@
 """Hand-made fixtures with hand-derived results."""
 
 import collections
+import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -141,6 +143,32 @@ def test_bm25_pads_with_zero_scores(spark):
     assert [r["chunk_id"] for r in got] == [1, 2, 3] and got[0]["score"] > 0 and got[1]["score"] == 0
 
 
+def test_bm25_by_blocks_is_that_of_pairs(spark):
+    """Against scores of single pairs, with parts, groups and blocks of a few rows, copies and more ties than places; no (query, chunk) pair is shuffled."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["the", "of", "law", "act", *(f"w{j}" for j in range(30))], [9, 7, 3, 3, *[1] * 30], k=rng.randint(0, 12))) for _ in range(60)]
+    texts += ["the the law w1"] * 50
+    asked = [" ".join(rng.choices(["the", "the", "act", "zzz", *(f"w{j}" for j in range(30))], k=rng.randint(1, 6))) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid int, question string")
+    index = retrieve.build_index(docs)
+    top = retrieve.bm25_top(index, queries, 7, part_terms=20)
+    words = [t.split() for t in texts]
+    mean, df = sum(map(len, words)) / len(words), collections.Counter(w for t in words for w in set(t))
+    raw = {w: math.log(len(words) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    low = 0.25 * sum(raw.values()) / len(raw)
+    idf = {w: low if v < 0 else v for w, v in raw.items()}
+    want = {}
+    for q, question in enumerate(asked):
+        scores = {i: sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in question.split() if w in t) for i, t in enumerate(words)}
+        best = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:7]
+        want |= {(q, r): (i, round(scores[i], 6)) for r, i in enumerate(best, 1)}
+    assert {(r["qid"], r["rank"]): (r["chunk_id"], round(r["score"], 6)) for r in top.collect()} == want
+    one = (pa.array([0]), pa.array([["the"]]), pa.array([[1.0]]))
+    small = retrieve.best_by_terms(*one, mean, 7, 9, cells=16)(iter([pa.RecordBatch.from_arrays([pa.array(range(110)), pa.array([4] * 110), pa.array([["the"]] * 110)], names=["chunk_id", "length", "tokens"])]))
+    assert [r for b in small for r in b.column(1).to_pylist()] == list(range(7))
+
+
 def test_fusion_ties_and_weights(spark):
     q = spark.createDataFrame([(1, "what is section 5"), (2, "hello")], "qid int, question string")
     dense = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a")], "qid int, rank int, chunk_id string")
