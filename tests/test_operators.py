@@ -136,6 +136,15 @@ def test_quality(spark):
     assert quality.metrics(chunk_rows(spark, rows[:4])).first()["capture"] == pytest.approx(0.5)
 
 
+def test_quality_sorts_no_texts(spark):
+    """Texts stay in front of the shuffle; what is sorted behind it is numbers, short labels and digests."""
+    rows = chunk_rows(spark, [("1", None, "CHAPTER I", "P", "x", None, "text " * 40)])
+    plan = quality.metrics(rows)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("RepartitionByExpression")]
+    assert "text#" not in above and above.count("Window [") == 1
+    assert [quality.parts_for(n, 8) for n in (0, 2_000_000, 2_000_001)] == [8, 8, 9]
+
+
 def test_bm25_pads_with_zero_scores(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "gamma"), (4, None)], "chunk_id int, text string")
     asked = spark.createDataFrame([(9, "alpha")], "qid int, question string")
