@@ -548,3 +548,10 @@ def test_download_skips_what_is_there(spark, tmp_path):
     assert {r["name"]: r["status"] for r in urls.download(wanted, f"file://{tmp_path}/to").collect()} == {"a": "there", "b": "there", "c": "there", "lost": "failed"}
     assert {f.name: f.read_bytes()[:2] for f in (tmp_path / "to").iterdir()} == {"a.pdf": b"ol", "b.pdf": b"bb", "c.pdf": b"cc"}
     assert len(urls.ACTS) == 11 and all(u.startswith("https://") for u in urls.ACTS.values())
+
+
+def test_normalise_in_one_replacement(spark):
+    """All white space counts, at the ends as well; one pattern goes over the text."""
+    df = spark.createDataFrame([(t,) for t in (" A\t\tb C\x85", "　", "", "a b", "x \n y ", None)], "t string").select(text.normalise(F.col("t")).alias("n"))
+    assert [r["n"] for r in df.collect()] == ["a b c", "", "", "a b", "x y", None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
