@@ -555,3 +555,18 @@ def test_normalise_in_one_replacement(spark):
     df = spark.createDataFrame([(t,) for t in (" A\t\tb C\x85", "　", "", "a b", "x \n y ", None)], "t string").select(text.normalise(F.col("t")).alias("n"))
     assert [r["n"] for r in df.collect()] == ["a b c", "", "", "a b", "x y", None]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def test_parse_goes_over_each_block_once(spark):
+    """No join and one sort: what a block tells by itself is worked out once, and all running states stand over one order."""
+    docs = spark.createDataFrame([(1, "Act", "BARE_ACT", "THE ACT\n1. A head.\nWhoever does a thing shall be liable to it.\n")], "doc_id long, doc_title string, doc_type string, text string")
+    plan = parse.parse(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Sort [") == 1
+
+
+def test_strip_knows_all_white_space(spark):
+    """White space as Unicode has it, at both ends only."""
+    blank = [chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+    rows = spark.createDataFrame([(f"{b}{b}a{b}b{b}",) for b in (*blank, "\x1c", "​", "᠎")] + [(" \n ",), ("",), (None,)], "t string")
+    old = F.regexp_replace("t", r"(?U)^\s+|\s+\z", "")
+    assert rows.where(~text.strip(F.col("t")).eqNullSafe(old)).isEmpty()
