@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import json_array, strip
+from ..functions.text import json_array, once, strip
 from ..operators.detect import densest_window
 from ..sources import nested
 from ..sources.tables import stage
@@ -44,23 +44,27 @@ def read_replies(answered: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Chunks: doc_id, chunk_index, section_number, section_title, text. A reply is rejected, with its reason, if it holds no array, if that is no JSON, if it has under
     three items, if its items have fewer distinct numbers than half of them, or if under three items are objects with content. All of this is done in the
-    JVM by one pass over the items; numbers are written as JSON has them.
+    JVM and inside a reply's row, which is read once and stored with its usable items; numbers are written as JSON has them.
     """
-    body = json_array(F.coalesce("reply", F.lit("")))
-    read = answered.select("doc_id", "doc_title", body.alias("body"), F.try_parse_json(body).alias("v"))
-    items = nested.elements(read.where(nested.kind(F.col("v")) == "array").withColumn("path", F.array().cast("array<bigint>")).drop("body"), "v")
-    items = items.where("v IS NOT NULL").withColumn("is_object", F.coalesce(nested.kind(F.col("v")) == "object", F.lit(False)))
-    named = lambda field, missing: F.when(F.col("is_object"), nested.text_of(F.col("v"), field, missing))
-    items = items.select("doc_id", "doc_title", (F.element_at("path", 1) + 1).cast("int").alias("chunk_index"), "is_object", named("section", "").alias("number"), named("section", "N/A").alias("section_number"), F.substring(named("title", ""), 1, LONGEST_TITLE).alias("section_title"), named("content", "").alias("content"))
-    items = stage(items, "items")
-    usable = F.col("is_object") & (strip(F.col("content")) != "")
-    counts = items.groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_object"), 1)).alias("n_objects"), F.countDistinct("number").alias("kinds"), F.count(F.when(usable, 1)).alias("n_usable"))
-    reason = F.when(F.col("body").isNull(), "no array").when(F.col("bad"), "not JSON").when(F.coalesce("n", F.lit(0)) < LEAST_ITEMS, "too few items")
-    reason = reason.when(F.col("kinds") < F.greatest(F.lit(1), F.floor(F.col("n_objects") / 2)), "repeated numbers").when(F.col("n_usable") < LEAST_ITEMS, "too few usable items")
-    judged = read.select("doc_id", "body", F.col("v").isNull().alias("bad")).join(counts, "doc_id", "left").select("doc_id", reason.alias("reason"))
+    read = answered.select("doc_id", "doc_title", json_array(F.coalesce("reply", F.lit(""))).alias("body")).withColumn("v", F.try_parse_json("body"))
+
+    def item(v: Column, place: Column) -> Column:
+        def fields(is_object: Column) -> Column:
+            known = lambda field, missing: F.when(is_object, nested.text_of(v, field, missing))
+            return F.struct((place + 1).cast("int").alias("chunk_index"), is_object.alias("is_object"), known("section", None).alias("number"), F.substring(known("title", ""), 1, LONGEST_TITLE).alias("section_title"), known("content", "").alias("content"))
+
+        return once(nested.is_object(v), fields)
+
+    read = read.withColumn("items", F.transform(F.try_variant_get("v", "$", "array<variant>"), item)).withColumn("bad", F.col("v").isNull()).drop("v")
+    read = read.withColumn("objects", F.filter("items", lambda x: x["is_object"])).withColumn("usable", F.filter("objects", lambda x: strip(x["content"]) != ""))
+    kinds = F.size(F.array_distinct(F.transform("objects", lambda x: F.coalesce(x["number"], F.lit("")))))
+    reason = F.when(F.col("body").isNull(), "no array").when(F.col("bad"), "not JSON").when(F.coalesce(F.size("items"), F.lit(0)) < LEAST_ITEMS, "too few items")
+    reason = reason.when(kinds < F.greatest(F.lit(1), F.floor(F.size("objects") / 2)), "repeated numbers").when(F.size("usable") < LEAST_ITEMS, "too few usable items")
+    judged = read.withColumn("reason", reason).select("doc_id", "doc_title", "reason", F.when(F.col("reason").isNull(), F.col("usable")).alias("items"))
+    judged = stage(judged, "replies-read")
+    good = judged.where("reason IS NULL").select("doc_id", "doc_title", F.explode("items").alias("i")).select("doc_id", "doc_title", "i.chunk_index", F.coalesce("i.number", F.lit("N/A")).alias("section_number"), "i.section_title", "i.content")
     text = F.concat(F.lit("["), F.coalesce("doc_title", F.lit("")), F.lit("] Section "), "section_number", F.lit(" — "), "section_title", F.lit("\n"), "content")
-    good = items.where(usable).join(judged.where("reason IS NULL").select("doc_id"), "doc_id", "left_semi")
-    return good.select("doc_id", "chunk_index", "section_number", "section_title", text.alias("text")), judged.where("reason IS NOT NULL")
+    return good.select("doc_id", "chunk_index", "section_number", "section_title", text.alias("text")), judged.where("reason IS NOT NULL").select("doc_id", "reason")
 
 
 def model_chunks(complete: Callable[[str], str]) -> Callable[[DataFrame], DataFrame]:

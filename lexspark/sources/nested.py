@@ -14,6 +14,10 @@ def kind(v: Column) -> Column:
     return F.when(of.startswith("ARRAY"), "array").when(of.startswith("OBJECT"), "object").when(of == "VOID", "null").otherwise(F.when(v.isNotNull(), "value"))
 
 
+def is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
 def objects(rows: DataFrame, column: str = "v") -> DataFrame:
     """The objects in the arrays of ``column`` (a variant), however deep these are nested, one a row; lists of numbers and the like are passed over.
 
@@ -39,10 +43,10 @@ def elements(rows: DataFrame, column: str) -> DataFrame:
     return spread.select(*others, F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"), F.col("value").alias(column))
 
 
-def text_of(v: Column, field: str, missing: str) -> Column:
+def text_of(v: Column, field: str, missing: str | None) -> Column:
     """A field's value as text; ``missing`` where there is none, and None for a null, as Python would write it."""
-    at = F.variant_get(v, f"$.{field}", "variant")
-    return F.when(at.isNull(), missing).when(F.is_variant_null(at), "None").otherwise(F.variant_get(v, f"$.{field}", "string"))
+    # as text, a null is null as well; only then is it looked for once more
+    return F.coalesce(F.variant_get(v, f"$.{field}", "string"), F.when(F.variant_get(v, f"$.{field}", "variant").isNull(), missing).otherwise("None"))
 
 
 def test_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -267,3 +267,11 @@ def test_conversations_by_last_message(spark):
     messages = spark.createDataFrame([("a", "2024-02-01"), ("a", "2023-01-01"), ("c", "2023-05-05")], "conv_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {r["conv_id"]: (str(r["updated_at"])[:10], r["place"]) for r in answer.touch(conv, messages).collect()}
     assert got == {"a": ("2024-02-01", 1), "b": ("2024-01-05", 2), "c": ("2024-01-02", 1)}
+
+
+def test_replies_are_read_inside_their_rows(spark):
+    """A reply and its items are one row: nothing is shuffled or joined, and the reply is read once for chunks and reasons."""
+    rows = spark.createDataFrame([(1, "Act", '[{"section": "1", "content": "a"}]')], "doc_id long, doc_title string, reply string")
+    for out in extract.read_replies(rows):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "parse_json" not in plan.lower()
