@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.tables import bound_batches
 
 # fixed values: separators by preference, schedule markers, least fragment
 LEGAL_SEPARATORS = ("\n\n", "\n\nCHAPTER ", "\n\nPART ", "\nSection ", "\nSec. ", "\nRule ", "\nORDER ", "\nSCHEDULE ", "\n    (", "\n(", ". ", "\n", " ", "")
@@ -100,6 +101,7 @@ def split_chunks(chunks: DataFrame, size: int = 800, overlap: int = 100) -> Data
 
     Texts of at most their size pass as they are; only longer ones go through Arrow.
     """
+    bound_batches(chunks.sparkSession)
     wanted = adaptive_size(F.col("text"), size)
     fits = F.coalesce(F.length("text") <= wanted, F.lit(True))
     long_ = merge_fragments(splitter(LEGAL_SEPARATORS, overlap)(F.col("text"), wanted))
@@ -121,6 +123,7 @@ def generic_chunks(docs: DataFrame, overlap: int = 100, by: tuple[str, ...] = ("
 
     Windows keep the separators that they begin with, inside. A document without anything but white space has one window of its first characters.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     pieces = splitter(PLAIN_SEPARATORS, overlap, keep=True)(text, generic_size(text))
     whole = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.substr(text, F.lit(1), generic_size(text))))

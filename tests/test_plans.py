@@ -275,3 +275,16 @@ def test_replies_are_read_inside_their_rows(spark):
     for out in extract.read_replies(rows):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "parse_json" not in plan.lower()
+
+
+@pytest.mark.parametrize("plan", [split.split_chunks, split.generic_chunks])
+def test_texts_go_to_python_in_small_batches(spark, plan):
+    """What Python holds does not grow with the table: a batch has 200 texts at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        docs = spark.createDataFrame([(1, 1, None, None, None, "T", "text")], "doc_id long, chunk_index int, section_number string, section_title string, chapter string, doc_title string, text string")
+        assert plan(docs).count() == 1 and int(spark.conf.get(key)) <= 200
+    finally:
+        spark.conf.set(key, before)
