@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import document_title, strip
+from ..functions.text import document_title, once, strip
 
 # ---- fixed values: markers by document type, as patterns or (pattern, weight) --------------------------------------
 
@@ -126,15 +126,22 @@ def needed(pattern: str) -> str:
 def hits(text: Column, patterns: Sequence[tuple[str, bool]]) -> Column:
     """array<boolean>: which of (pattern, whether case counts) occur. Each is looked for once, and only in texts that hold its needed characters.
 
-    As a lambda's body it is not compiled into one method, which would be too large for the virtual machine's compiler.
+    A word that is part of other needed ones stands for them, so that a text is searched for few of them. As a lambda's body it is not compiled
+    into one method, which would be too large for the virtual machine's compiler.
     """
+    words = {p: needed(p) for p, _ in patterns}
+    least = {w: min((v for v in words.values() if v in w and len(v) >= min(4, len(w))), key=len) for w in words.values() if w}
+    asked = list(dict.fromkeys(least.values()))
 
-    def occurs(x: Column, pattern: str, cased: bool) -> Column:
+    def occurs(x: Column, held: Column, pattern: str, cased: bool) -> Column:
         found = (exact if cased else search)(x["text"], pattern)
-        return F.contains(x["upper"], F.lit(word)) & found if (word := needed(pattern)) else found
+        return F.get(held, F.lit(asked.index(least[words[pattern]]))) & found if words[pattern] else found
 
-    one = F.array(F.struct(text.alias("text"), F.upper(text).alias("upper")))
-    return F.get(F.transform(one, lambda x: F.array(*[occurs(x, p, cased) for p, cased in patterns])), F.lit(0))
+    def both(x: Column) -> Column:
+        held = F.array(*[F.contains(x["upper"], F.lit(w)) for w in asked]) if asked else F.array().cast("array<boolean>")
+        return once(held, lambda h: F.array(*[occurs(x, h, p, cased) for p, cased in patterns]))
+
+    return once(F.struct(text.alias("text"), F.upper(text).alias("upper")), both)
 
 
 def looked_up(found: str, patterns: Sequence[tuple[str, bool]]) -> Callable[..., Column]:
@@ -335,7 +342,9 @@ def numbers_found(text: Column, doc_type: Column, has_orders: Column) -> dict[st
     sample, out = F.substring(text, 1, 15000), {}
     for pattern in dict.fromkeys(p for pool in (*POOLS.values(), (RULE_PATTERN,)) for p in pool):
         numbered = "(\\d" in pattern
-        found = F.regexp_extract_all(sample, F.lit(pattern), F.lit(int(numbered)))
+        # all are looked ahead to from a line feed; taking that first finds the same places without a look at every character
+        led = r"\n(?=" + pattern.removeprefix(r"(?=\n")
+        found = F.regexp_extract_all(sample, F.lit(led), F.lit(int(numbered)))
         if numbered:
             found = F.transform(found, lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("int"))
         asked = doc_type.isin([t for t, pool in POOLS.items() if pattern in pool])

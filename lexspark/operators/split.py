@@ -99,18 +99,22 @@ def context_line(number: Column, title: Column, chapter: Column) -> Column:
 def split_chunks(chunks: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
     """One row per sub-chunk with parent_chunk_index, sub_chunk, total_chunks, chunk_source_strategy, chunk_char_length.
 
-    Texts of at most their size pass as they are; only longer ones go through Arrow.
+    Texts of at most their size pass as they are; only longer ones go through Arrow. For that ``chunks`` is read twice, so what is costly should be stored.
     """
     bound_batches(chunks.sparkSession)
     wanted = adaptive_size(F.col("text"), size)
-    fits = F.coalesce(F.length("text") <= wanted, F.lit(True))
-    long_ = merge_fragments(splitter(LEGAL_SEPARATORS, overlap)(F.col("text"), wanted))
-    rows = chunks.withColumn("_size", wanted).withColumn("_pieces", F.when(fits, F.array("text")).otherwise(long_))
-    rows = rows.withColumn("total_chunks", F.size("_pieces")).select("*", F.posexplode("_pieces").alias("_i", "_text"))
+    # the adaptive size is never under ``size``, so most texts need not be looked into
+    fits = F.coalesce((F.length("text") <= size) | (F.length("text") <= wanted), F.lit(True))
+    # a function of Python's is called for every row, whatever stands around it
+    whole = chunks.where(fits).withColumns({"total_chunks": F.lit(1), "_i": F.lit(0), "_text": F.col("text")})
+    cut = chunks.where(~fits).withColumn("_pieces", merge_fragments(splitter(LEGAL_SEPARATORS, overlap)(F.col("text"), wanted)))
+    # an inner explode has Spark infer a filter on the pieces, which goes down to the tables and splits all texts a second time there
+    cut = cut.withColumn("total_chunks", F.size("_pieces")).select("*", F.posexplode_outer("_pieces").alias("_i", "_text")).where("_i IS NOT NULL").drop("_pieces")
+    rows = whole.unionByName(cut)
     prefix = F.when(F.col("_i") > 0, context_line(F.col("section_number"), F.col("section_title"), F.col("chapter"))).otherwise("")
     text = F.concat(prefix, F.col("_text"))
     rows = rows.withColumn("parent_chunk_index", F.col("chunk_index")).withColumn("sub_chunk", F.col("_i") + 1).withColumn("chunk_source_strategy", F.when(F.col("total_chunks") == 1, "passthrough").otherwise("recursive_legal"))
-    return rows.withColumn("text", text).withColumn("chunk_char_length", F.length("text")).drop("_size", "_pieces", "_i", "_text")
+    return rows.withColumn("text", text).withColumn("chunk_char_length", F.length("text")).drop("_i", "_text")
 
 
 def generic_size(text: Column) -> Column:

@@ -39,8 +39,8 @@ def detected(docs: DataFrame) -> DataFrame:
     return detect.with_section_pattern(detect.detect(docs).withColumn("strategy", detect.strategy(F.col("confidence"))))
 
 
-def best_pattern(docs: DataFrame) -> DataFrame:
-    """Chunks by the pattern of all fixed ones that scores best by (overall, number of chunks with a section number, order of patterns): the first fallback tier."""
+def tried_patterns(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks by each of the fixed patterns, doc_id with the pattern_no that scores best by (overall, number of chunks with a section number, order of patterns), and its tier_score)."""
     patterns = (*detect.SECTION_PATTERNS, detect.RULE_PATTERN)
     tried = docs.select("*", F.posexplode(F.array(*[F.lit(p) for p in patterns])).alias("pattern_no", "_pattern"))
     scored = stage(parse.parse(tried, F.col("_pattern"), ("doc_id", "pattern_no")), "tried")
@@ -48,6 +48,12 @@ def best_pattern(docs: DataFrame) -> DataFrame:
     named = scored.groupBy("doc_id", "pattern_no").agg(F.count(F.when(~F.coalesce("section_number", F.lit("")).isin("N/A", ""), 1)).alias("named"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("overall"), F.desc("named"), "pattern_no")
     best = found.join(named, ["doc_id", "pattern_no"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id", "pattern_no", F.col("overall").alias("tier_score"))
+    return scored, stage(best, "best-patterns")
+
+
+def best_pattern(docs: DataFrame) -> DataFrame:
+    """Chunks by the best of the fixed patterns, with its tier_score: the first fallback tier."""
+    scored, best = tried_patterns(docs)
     return scored.join(best, ["doc_id", "pattern_no"])
 
 
@@ -85,10 +91,11 @@ def cascade(docs: DataFrame, model_chunks: DataFrame | None = None) -> DataFrame
     with fewer distinct sections than half their number, are not used. The plain windows behind the share that the model's sample has of all windows' characters
     are added, at least one being left out.
     """
-    one = best_pattern(docs).where(F.col("tier_score") >= quality.PASS).withColumn("fallback_tier", F.lit(1))
+    tried, best = tried_patterns(docs)
+    best = best.where(F.col("tier_score") >= quality.PASS)
     names = ["doc_id", "chunk_index", "section_number", "section_title", "chapter", "text", "fallback_tier"]
-    out = one.select(*names)
-    rest = docs.join(out.select("doc_id").distinct(), "doc_id", "left_anti")
+    out = tried.join(best, ["doc_id", "pattern_no"]).withColumn("fallback_tier", F.lit(1)).select(*names)
+    rest = docs.join(best, "doc_id", "left_anti")
     plain = split.generic_chunks(rest)
     blank = lambda c: F.lit(None).cast("string").alias(c)
     two = plain.select("doc_id", "chunk_index", blank("section_number"), blank("section_title"), blank("chapter"), "text", F.lit(2).alias("fallback_tier"))
@@ -186,11 +193,15 @@ def ingest(docs: DataFrame, settings: Settings = Settings(), model: Callable[[Da
     if complete is not None:
         chunks, scored = refined(parts, chunks, scored, made, complete)
     routed = scored.select("doc_id", route(F.col("overall"), F.col("n_chunks"), False).alias("route"))
-    direct = chunks.join(routed.where("route <> 'fallback'"), "doc_id").withColumn("fallback_tier", F.lit(None).cast("int")).drop("route")
-    direct = direct.join(near, "doc_id").withColumn("parse_strategy", F.when(F.col("_near"), "accepted_near_threshold").otherwise(F.col("parse_strategy"))).drop("_near")
-    failed = parts.join(routed.where("route = 'fallback'").select("doc_id"), "doc_id", "left_semi")
-    back = cascade(failed, model(failed) if model else None).join(failed.select("doc_id", "doc_title", "doc_type"), "doc_id")
-    every = direct.unionByName(back, allowMissingColumns=True).join(parts.select("doc_id", "source_id", "segment_index"), "doc_id")
+    # what a segment gives to its chunks is put together first, so that chunks are shuffled once
+    own = parts.select("doc_id", "source_id", "segment_index", "doc_title", "doc_type")
+    stored = routed.where("route <> 'fallback'").drop("route").join(near, "doc_id").join(own.drop("doc_title", "doc_type"), "doc_id")
+    direct = chunks.join(stored, "doc_id").withColumn("fallback_tier", F.lit(None).cast("int"))
+    direct = direct.withColumn("parse_strategy", F.when(F.col("_near"), "accepted_near_threshold").otherwise(F.col("parse_strategy"))).drop("_near")
+    back_ids = routed.where("route = 'fallback'").select("doc_id")
+    failed = stage(parts.join(back_ids, "doc_id", "left_semi"), "failed")
+    back = cascade(failed, model(failed) if model else None).join(own.join(back_ids, "doc_id", "left_semi"), "doc_id")
+    every = direct.unionByName(stage(back, "fallback"), allowMissingColumns=True)
     out = split.split_chunks(every, settings.chunk_size, settings.overlap)
     key = chunk_id(F.col("doc_title"), F.col("section_number"), F.col("chunk_index"), F.col("sub_chunk"), F.col("segment_index"), F.col("text"), F.col("source_id").cast("string"))
     return with_storage_metadata(out.withColumn("chunk_id", key), settings.stored_at, settings.model).drop("doc_id").withColumnRenamed("source_id", "doc_id")
