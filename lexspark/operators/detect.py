@@ -98,6 +98,7 @@ FEATURE_WORDS = {"has_chapters": "CHAPTER", "has_parts": "PART", "has_orders": "
 SECTION_COUNT = r"\n\s*\d{1,3}[A-Z]?\.\s"
 MERGE = (0.35, 0.45, 0.20)
 SMALL_DOCUMENT = 12_000
+WINDOW = 5000
 
 
 def search(text: Column, pattern: str) -> Column:
@@ -123,23 +124,45 @@ def needed(pattern: str) -> str:
     return max(("".join(chr(ord(c) - 0xE000) if c >= "\ue000" else c for c in r).upper() for r in runs), key=len, default="")
 
 
-def hits(text: Column, patterns: Sequence[tuple[str, bool]]) -> Column:
-    """array<boolean>: which of (pattern, whether case counts) occur. Each is looked for once, and only in texts that hold its needed characters.
-
-    A word that is part of other needed ones stands for them, so that a text is searched for few of them. As a lambda's body it is not compiled
-    into one method, which would be too large for the virtual machine's compiler.
-    """
+def guards(patterns: Sequence[tuple[str, bool]]) -> dict[str, str]:
+    """The word to look for before each pattern that needs one; a word that is part of other needed ones stands for them, so that a text is searched for few of them."""
     words = {p: needed(p) for p, _ in patterns}
     least = {w: min((v for v in words.values() if v in w and len(v) >= min(4, len(w))), key=len) for w in words.values() if w}
-    asked = list(dict.fromkeys(least.values()))
+    return {p: least[w] for p, w in words.items() if w}
+
+
+def with_hits(rows: DataFrame, name: str, text: Column, patterns: Sequence[tuple[str, bool]]) -> DataFrame:
+    """``rows`` with array<boolean> ``name``: which of (pattern, whether case counts) occur in ``text``, as ``hits``.
+
+    Which words a text holds is a column of its own, as that is compiled and faster so.
+    """
+    asked = list(dict.fromkeys(guards(patterns).values()))
+    rows = rows.withColumn("_of", text).withColumn("_upper", F.upper("_of")).withColumn("_held", F.array(*[F.contains(F.col("_upper"), F.lit(w)) for w in asked]))
+    return rows.withColumn(name, occurring(F.col("_of"), F.col("_held"), patterns)).drop("_of", "_upper", "_held")
+
+
+def occurring(text: Column, held: Column, patterns: Sequence[tuple[str, bool]]) -> Column:
+    """array<boolean>: which of ``patterns`` occur in ``text``, which holds the guards told by ``held``.
 
-    def occurs(x: Column, held: Column, pattern: str, cased: bool) -> Column:
-        found = (exact if cased else search)(x["text"], pattern)
-        return F.get(held, F.lit(asked.index(least[words[pattern]]))) & found if words[pattern] else found
+    As a lambda's body it is not compiled into one method, which would be too large for the virtual machine's compiler.
+    """
+    own = guards(patterns)
+    asked = list(dict.fromkeys(own.values()))
+
+    def occurs(x: Column, pattern: str, cased: bool) -> Column:
+        found = (exact if cased else search)(x, pattern)
+        return F.get(held, F.lit(asked.index(own[pattern]))) & found if pattern in own else found
+
+    return once(text, lambda x: F.array(*[occurs(x, p, cased) for p, cased in patterns]))
+
+
+def hits(text: Column, patterns: Sequence[tuple[str, bool]]) -> Column:
+    """array<boolean>: which of (pattern, whether case counts) occur. Each is looked for once, and only in texts that hold its needed characters."""
+    asked = list(dict.fromkeys(guards(patterns).values()))
 
     def both(x: Column) -> Column:
         held = F.array(*[F.contains(x["upper"], F.lit(w)) for w in asked]) if asked else F.array().cast("array<boolean>")
-        return once(held, lambda h: F.array(*[occurs(x, h, p, cased) for p, cased in patterns]))
+        return once(held, lambda h: occurring(x["text"], h, patterns))
 
     return once(F.struct(text.alias("text"), F.upper(text).alias("upper")), both)
 
@@ -152,7 +175,7 @@ def looked_up(found: str, patterns: Sequence[tuple[str, bool]]) -> Callable[...,
 # ---- windows ------------------------------------------------------------------------------------------------------
 
 
-def title_window(text: Column, size: int = 5000) -> Column:
+def title_window(text: Column, size: int = WINDOW) -> Column:
     n = F.length(text)
     zone = F.substr(text, F.lit(1), F.greatest(F.lit(15000), F.floor(n / 5)).cast("int"))
     at = F.regexp_instr(zone, F.lit(TITLE_ANCHOR)) - 1
@@ -216,7 +239,7 @@ def template_score(text: Column | str, doc_type: str, found: Callable[..., Colum
 
 def with_template_scores(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a score for each type, named by it, of the window ``text``."""
-    rows = docs.withColumn("_hits", hits(F.col(text), markers()))
+    rows = with_hits(docs, "_hits", F.col(text), markers())
     return rows.withColumns({t: template_score(text, t, looked_up("_hits", markers())) for t in TYPES}).drop("_hits")
 
 
@@ -277,26 +300,36 @@ def detect(docs: DataFrame) -> DataFrame:
     Ties go to the earlier type in TYPES; a best score of 0 is GENERIC.
     """
     # only the first window counts in small documents; what is looked for is a column for each window, so that no pattern is tried twice
-    large, known = F.length("text") >= SMALL_DOCUMENT, markers()
-    rows = docs.withColumns({"_w1": title_window(F.col("text")), "_w2": F.when(large, densest_window(F.col("text"))), "_w3": F.when(large, last_window(F.col("text")))})
-    rows = rows.withColumns({"_h1": hits(F.col("_w1"), known), "_h2": F.when(large, hits(F.col("_w2"), known)), "_h3": F.when(large, hits(F.col("_w3"), known))})
-    rows = rows.withColumns({"_sample": hits(F.substring("text", 1, 5000), SAMPLE_SIGNS), "_text": hits(F.col("text"), TEXT_SIGNS)})
+    text, known = F.col("text"), markers()
+    every = list(dict.fromkeys([*known, *SAMPLE_SIGNS, *TEXT_SIGNS]))
+    rows = docs.withColumn("_n", F.length("text"))
+    # a text of at most half a window is its own first window and sample, so one search does for all three
+    short, large = F.col("_n") <= WINDOW // 2, F.col("_n") >= SMALL_DOCUMENT
+    rows = rows.withColumns({"_w1": F.when(short, text).otherwise(title_window(text)), "_w2": F.when(large, densest_window(text)), "_w3": F.when(large, last_window(text))})
+    rows = with_hits(rows, "_h1", F.col("_w1"), every)
+    rows = rows.withColumns({"_h2": F.when(large, hits(F.col("_w2"), known)), "_h3": F.when(large, hits(F.col("_w3"), known))})
+    first = looked_up("_h1", every)
+    same = lambda signs, own: F.when(short, F.array(*[first(*sign) for sign in signs])).otherwise(hits(own, signs))
+    rows = rows.withColumns({"_sample": same(SAMPLE_SIGNS, F.substring("text", 1, 5000)), "_text": same(TEXT_SIGNS, text)})
     in_sample, in_text = looked_up("_sample", SAMPLE_SIGNS), looked_up("_text", TEXT_SIGNS)
-    scores = {}
-    for t in TYPES:
-        one, two, three = (template_score(w, t, looked_up(h, known)) for w, h in (("_w1", "_h1"), ("_w2", "_h2"), ("_w3", "_h3")))
-        scores[f"_s_{t}"] = F.when(F.length("text") < SMALL_DOCUMENT, one).otherwise(MERGE[0] * one + MERGE[1] * two + MERGE[2] * three)
-    rows = rows.withColumns(scores)
+
+    def merged(t: str) -> Column:
+        one, two, three = (template_score(w, t, looked_up(h, p)) for w, h, p in (("_w1", "_h1", every), ("_w2", "_h2", known), ("_w3", "_h3", known)))
+        return F.when(F.col("_n") < SMALL_DOCUMENT, one).otherwise(MERGE[0] * one + MERGE[1] * two + MERGE[2] * three)
+
+    # as a lambda's body for the same reason as in ``occurring``
+    rows = rows.withColumn("_scores", once(F.col("_n"), lambda _: F.array(*[merged(t) for t in TYPES])))
+    rows = rows.withColumns({f"_s_{t}": F.get("_scores", F.lit(i)) for i, t in enumerate(TYPES)})
     # a score under 0.10 is raised to half the profile's
     rows = rows.withColumns({f"_s_{t}": F.when(F.col(f"_s_{t}") < 0.10, F.greatest(F.col(f"_s_{t}"), 0.5 * profile_score(t, in_sample, in_text))).otherwise(F.col(f"_s_{t}")) for t in PROFILES})
-    for t, score in adjusted(F.col("text"), {t: F.col(f"_s_{t}") for t in TYPES}).items():
+    for t, score in adjusted(text, {t: F.col(f"_s_{t}") for t in TYPES}).items():
         rows = rows.withColumn(f"_f_{t}", score)
     final = {t: F.col(f"_f_{t}") for t in TYPES}
     best = F.array_max(F.array(*[F.struct(final[t].alias("score"), F.lit(-i).alias("place"), F.lit(t).alias("type")) for i, t in enumerate(TYPES)]))
     rows = rows.withColumn("_best", best)
     out = rows.withColumn("confidence", F.least(F.col("_best.score"), F.lit(1.0))).withColumn("doc_type", F.when(F.col("_best.score") > 0, F.col("_best.type")).otherwise("GENERIC"))
     out = out.withColumns(features(F.col("text")))
-    return out.drop("_best", "_w1", "_w2", "_w3", "_h1", "_h2", "_h3", "_sample", "_text", *[f"{k}_{t}" for t in TYPES for k in ("_s", "_f")])
+    return out.drop("_best", "_n", "_w1", "_w2", "_w3", "_h1", "_h2", "_h3", "_sample", "_text", "_scores", *[f"{k}_{t}" for t in TYPES for k in ("_s", "_f")])
 
 
 def strategy(confidence: Column) -> Column:

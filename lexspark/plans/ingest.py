@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,9 +41,15 @@ def detected(docs: DataFrame) -> DataFrame:
 
 
 def tried_patterns(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunks by each of the fixed patterns, doc_id with the pattern_no that scores best by (overall, number of chunks with a section number, order of patterns), and its tier_score)."""
+    """(chunks by each of the fixed patterns, doc_id with the pattern_no that scores best by (overall, number of chunks with a section number, order of patterns), and its tier_score).
+
+    Of patterns that split a document alike only the first is tried, as it wins over the others in any case.
+    """
     patterns = (*detect.SECTION_PATTERNS, detect.RULE_PATTERN)
-    tried = docs.select("*", F.posexplode(F.array(*[F.lit(p) for p in patterns])).alias("pattern_no", "_pattern"))
+    cuts = docs.withColumns({f"_cut{i}": F.split("text", p) for i, p in enumerate(patterns)})
+    new = [reduce(lambda a, b: a & b, [~F.col(f"_cut{i}").eqNullSafe(F.col(f"_cut{j}")) for j in range(i)], F.lit(True)) for i in range(len(patterns))]
+    ways = F.filter(F.array(*[F.when(own, F.struct(F.lit(i).alias("pattern_no"), F.lit(p).alias("_pattern"))) for i, (p, own) in enumerate(zip(patterns, new, strict=True))]), lambda x: x.isNotNull())
+    tried = cuts.select(*docs.columns, F.explode(ways).alias("_way")).select(*docs.columns, "_way.pattern_no", "_way._pattern")
     scored = stage(parse.parse(tried, F.col("_pattern"), ("doc_id", "pattern_no")), "tried")
     found = quality.metrics(scored, ("doc_id", "pattern_no"))
     named = scored.groupBy("doc_id", "pattern_no").agg(F.count(F.when(~F.coalesce("section_number", F.lit("")).isin("N/A", ""), 1)).alias("named"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text
 from lexspark.operators import detect, split
+from lexspark.plans import ingest
 
 
 def test_only_long_texts_are_split_in_python_and_once(spark):
@@ -97,3 +98,31 @@ def test_section_numbers_from_line_feeds(spark):
             got = found if numbered else F.size(found)
             if pattern in (*detect.POOLS[kind], detect.RULE_PATTERN):
                 assert df.where(~got.eqNullSafe(plain)).count() == 0
+
+
+def test_patterns_that_split_alike_are_tried_once(spark):
+    """Of equal splits only the first is parsed; the best pattern of each document is that of trying all of them."""
+    body = "Whoever shall keep the road shall pay for it in full."
+    texts = ["".join(f"\n{i}. Of roads.\n{body}" for i in range(1, 7)), "".join(f"\n[{i}. of roads.\n{body}" for i in range(1, 7)), "".join(f"\n{i}. of roads.\n{body}" for i in range(1, 7)) + f"\n7.Of tolls.\n{body}", body, ""]
+    docs = spark.createDataFrame([(f"d{i}", t, "Act", "BARE_ACT") for i, t in enumerate(texts)], "doc_id string, text string, doc_title string, doc_type string")
+    scored, best = ingest.tried_patterns(docs)
+    tried = {(r["doc_id"], r["pattern_no"]) for r in scored.select("doc_id", "pattern_no").distinct().collect()}
+    assert {n for d, n in tried if d == "d0"} == {0, 2} and {n for d, n in tried if d == "d3"} == {0} and not any(d == "d4" for d, _ in tried)
+    want = {}
+    for n, pattern in enumerate((*detect.SECTION_PATTERNS, detect.RULE_PATTERN)):
+        chunks = ingest.parse.parse(docs, pattern)
+        named = {r["doc_id"]: r["count"] for r in chunks.where("section_number <> 'N/A'").groupBy("doc_id").count().collect()}
+        for r in ingest.quality.metrics(chunks).collect():
+            want.setdefault(r["doc_id"], []).append((-r["overall"], -named.get(r["doc_id"], 0), n))
+    assert {r["doc_id"]: (r["pattern_no"], r["tier_score"]) for r in best.collect()} == {d: (min(x)[2], -min(x)[0]) for d, x in want.items()}
+
+
+def test_short_texts_are_searched_once(spark):
+    """A text of at most half a window is its own window and sample: it has the hits of all three, and the longer ones theirs."""
+    base = "THE GAZETTE OF INDIA\nTHE LAND REVENUE ACT, 1967\n1. Of roads.\nWhoever shall mean x notwithstanding y. [Subs. by z]\n"
+    docs = spark.createDataFrame([(n, base + "w" * (n - len(base))) for n in (2499, 2500, 2501, 5000, 5001, 11999)], "doc_id long, text string")
+    got = {(r["doc_type"], r["confidence"]) for r in detect.detect(docs).collect()}
+    assert len(got) == 1
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 24))
+    plan = detect.detect(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_n#" in plan and f"<= {detect.WINDOW // 2})" in plan
